@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Language names in URLs and in sources, id prefixes, page types and labels of symbol kinds.
 ECOSYSTEMS = {"python": "py", "javascript": "js", "typescript": "js", "java": "java", "go": "go"}
-PAGE_TYPES = {"class": "class", "function": "function", "method": "function", "interface": "interface", "module": "module", "enum": "enum", "typeAlias": "type", "variable": "variable", "namespace": "namespace"}
+PAGE_TYPES = {"class": "class", "function": "function", "method": "function", "interface": "interface", "typeAlias": "type", "alias": "type", "enum": "enum", "variable": "variable", "attribute": "variable"}
 KIND_LABELS = {
     "module": "Module", "class": "Class", "function": "Function", "method": "Method", "property": "Property", "attribute": "Attribute", "variable": "Variable", "interface": "Interface",
     "typeAlias": "Type", "enum": "Enum", "namespace": "Namespace", "constructor": "Constructor", "enumMember": "Enum Member", "parameter": "Parameter",
@@ -146,7 +146,7 @@ def breadcrumbs(display: Column, name: Column) -> Column:
 
 
 def page_type(kind: Column) -> Column:
-    return _lookup(PAGE_TYPES, kind, F.lit("symbol"))
+    return _lookup(PAGE_TYPES, kind, F.lit("module"))
 
 
 def kind_label(kind: Column) -> Column:

@@ -58,7 +58,7 @@ scalar("parse_symbol_url", "requests", URLS, lambda: F.concat_ws("|", *[N.parse_
 scalar("breadcrumbs", "flat", FLAT, lambda: F.array_join(N.breadcrumbs(c("package"), c("qualified_name")), ">"), r"regexp_replace(package || '>' || replace(qualified_name, '.', '>'), '>[^>]*$', '')")
 scalar("url_language", "flat", FLAT, lambda: N.url_language(F.when(c("eco") == "js", "typescript").otherwise("python")), "language")
 scalar("source_language", "flat", FLAT, lambda: N.source_language(c("language")), "CASE WHEN eco = 'js' THEN 'typescript' ELSE language END")
-scalar("page_type", "flat", FLAT, lambda: N.page_type(c("kind")), "CASE kind WHEN 'method' THEN 'function' WHEN 'typeAlias' THEN 'type' WHEN 'parameter' THEN 'symbol' ELSE kind END")
+scalar("page_type", "flat", FLAT, lambda: N.page_type(c("kind")), "CASE kind WHEN 'method' THEN 'function' WHEN 'typeAlias' THEN 'type' WHEN 'parameter' THEN 'module' ELSE kind END")
 scalar("kind_label", "flat", FLAT, lambda: N.kind_label(c("kind")), "CASE kind WHEN 'typeAlias' THEN 'Type' ELSE upper(substr(kind, 1, 1)) || substr(kind, 2) END")
 scalar("source_link", "flat", FLAT, lambda: N.source_link(F.lit("acme/repo"), F.md5("package_id"), c("source_path"), F.when(c("ord") % 2 == 0, c("ord"))),
     "CASE WHEN contains(source_path, 'node_modules/') THEN NULL ELSE 'https://github.com/acme/repo/blob/' || md5(package_id) || '/' || source_path || CASE WHEN ord % 2 = 0 THEN '#L' || CAST(ord AS VARCHAR) ELSE '' END END")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symloom.plans import history_queries, name_queries, release_queries  # noqa: F401  (each registers its queries)
+from symloom.plans import artifact_queries, history_queries, name_queries, release_queries, xref_queries  # noqa: F401  (each registers its queries)
 from symloom.plans.registry import QUERIES, SQL
 
 
