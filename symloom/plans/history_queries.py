@@ -77,13 +77,13 @@ def compared(name, column, sql):
     query(name, f"{PAIR} SELECT package_id, version, qualified_name, {JOINED(sql)} AS changes FROM pair WHERE o_ord IS NOT NULL")(lambda s, d: pairs(s, d).select("package_id", "version", "qualified_name", told(column()).alias("changes")))
 
 
-a, b = F.col("a"), F.col("b")
-compared("symbol_changes", lambda: H.symbol_changes(a, b, "detailed"), SYM)
-compared("symbol_changes_build", lambda: H.symbol_changes(a, b, "build"), SYM)
-compared("member_changes", lambda: H.member_changes(a["members"], b["members"], "detailed"), MEM_DETAIL)
-compared("member_changes_build", lambda: H.member_changes(a["members"], b["members"], "build"), MEM_BUILD)
-compared("param_changes", lambda: H.param_changes(a["params"], b["params"], "detailed"), PAR_DETAIL)
-compared("param_changes_build", lambda: H.param_changes(a["params"], b["params"], "build"), PAR_BUILD)
+a, b = (lambda: F.col("a")), (lambda: F.col("b"))
+compared("symbol_changes", lambda: H.symbol_changes(a(), b(), "detailed"), SYM)
+compared("symbol_changes_build", lambda: H.symbol_changes(a(), b(), "build"), SYM)
+compared("member_changes", lambda: H.member_changes(a()["members"], b()["members"], "detailed"), MEM_DETAIL)
+compared("member_changes_build", lambda: H.member_changes(a()["members"], b()["members"], "build"), MEM_BUILD)
+compared("param_changes", lambda: H.param_changes(a()["params"], b()["params"], "detailed"), PAR_DETAIL)
+compared("param_changes_build", lambda: H.param_changes(a()["params"], b()["params"], "build"), PAR_BUILD)
 
 
 def resolved(members):
@@ -101,9 +101,9 @@ MEM_SNAP = f"""list_concat(list_concat({OF('b_ms', f"NOT {BOTH}", "'member-added
   list_concat({OF('b_ms', f"{BOTH} AND m.vis <> {O}.vis", f"'member-visibility-changed:' || m.name || CASE WHEN {POS('m.vis')} > {POS(O + '.vis')} THEN ':true' ELSE ':false' END")},
   list_concat({OF('b_ms', f"{BOTH} AND (m.vis = 'private') <> ({O}.vis = 'private')", "'member-readonly-changed:' || m.name || CASE WHEN m.vis = 'private' THEN ':true' ELSE ':false' END")},
   {OF('b_ms', f"{BOTH} AND (m.kind = 'method') <> ({O}.kind = 'method')", "'member-static-changed:' || m.name || ':true'")})))))"""
-compared("member_snapshot_changes", lambda: H.member_snapshot_changes(resolved(a["members"]), resolved(b["members"])), MEM_SNAP)
+compared("member_snapshot_changes", lambda: H.member_snapshot_changes(resolved(a()["members"]), resolved(b()["members"])), MEM_SNAP)
 query("snapshots_equal", f"{PAIR} SELECT package_id, version, qualified_name, signature = o_sig AND extends_name = o_ext AND a_ms = b_ms AND a_ps = b_ps AS same FROM pair WHERE o_ord IS NOT NULL")(
-    lambda s, d: pairs(s, d).select("package_id", "version", "qualified_name", H.snapshots_equal(a, b).alias("same"))
+    lambda s, d: pairs(s, d).select("package_id", "version", "qualified_name", H.snapshots_equal(a(), b()).alias("same"))
 )
 
 STATS = """SELECT package_id, version, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified, {0} AS breaking, {1} AS total_symbols
