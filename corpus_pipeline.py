@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm import decontaminate, langid, ngram_join, piece_bpe, secret_scan
 from symloom.llm.queries import table, tokenizer_path
+from symloom.plans.lineage import shared_folder
 
 #: SQL cannot express the stages (learned scores, edit distances, merges); tests hold them against plain versions.
 ORACLE_SQL = None
@@ -46,7 +49,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents; what a stage keeps is written to the shared folder and read by the next."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

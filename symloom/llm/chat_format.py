@@ -44,6 +44,11 @@ class Template:
             column = F.replace(column, F.lit(char), F.lit(code))
         return column
 
+    def reader(self) -> re.Pattern:
+        """Matches a written turn; its groups are the escaped role and text."""
+        parts = re.split(r"(\{role\}|\{text\})", "".join(pattern for pattern, _ in self.segments))
+        return re.compile("".join(f"(?P<{p[1:-1]}>.*?)" if p in ("{role}", "{text}") else re.escape(p) for p in parts), re.S)
+
     def unescape(self, text: str) -> str:
         back = {code: char for char, code in self.codes.items()}
         return re.sub(re.escape(self.escape) + ".", lambda m: back[m[0]], text, flags=re.S) if self.escape in text else text
@@ -67,7 +72,7 @@ def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """One row for each conversation, read from the written segments: digests, sizes, and whether turns are in order.
 
-    Rows are dealt by conv_id and sorted by turn (ties by role and text), and each conversation passes through as a
+    Rows are dealt by conv_id and sorted by turn (ties by role and written text), and each conversation passes through as a
     stream: running digests and the state of the turn machine are all that is held, so its length does not matter.
     valid is true if every turn follows TURNS and the last one is an assistant's.
     """
@@ -75,7 +80,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-        head = re.compile(re.escape("<|turn|>") + "(.*?)" + re.escape("<|text|>"), re.S)
+        whole = template.reader()
         key, fresh, out = None, True, []
         n = loss_chars = chars = 0
         turns_sha = loss_sha = None
@@ -93,9 +98,8 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                     n = loss_chars = chars = 0
                     turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
                 written = "".join(s["text"] for s in segments)
-                found = head.match(written)
-                role = template.unescape(found[1])
-                text = template.unescape(written[found.end() : -len("<|end|>")])
+                found = whole.fullmatch(written)
+                role, text = template.unescape(found["role"]), template.unescape(found["text"])
                 turns_sha.update(f"{role}\n{text}\n".encode())
                 for s in segments:
                     if s["loss"]:
@@ -112,6 +116,6 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.element_at("segments", 2)["text"])
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segments")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     return dealt.select("conv_id", "segments").mapInArrow(run, schema)

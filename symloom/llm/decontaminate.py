@@ -101,6 +101,10 @@ class Finder:
         return out
 
 
+def _prepared(rows: list) -> list[tuple[int | None, str]]:
+    return sorted(((r[0], normal(r[1])) for r in rows if normal(r[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 def find_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, block: int = 5_000) -> DataFrame:
     """(doc_id, item_id, distance, end) for every document with a stretch within an item's error budget.
 
@@ -116,7 +120,7 @@ def find_items(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, bloc
     out = None
     for b in range(blocks):
         part = ranked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(sorted((r[0], normal(r[1])) for r in part if normal(r[1])))
+        shared = spark.sparkContext.broadcast(_prepared(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, error_rate)
@@ -139,7 +143,7 @@ def clean(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, block: in
     at = docs.columns.index("text")
     for b in range(blocks):
         part = ranked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(sorted((r[0], normal(r[1])) for r in part if normal(r[1])))
+        shared = spark.sparkContext.broadcast(_prepared(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, error_rate)

@@ -88,12 +88,13 @@ def raw_scores(model: Factors, ids: np.ndarray, values: np.ndarray, begins: np.n
     return model.bias + np.add.reduceat(model.linear[ids] * values, starts) + pairs, sums
 
 
-def train(ids: np.ndarray, values: np.ndarray, begins: np.ndarray, labels: np.ndarray, rank: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Factors:
-    """Adagrad on the logistic loss, over rows in an order fixed by a seed."""
+def train(ids: np.ndarray, values: np.ndarray, begins: np.ndarray, labels: np.ndarray, rank: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, steps: int = 600) -> Factors:
+    """Adagrad on the logistic loss, over rows in an order fixed by a seed; few rows are passed more often, for ``steps`` steps."""
     random = np.random.default_rng(7)
     share = np.clip(labels.mean(), 0.01, 0.99)
     model = Factors(float(np.log(share / (1 - share))), np.zeros(SIZE, np.float32), random.normal(0, 0.05, (SIZE, rank)).astype(np.float32))
     past_linear, past_pairs, past_bias = np.full(SIZE, 1e-2), np.full((SIZE, rank), 1e-2), 1e-2
+    epochs = max(epochs, -(-steps // max(1, -(-len(labels) // batch))))
     for _ in range(epochs):
         order = random.permutation(len(labels))
         for first in range(0, len(order), batch):
@@ -151,6 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, **settings) -> F
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *(pa.array(m, pa.binary()) for m in made)], ["doc_id", "quality", "ids", "values"])
 
     got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, ids binary, values binary").collect())
+    if not got:  # labels of other documents only
+        return Factors(0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, 1), np.float32))
     ids = np.frombuffer(b"".join(bytes(r[2]) for r in got), dtype=np.int16).astype(np.int64)
     values = np.frombuffer(b"".join(bytes(r[3]) for r in got), dtype=np.float32)
     begins = np.concatenate(([0], np.cumsum([len(r[2]) // 2 for r in got])))

@@ -89,5 +89,31 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Every turn's marks, role and escaped text are counted; a conversation is valid if its roles follow the turn order.
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 2 * length(role) - length(translate(role, '<[\\', '')) + 2 * length(text) - length(translate(text, '<[\\', '')) + 23 AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, regexp_matches(string_agg(role || ',', '' ORDER BY turn, role), '^(system,)?(user,assistant,)+$') AS valid
+FROM e GROUP BY conv_id
+"""
+
+#: Sets of five words, all pairs that share one, and what is reached over links; for tables of a few thousand rows.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') || chr(10) END AS s
+  FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) ELSE [1] END) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 10 * k >= 8 * (p.n + q.n - k)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+same AS (SELECT array_to_string(w, ' ') AS t, count(*) AS n_copies FROM d WHERE len(w) > 0 GROUP BY 1)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS class_id, coalesce(same.n_copies, 1) AS n_copies, coalesce((SELECT count(*) FROM l WHERE l.x = d.doc_id), 0) AS n_links
+FROM d LEFT JOIN same ON same.t = array_to_string(d.w, ' ') AND len(d.w) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL}

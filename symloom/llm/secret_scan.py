@@ -263,13 +263,37 @@ class Scanner:
         self.settled = np.where(known, twice[0] * width, -1).reshape(-1).astype(np.int32)
         self.rows = [row.tolist() for row in self.match.table[:, self.match.classes]]
 
-    def _begins(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _begins(self, data: np.ndarray, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
         """Where matches begin, in order, and the rules (bits): one pass over the bytes from the last to the first.
 
+        Longer inputs are taken in pieces of about ``most`` bytes, so that memory does not follow a text's length.
+        """
+        n, state, first = len(data), self.home, 0
+        places, rules = [], []
+        width = self.starts.table.shape[1]
+        turned = data[::-1]
+        while first < n:
+            last = min(n, first + most)
+            after = -1
+            while last < n and after < 0:  # the next pair of bytes behind which the state is known
+                after = int(self.settled[int(self.starts.classes[turned[last - 2]]) * width + int(self.starts.classes[turned[last - 1]])])
+                last += after < 0
+            at, mask = self._piece(turned[first:last], state)
+            places.append(n - 1 - first - at)
+            rules.append(mask)
+            first, state = last, after
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        at, mask = np.concatenate(places), np.concatenate(rules)
+        order = np.argsort(at)
+        return at[order], mask[order]
+
+    def _piece(self, turned: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the turned bytes where matches begin, from state ``home`` on.
+
         The text is cut behind pairs of bytes that lead every state to one and the same, so that stretches can be
         read side by side.
         """
-        turned = data[::-1]
         classes = self.starts.classes[turned].astype(np.int32)
         n = len(turned)
         width = self.starts.table.shape[1]
@@ -281,7 +305,7 @@ class Scanner:
         begin, length = edges[:-1], np.diff(edges)
         order = np.argsort(-length, kind="stable")
         place, length = begin[order].copy(), length[order]
-        state = np.where(place > 0, after[np.maximum(place - 2, 0)], self.home).astype(np.int32)
+        state = np.where(place > 0, after[np.maximum(place - 2, 0)] if len(after) else home, home).astype(np.int32)
         found, rules = [], []
         wide = int(np.searchsorted(-length, -4 * self.lane, side="left"))  # stretches over four times the usual length
         for k in range(wide):
@@ -304,9 +328,7 @@ class Scanner:
             place[:live] += 1
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        at, mask = n - 1 - np.concatenate(found), np.concatenate(rules)
-        order = np.argsort(at)
-        return at[order], mask[order]
+        return np.concatenate(found), np.concatenate(rules)
 
     def _longest(self, data: bytes, at: int, bit: int) -> int:
         state, accepts, dead, end = self.match.start, self.match.accepts, self.match.dead, -1

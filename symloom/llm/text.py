@@ -1,15 +1,15 @@
-"""Shared helpers: Arrow text buffers, vectorised word and n-gram hashes, held-out folds, lineage cuts."""
+"""Shared helpers: Arrow text buffers, vectorised word and n-gram hashes, held-out folds."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from symloom.plans.lineage import cut  # noqa: F401  (the operators take it from here)
+
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -24,25 +24,6 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
-
-    Where the session names none, a local session gets a folder of its own and a cluster session is refused:
-    a machine-local folder cannot be read by other executors.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets into them; null counts as empty."""
     column = pc.fill_null(column, "")

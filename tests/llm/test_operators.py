@@ -331,3 +331,24 @@ def test_interactions_equal_the_sum_over_pairs():
     for row, (a, b) in enumerate(((0, 3), (3, 5))):
         pairs = sum(float(model.pairs[ids[i]] @ model.pairs[ids[j]]) * x[i] * x[j] for i in range(a, b) for j in range(i + 1, b))
         assert abs(z[row] - (0.3 + float((model.linear[ids[a:b]] * x[a:b]).sum()) + pairs)) < 1e-4
+
+
+def test_scan_in_pieces_equals_whole():
+    import numpy as np
+
+    text = " ".join(TRICKY + ["plain words, and more"] * 20).encode()
+    scanner = secret_scan.Scanner()
+    data = np.frombuffer(text, dtype=np.uint8)
+    for most in (40, 333, 5000):
+        for a, b in zip(scanner._begins(data), scanner._begins(data, most), strict=True):
+            assert (a == b).all()
+
+
+def test_items_without_an_id(spark, docs):
+    items = spark.createDataFrame([(None, "short one"), (1, "short one"), (None, "short one")], "item_id long, text string")
+    assert {r["item_id"] for r in decontaminate.find_items(docs, items).collect()} == {None, 1}
+
+
+def test_labels_of_other_documents_only(spark, docs):
+    labels = spark.createDataFrame([(10**9 + i, 1) for i in range(20)], "doc_id long, quality int")
+    assert {r["score"] for r in quality_fm.score(docs, quality_fm.fit(docs, labels)).collect()} == {0.5}
