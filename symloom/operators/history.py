@@ -213,14 +213,15 @@ def diff(older: DataFrame, newer: DataFrame, mode: str = "build") -> DataFrame:
 def replacement_candidates(removed: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each removed name the first symbol of the newer version whose base name holds it, or is held by it.
 
-    Equal base names are matched by an equality join first. The rest are compared within their package and version
-    only; a running least row is all that is kept, so no list of pairs arises.
+    Different base names only are compared, within their package and version; each stands for its first symbol. A
+    running least row is all that is kept, so no list of pairs arises.
     """
     base = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
     wanted = removed.select("package_id", "version", "qualified_name", base(F.col("qualified_name")).alias("base"))
-    newer = symbols.select("package_id", "version", F.col("qualified_name").alias("candidate"), "ord", base(F.col("qualified_name")).alias("other"))
-    met = wanted.join(newer, ["package_id", "version"]).filter(F.contains(F.col("other"), F.col("base")) | F.contains(F.col("base"), F.col("other")))
-    return met.groupBy("package_id", "version", "qualified_name").agg(F.min_by("candidate", F.struct("ord", "candidate")).alias("replacement"))
+    newer = symbols.groupBy("package_id", "version", base(F.col("qualified_name")).alias("other")).agg(F.min_by(F.struct(F.col("ord"), F.col("qualified_name").alias("candidate")), F.struct("ord", "qualified_name")).alias("first"))
+    met = wanted.select("package_id", "version", "base").distinct().join(newer, ["package_id", "version"]).filter(F.contains(F.col("other"), F.col("base")) | F.contains(F.col("base"), F.col("other")))
+    best = met.groupBy("package_id", "version", "base").agg(F.min("first").alias("first"))
+    return wanted.join(best, ["package_id", "version", "base"]).select("package_id", "version", "qualified_name", F.col("first.candidate").alias("replacement"))
 
 
 def version_stats(history: DataFrame, symbols: DataFrame | None = None, mode: str = "build") -> DataFrame:

@@ -190,19 +190,31 @@ def equivalent_package(requests: DataFrame, mappings: DataFrame) -> DataFrame:
     return found.withColumn("equivalent", F.when(F.col("source_language") == F.col("target_language"), F.col("package")).otherwise(F.col("equivalent")))
 
 
+def _with_rarest(rows: DataFrame, counts: DataFrame, owner: list[str], name: str) -> DataFrame:
+    """rows with ``rarest``: of the words of their name the one that the fewest targets have."""
+    words = rows.select(*owner, F.explode(N.word_parts(F.col(name))).alias("key")).join(counts, ["target_language", "key"], "left")
+    rarest = words.groupBy(*owner).agg(F.min_by("key", F.struct(F.coalesce("uses", F.lit(0)), "key")).alias("rarest"))
+    return rows.join(rarest, owner, "left")
+
+
 def resolve_cross_language(requests: DataFrame, targets: DataFrame, mappings: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Best equivalent of each request (request_id, path, name, package, source_language, target_language).
 
     In order: a mapped path (1.0), an alias (0.98), the best scored target of the threshold or more, in the
     equivalent package if it has one, the equivalent package's page, the language's page. Targets (language, package,
-    title, url) are met by shared words or equal bare names only: a score of the threshold needs one of both.
+    title, url) are met by the rarest word or bare name of one that the other has too: names of which one holds the
+    other share it, and common words bring nobody together.
     """
     open_ = ~(F.col("source_language").isin("java", "go") | F.col("target_language").isin("java", "go"))
     named = equivalent_package(symbol_alias(explicit_mapping(requests, mappings), mappings), mappings)
-    keys = lambda n: F.array_distinct(F.concat(F.array(N.normalized_name(n)), N.search_terms(n)))
-    offered = targets.select(F.col("language").alias("target_language"), F.col("package").alias("target_package"), "title", "url", F.explode(keys(F.col("title"))).alias("key"))
-    asked = named.filter(open_ & F.col("mapped").isNull())
-    met = asked.select("request_id", "target_language", "name", "equivalent", F.explode(keys(F.col("name"))).alias("key")).join(offered, ["target_language", "key"])
+    keys = lambda n: F.explode(F.array_distinct(F.concat(F.array(N.normalized_name(n)), N.search_terms(n)))).alias("key")
+    there = targets.select(F.col("language").alias("target_language"), F.col("package").alias("target_package"), "title", "url")
+    counts = there.select("target_language", F.explode(N.word_parts(F.col("title"))).alias("key")).groupBy("target_language", "key").agg(F.count(F.lit(1)).alias("uses"))
+    offered = _with_rarest(there, counts, ["target_language", "url", "title"], "title").select("*", keys(F.col("title"))).withColumnRenamed("rarest", "rare_there")
+    asked = named.filter(open_ & F.col("mapped").isNull()).select("request_id", "target_language", "name", "equivalent")
+    asked = _with_rarest(asked, counts, ["request_id", "target_language", "name"], "name").select("*", keys(F.col("name"))).withColumnRenamed("rarest", "rare_here")
+    own = lambda df, rare, name: df.filter(F.col("key").isin(F.col(rare), N.normalized_name(F.col(name))))
+    met = own(asked, "rare_here", "name").join(offered, ["target_language", "key"]).unionByName(asked.join(own(offered, "rare_there", "title"), ["target_language", "key"]))
     met = met.select("request_id", "name", "equivalent", "target_package", "title", "url").distinct().withColumn("score", N.match_score(F.col("name"), F.col("title")))
     good = met.filter(F.col("score") >= threshold).withColumn("preferred", F.coalesce(F.col("target_package") == F.col("equivalent"), F.lit(False)))
     best = good.groupBy("request_id").agg(F.max_by(F.struct("url", "title", "score", "preferred"), F.struct("preferred", "score", "url")).alias("m"))
