@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.sketch import CellBits, merged_cells, width_for
-from symloom.llm.text import Words, cut, words_of
+from symloom.llm.text import Words, cut, mix, text_buffers, words_of
 
 
 def window_anchors(words: Words, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,25 +42,74 @@ def _runs(at: np.ndarray, rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return fresh
 
 
+_TAG_BITS = 23
+
+
+def _place_and_tag(place: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A word's place with some bits of its row's text hash, which part rows that have one id and different texts."""
+    return (place.astype(np.int64) << _TAG_BITS) | (key & ((1 << _TAG_BITS) - 1))
+
+
+def _without_copies(rows: DataFrame, window: int, most_width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows to compare, copies): copies have all words of a smaller id's row, in its order.
+
+    Every window of a copy starts in that smaller row too, so all its words go, and what is left of the corpus need
+    not be compared with it. A bitmap of fixed size marks copies; marked rows alone travel to be told from false marks.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts = [], []
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                words = data[a:b].tobytes().split()
+                names.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                counts.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "text_key", "words_id", "n_words"])
+
+    named = rows.filter(F.col("doc_id").isNotNull()).mapInArrow(digest, "doc_id long, text_key long, words_id binary, n_words long").filter(F.col("n_words") >= window)
+    first = named.groupBy("words_id").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter(F.col("first_id") < F.col("last_id"))
+    copies = cut(named.join(first.select("words_id", "first_id"), "words_id").filter(F.col("doc_id") > F.col("first_id")).select("doc_id", "text_key", "n_words"))
+    count = copies.count()
+    if not count:
+        return rows, copies
+    as_key = lambda column: mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    marks = rows.sparkSession.sparkContext.broadcast(merged_cells(copies.select("doc_id"), lambda b: iter([as_key(b.column(0))]), width_for(count, most=most_width), least=1))
+
+    def sift(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marked = marks.value.has(as_key(pc.fill_null(batch.column(0), 0))) & np.array(batch.column(0).is_valid())
+                yield batch.filter(pa.array(marked == wanted))
+
+        return run
+
+    schema = "doc_id long, text string, text_key long"
+    doubtful = rows.mapInArrow(sift(True), schema).join(copies.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
+    return rows.mapInArrow(sift(False), schema).unionByName(cut(doubtful.select("doc_id", "text", "text_key"))), copies
+
+
 def remove_repeated(docs: DataFrame, window: int = 50, shingle: int = 16, most_width: int = 25) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts in a document of a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, for rows with removals, kept (the remaining words joined by
     one space, zlib; null where nothing was removed).
 
-    1. Every task counts the anchors of its windows in a count-min sketch; merged, the sketch overestimates in how
+    1. Rows whose words are all those of a smaller id's row are done: all their words go.
+    2. Every task counts the anchors of its windows in a count-min sketch; merged, the sketch overestimates in how
        many documents a window occurs. Its width follows the size of the input up to 2**``most_width`` cells; a
        fuller sketch lets more windows through and loses none.
-    2. Only windows estimated to occur twice are emitted, and grouped exactly by a 96-bit hash of their words.
-    3. Rows without such windows are finished where they are read; the others meet their removed windows by id.
+    3. Only windows estimated to occur twice are emitted, and grouped exactly by a 96-bit hash of their words.
+    4. Rows without such windows are finished where they are read; the others meet their removed windows by id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged, of the whole text. Null and empty texts have none. Windows of a row
     with a null id are not compared: nothing is removed from it, or because of it. Rows with one id are compared
     with other ids only; repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    everything = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    size = everything.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, copies = _without_copies(everything, window, most_width)
     expected = size / 6 * 2 / (window - shingle + 2)
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -89,17 +139,16 @@ def remove_repeated(docs: DataFrame, window: int = 50, shingle: int = 16, most_w
                 h = words.span(at, at + window)
                 # a second hash from the window's two halves
                 check = words.span(at, at + window // 2) * np.uint64(3) + words.span(at + window // 2, at + window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(owner), keys.take(owner), pa.array((at - words.row_starts[words.rows[at]]).astype(np.int32))],
-                    ["window", "proof", "doc_id", "text_key", "place"],
-                )
+                place = _place_and_tag(at - words.row_starts[words.rows[at]], keys.take(owner).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(owner), pa.array(place)], ["window", "proof", "doc_id", "place"])
 
-    windows = rows.mapInArrow(candidates, "window long, proof int, doc_id long, text_key long, place int")
+    windows = rows.mapInArrow(candidates, "window long, proof int, doc_id long, place long")
     first_ids = windows.groupBy("window", "proof").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     first_ids = cut(first_ids.filter(F.col("first_id") < F.col("last_id")).select("window", "proof", "first_id"))
     # an exchange of its own on either side, so that Spark can split a window that very many documents share
     covered = windows.join(first_ids, ["window", "proof"]).filter(F.col("doc_id") > F.col("first_id"))
-    covered = covered.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))  # no more than the words of one text
+    tag = lambda c: F.col(c).bitwiseAND((1 << _TAG_BITS) - 1).alias("tag")
+    covered = covered.groupBy("doc_id", tag("place")).agg(F.collect_list(F.shiftright("place", _TAG_BITS).cast("int")).alias("places"))  # no more than the words of one text
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,5 +187,7 @@ def remove_repeated(docs: DataFrame, window: int = 50, shingle: int = 16, most_w
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     parts = rows.mapInArrow(split, "doc_id long, text_key long, n_words long, kept_sha256 string, packed binary")
-    met = parts.join(covered, ["doc_id", "text_key"], "left").select("doc_id", "n_words", "kept_sha256", "packed", "places")
-    return met.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    met = parts.select("*", tag("text_key")).join(covered, ["doc_id", "tag"], "left").select("doc_id", "n_words", "kept_sha256", "packed", "places")
+    compared = met.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    nothing = F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")
+    return compared.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), nothing, F.lit(zlib.compress(b"", 1)).alias("kept")))
