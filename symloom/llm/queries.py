@@ -114,6 +114,40 @@ SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.do
 FROM d LEFT JOIN same ON same.t = array_to_string(d.w, ' ') AND len(d.w) > 0
 """
 
+#: Matches and what lies between them give the places; RE2's first match is the longest one for these expressions.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rules(k, kind, re, value, least) AS (VALUES
+  (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '[:=]\x20*["'']?(.+)$', 12),
+  (1, 'access', 'AKIA[A-Z0-9]+', '(.+)', 18),
+  (2, 'hex', '[0-9a-f]+', '(.+)', 16),
+  (3, 'jwt', 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '(.+)', 1),
+  (4, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', '(.+)', 1)),
+m AS (SELECT doc_id, k, kind, value, least, regexp_extract_all(t, re) AS ms, string_split_regex(t, re) AS ps FROM d, rules),
+e AS (SELECT doc_id, k, kind, value, least, unnest(ms) AS found, unnest(ps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM m),
+p AS (SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, k ORDER BY i) AS past FROM e),
+s AS (SELECT doc_id, k, past - length(found) AS first, kind || ':' || (past - length(found)) || ':' || past AS span FROM p WHERE length(regexp_extract(found, value, 1)) >= least)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY first, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY first, k), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
+#: The picture's bytes in hexadecimal; the checksum takes the bits of the last 16 one by one.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, strlen(t) AS n_bytes, greatest(1, (strlen(t) + 191) // 192) AS lines, t || repeat(' ', 192 * greatest(1, (strlen(t) + 191) // 192) - strlen(t)) AS p FROM d),
+m AS (SELECT *, 'P5' || chr(10) || '192 ' || lines || chr(10) || '255' || chr(10) || p AS media, regexp_extract_all(hex(encode(p)), '..') AS x FROM p),
+b AS (SELECT doc_id, ('0x' || h)::INT AS v, c FROM (SELECT doc_id, h, count(*) AS c FROM (SELECT doc_id, unnest(x) AS h FROM m) GROUP BY ALL)),
+a AS (SELECT doc_id, sum(v * c) / sum(c) AS mean, sum(c) AS n FROM b GROUP BY doc_id),
+f AS (SELECT doc_id, any_value(mean) AS mean, sqrt(sum(c * (v - mean) * (v - mean)) / any_value(n)) AS std, list_transform(range(8), lambda g: coalesce(list_sum(list_transform(list_filter(list({'v': v, 'c': c}), lambda y: y.v // 32 = g), lambda y: y.c)), 0) / any_value(n)) AS shares FROM b JOIN a USING (doc_id) GROUP BY doc_id),
+w AS (SELECT doc_id, flatten(list_transform(x[-16:], lambda h: list_transform(range(8), lambda i: (('0x' || h)::BIGINT >> i) & 1))) AS bits FROM m)
+SELECT doc_id, n_bytes, strlen(p) AS payload_bytes, sha256(p) AS payload_sha256,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295) AS tail_crc32,
+  strlen(media) AS media_bytes, sha256(media) AS media_sha256,
+  printf('mean=%.4f;std=%.4f;hist=', mean, std) || array_to_string(list_transform(shares, lambda s: printf('%.4f', s)), ',') AS feature
+FROM m JOIN f USING (doc_id) JOIN w USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL}
