@@ -78,6 +78,8 @@ TABLES: dict[str, str] = {
           || '### More' || chr(10) || '```ts' || chr(10) || 'import {{ Thing' || CAST(doc_id % 40 AS STRING) || ', type Kind as K }} from "@acme/' || source || '/sub";' || chr(10) || 'import Def from "@acme/' || source || '";' || chr(10) || '```' || chr(10) AS content
         FROM {documents}""",
 }
+# the same pages, with the whole text and its lines below the last block
+TABLES["whole_files"] = TABLES["doc_files"].replace(" AS content", " || text || chr(10) AS content")
 
 
 def _needs(name: str) -> list[str]:

@@ -11,7 +11,7 @@ from symloom.plans.bindings import bound, with_tables
 from symloom.plans.registry import query
 
 c = F.col
-docs = lambda s, d: bound(s, d, "doc_files").select("path", "content")
+docs = lambda s, d: bound(s, d, "whole_files").select("path", "content")
 DOCS = with_tables("doc_files") + ", doc AS (SELECT f.*, d.source, d.lang, CASE WHEN f.doc_id % 4 = 0 THEN 4 ELSE 0 END AS fm FROM doc_files f JOIN documents d USING (doc_id))"
 I50, I40 = "'Item' || CAST(doc_id % 50 AS VARCHAR)", "'Thing' || CAST(doc_id % 40 AS VARCHAR)"
 PY = f"'from acme_' || source || '.core import ' || {I50} || ', Tool as T'"
@@ -60,12 +60,16 @@ query("page_links", f"""{DOCS} SELECT path, unnest(['the item', 'site', 'pic', '
   unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'https://raw.org/img/a.png', 'https://github.com/acme/repo/blob/main/libs/docs/readme.md']) AS url FROM doc""")(lambda s, d: C.page_links(docs(s, d), "acme/repo", "main", "https://raw.org", "libs"))
 
 
-def marked(s, d):
-    """Texts of the documents with directives, admonitions, indents and examples put around them."""
-    text = F.translate(F.substring("text", 1, 120), "\n`:", "   ")
+def marked(s, d, whole=False):
+    """Texts of the documents with directives, admonitions, indents and examples put around them.
+
+    The SQL of the first queries keeps to a prefix on one line; ``whole`` takes the whole text with its lines.
+    """
+    text = c("text") if whole else F.translate(F.substring("text", 1, 120), "\n`:", "   ")
+    indented = lambda n: F.replace(text, F.lit("\n"), F.lit("\n" + " " * n))
     sub = F.concat(F.lit("---\ntitle: x\n---\n\nIntro "), text, F.lit("\n\n::: acme.mod"), c("doc_id"), F.when(c("doc_id") % 2 == 0, "\n    options:\n      members:\n        - Item\n        - run\n        - make_tool\n").otherwise("\n"), F.lit("::: acme.other text\n"))
-    note = F.concat(F.lit("Intro\n!!! note \"Read\"\n    "), text, F.lit("\n    ??? warning inline text\n        deeper\nafter\n!!! tip\n\nend"))
-    return bound(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", sub.alias("sub"), note.alias("note"), F.concat(F.lit("    def f():\n        "), text, F.lit("\n      x")).alias("code"), F.concat(F.lit("???+ example \"E\"\n```python\n"), text, F.lit("\n```\nrest")).alias("example"), text.alias("plain"))
+    note = F.concat(F.lit("Intro\n!!! note \"Read\"\n    "), indented(4), F.lit("\n    ??? warning inline text\n        deeper\nafter\n!!! tip\n\nend"))
+    return bound(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", sub.alias("sub"), note.alias("note"), F.concat(F.lit("    def f():\n        "), indented(8), F.lit("\n      x")).alias("code"), F.concat(F.lit("???+ example \"E\"\n```python\n"), text, F.lit("\n```\nrest")).alias("example"), text.alias("plain"))
 
 
 PLAIN = "regexp_replace(substr(text, 1, 120), '[\n`:]', ' ', 'g')"
@@ -78,3 +82,9 @@ query("admonitions", f"""SELECT CAST(doc_id AS VARCHAR) AS path, 2 AS line, 'not
 query("dedent", f"SELECT CAST(doc_id AS VARCHAR) AS path, 'def f():' || chr(10) || '    ' || {PLAIN} || chr(10) || '  x' AS text FROM documents")(lambda s, d: marked(s, d).select("path", Li.dedent(c("code")).alias("text")))
 query("clean_example", f"SELECT CAST(doc_id AS VARCHAR) AS path, {BARE} AS text FROM documents")(lambda s, d: marked(s, d).select("path", C.clean_example(c("example")).alias("text")))
 query("fenced_examples", f"SELECT CAST(doc_id AS VARCHAR) AS path, 0 AS pos, '???+ example \"E\"' AS title, 'python' AS language, {BARE} AS code FROM documents")(lambda s, d: C.fenced_examples(marked(s, d).select("path", c("example").alias("content"))))
+# the same over whole texts, which have no SQL
+query("parse_subpages_whole")(lambda s, d: C.parse_subpages(marked(s, d, True).select("path", c("sub").alias("content"))).withColumn("symbol_refs", F.array_join("symbol_refs", ",")))
+query("admonitions_whole")(lambda s, d: C.admonitions(marked(s, d, True).select("path", c("note").alias("content"))))
+query("dedent_whole")(lambda s, d: marked(s, d, True).select("path", Li.dedent(c("code")).alias("text")))
+query("clean_example_whole")(lambda s, d: marked(s, d, True).select("path", C.clean_example(c("example")).alias("text")))
+query("fenced_examples_whole")(lambda s, d: C.fenced_examples(marked(s, d, True).select("path", c("example").alias("content"))))

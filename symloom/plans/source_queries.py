@@ -66,6 +66,13 @@ def _docs(s, d):
     return io.read_docs(s, folder, "*.txt").select(F.md5("content").alias("content"))
 
 
+@query("read_docs_whole", with_tables("whole_files") + " SELECT md5(content || chr(10)) AS content FROM whole_files")
+def _whole_docs(s, d):
+    folder = scratch(s)
+    bound(s, d, "whole_files").select("content").write.option("maxRecordsPerFile", 1).text(folder)
+    return io.read_docs(s, folder, "*.txt").select(F.md5("content").alias("content"))
+
+
 @query("write_symbol_shards", with_tables("flat") + " SELECT package_id, version, qualified_name, substr(md5(qualified_name), 1, 1) AS shard FROM flat")
 def _shards(s, d):
     folder = scratch(s)
