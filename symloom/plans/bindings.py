@@ -80,6 +80,8 @@ TABLES: dict[str, str] = {
 }
 # the same pages, with the whole text and its lines below the last block
 TABLES["whole_files"] = TABLES["doc_files"].replace(" AS content", " || text || chr(10) AS content")
+# and every index page in a folder of its own, so that a path is one page
+TABLES["own_files"] = TABLES["whole_files"].replace("THEN 'index'", "THEN CAST(doc_id AS STRING) || '/index'")
 
 
 def _needs(name: str) -> list[str]:

@@ -8,7 +8,7 @@ from symloom.functions import lines as Li
 from symloom.functions import names as N
 from symloom.operators import corpus as C
 from symloom.plans.bindings import bound, with_tables
-from symloom.plans.registry import query
+from symloom.plans.registry import SQL, query
 
 c = F.col
 docs = lambda s, d: bound(s, d, "whole_files").select("path", "content")
@@ -56,6 +56,15 @@ wanted = lambda s, d: bound(s, d, "documents").select(F.concat(F.lit("Item"), c(
 query("related_docs_for", f"""{RELATED}, w AS (SELECT DISTINCT 'Item' || CAST(doc_id % 60 AS VARCHAR) AS symbol FROM documents) SELECT w.symbol, coalesce(string_agg(path, ',' ORDER BY rank), '') AS paths, coalesce(max(total), 0) AS total FROM w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (symbol) GROUP BY w.symbol""")(
     lambda s, d: C.related_docs_for(wanted(s, d), related(s, d)).withColumn("paths", F.array_join("paths", ","))
 )
+# the same over all pages, index pages in folders of their own
+own = lambda s, d: bound(s, d, "own_files").select("path", "content")
+OWN = DOCS.replace(with_tables("doc_files"), with_tables("own_files")).replace("FROM doc_files f", "FROM own_files f")
+for_all = lambda sql: sql.replace(DOCS, OWN).replace(f" WHERE {OTHER}", "").replace(" WHERE NOT contains(m.path, 'index')", "")
+query("containing_section_all", for_all(f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block"))(lambda s, d: C.containing_section(C.code_blocks(own(s, d)), C.sections(own(s, d))).select("path", "start_line", "language", "section"))
+query("scan_imports_all", for_all(f"{MATCH} SELECT * FROM m"))(lambda s, d: C.scan_imports(own(s, d), known(s, d)).drop("start_line"))
+related_all = lambda s, d: C.related_docs(C.scan_imports(own(s, d), known(s, d)), C.page_metadata(own(s, d)))
+query("related_docs_all", for_all(f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20"))(related_all)
+query("related_docs_for_all", for_all(SQL["related_docs_for"]))(lambda s, d: C.related_docs_for(wanted(s, d), related_all(s, d)).withColumn("paths", F.array_join("paths", ",")))
 query("page_links", f"""{DOCS} SELECT path, unnest(['the item', 'site', 'pic', 'readme']) AS text, unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'img/a.png', 'docs/readme.md']) AS target, unnest([false, false, true, false]) AS is_image,
   unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'https://raw.org/img/a.png', 'https://github.com/acme/repo/blob/main/libs/docs/readme.md']) AS url FROM doc""")(lambda s, d: C.page_links(docs(s, d), "acme/repo", "main", "https://raw.org", "libs"))
 

@@ -63,3 +63,16 @@ def test_whole_headings_and_files(spark, folder):
     contents = {r["content"] for r in bound(spark, folder[0], "whole_files").collect()}
     assert len(contents) == 61 and all(any(t in x for x in contents) for t in folder[1].values())
     assert got == {hashlib.md5((x + "\n").encode()).hexdigest() for x in contents}
+
+
+def test_index_pages_count(spark, folder):
+    even = [i for i in folder[1] if i % 2 == 0]
+    found = [r for r in rows(spark, folder, "scan_imports_all") if r["symbol"] == "Tool"]
+    assert len({r["path"] for r in found}) == len(found) == len(even)
+    index = {r["path"]: r["section"] for r in found if "index" in r["path"]}
+    assert set(index) == {("src/oss/acme/" if i % 3 == 0 else f"docs/src{i % 4}/") + f"{i}/index.md" for i in range(0, 61, 10)}
+    assert index["src/oss/acme/30/index.md"] == "using-src2-now" and index["src/oss/acme/0/index.md"] == "more"
+    totals = {r["symbol"]: r["total"] for r in rows(spark, folder, "related_docs_all")}
+    assert totals["Tool"] == totals["Def"] == len(even)
+    assert {r["symbol"]: r["total"] for r in rows(spark, folder, "related_docs_for_all")}["Item10"] == 2  # pages 10 and 60
+    assert sum(r["path"] in index for r in rows(spark, folder, "containing_section_all")) == 2 * len(index)
