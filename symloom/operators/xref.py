@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,19 +84,21 @@ def resolve_bases(bases: DataFrame, symbols: DataFrame, candidates: DataFrame) -
     return bases.join(best.select("package_id", "class_name", "base", "base_package", F.col("qualified_name").alias("base_name")), ["package_id", "class_name", "base"], "left")
 
 
-def ancestors(edges: DataFrame, most_levels: int = 100) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """(child, base, depth) of all direct and indirect bases, each once at its least depth; cycles end by themselves.
 
     One level a round: the frontier meets the edges, pairs that are known are dropped, the lineage is cut.
     """
     direct = cut(edges.select("child", "base").distinct())
     seen = frontier = cut(direct.select("child", "base", F.lit(1).alias("depth")))
-    for depth in range(2, most_levels + 1):
+    for depth in count(2):
         step = frontier.select("child", F.col("base").alias("via")).join(direct.select(F.col("child").alias("via"), "base"), "via").select("child", "base").distinct()
         frontier = cut(step.join(seen, ["child", "base"], "left_anti").filter(F.col("child") != F.col("base")).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 20 == 0:
+            seen = cut(seen)  # else the plan grows with the depth
     return seen
 
 

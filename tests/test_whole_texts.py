@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from symloom.functions import lines as L
+from symloom.operators import xref as X
 from symloom.plans.bindings import bound
 
 TEXTS = {
@@ -76,3 +77,9 @@ def test_index_pages_count(spark, folder):
     assert totals["Tool"] == totals["Def"] == len(even)
     assert {r["symbol"]: r["total"] for r in rows(spark, folder, "related_docs_for_all")}["Item10"] == 2  # pages 10 and 60
     assert sum(r["path"] in index for r in rows(spark, folder, "containing_section_all")) == 2 * len(index)
+
+
+def test_ancestors_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(103)], "child long, base long")
+    got = {(r["child"], r["base"]): r["depth"] for r in X.ancestors(edges).collect()}
+    assert got == {(i, j): j - i for i in range(103) for j in range(i + 1, 104)}
