@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.graph import connected_components
-from symloom.llm.text import Words, cut, words_of
+from symloom.llm.text import Words, cut, unused_names, words_of
 
 
 def choose_bands(similarity: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
@@ -39,15 +40,17 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((h, whole))[order], rows[order]
 
 
-def _links(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, within: bool, similarity: float) -> np.ndarray:
-    """Which pairs share a band and have n-gram sets of the wanted Jaccard similarity, as a symmetric matrix."""
+def _links(sets: list[np.ndarray], above: list[list[int]], similarity: float) -> np.ndarray:
+    """Which pairs have n-gram sets of the wanted Jaccard similarity and no greater unit in common, as a symmetric matrix."""
     n = len(sets)
-    wanted = np.zeros((n, n), dtype=bool)
-    for k in range(bands.shape[1]):
-        wanted |= bands[:, k][:, None] == bands[:, k][None, :]
-    if not within:
-        wanted &= side[:, None] != side[None, :]
-    wanted &= np.triu(np.ones((n, n), dtype=bool), 1)
+    wanted = np.triu(np.ones((n, n), dtype=bool), 1)
+    in_unit = defaultdict(list)
+    for i, others in enumerate(above):
+        for other in others:
+            in_unit[other].append(i)
+    for both in in_unit.values():  # decided there
+        if len(both) > 1:
+            wanted[np.ix_(both, both)] = False
     sizes = np.array([len(s) for s in sets])
     # sets of very different sizes cannot be similar
     wanted &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
@@ -80,26 +83,71 @@ def _links(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, within:
     return linked | linked.T
 
 
-def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links of every document.
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The first row that links lead to, for every row."""
+    root = np.arange(len(linked))
+    for a in range(len(linked)):
+        if root[a] == a:
+            todo = [a]
+            while todo:
+                near = np.flatnonzero(linked[todo.pop()] & (root > a))
+                root[near] = a
+                todo += near.tolist()
+    return root
 
-    A link joins two rows whose sets of word n-grams have a Jaccard similarity of ``similarity`` or more; class_id
-    is the least id of all that links lead to, n_copies the rows with the same words, n_links the rows linked with.
 
-    Rows of equal words are one representative (their links are counted, not listed). Representatives that share a
-    band hash are put into one candidate group by star edges and joins; the group's texts meet in one place, blocks
-    against blocks if it is large, and every pair with a common band is verified there on its full sets. Only a
-    count and one tree edge for each member leave that place, so no list of pairs is ever made.
+def _verified(unit: tuple[int, int, int], held: dict, similarity: float) -> list[tuple]:
+    """(rep, key, links, to_rep, to_key) of one block, or of two blocks against each other.
 
-    Words are runs of other characters than ASCII white space; texts of fewer than n words have one n-gram, of all
-    of them. Null and empty texts, and rows with a null id, have no links and are their own class (null for a null
-    id). Rows repeated with one id count as copies.
+    A block by itself counts the links within it and ties every member to its root there. Two blocks count the links
+    across, and tie the roots that these join: the roots of a block are the same wherever it is compared, so the
+    edges of a large group stay few.
+    """
+    nodes = sorted(held)
+    side = np.array([held[x][0] for x in nodes])
+    weights = np.array([held[x][1] for x in nodes])
+    linked = _links([held[x][3] for x in nodes], [held[x][2] for x in nodes], similarity)
+    across = side[:, None] != side[None, :]
+    root = _roots(linked & ~across)
+    if unit[1] == unit[2]:
+        counts = linked @ weights
+        return [(*nodes[i], int(counts[i]), *nodes[root[i]]) for i in np.flatnonzero(counts).tolist()]
+    linked &= across
+    counts = linked @ weights
+    a, b = np.nonzero(np.triu(linked))
+    joined = set(zip(np.minimum(root[a], root[b]).tolist(), np.maximum(root[a], root[b]).tolist(), strict=True))
+    return [(*nodes[i], int(counts[i]), *nodes[i]) for i in np.flatnonzero(counts).tolist()] + [(*nodes[i], 0, *nodes[j]) for i, j in sorted(joined)]
+
+
+def _units(classes: DataFrame, block: int) -> DataFrame:
+    """(rep, key, n_copies, unit, above, parts): the buckets in which a class is to be compared, of those with two or more classes.
+
+    A unit is a band bucket. Buckets with the same members are one unit, and a unit whose members all have one and
+    the same largest unit lies within that and is left out. ``above`` lists the member's greater units: a pair is
+    decided in the greatest that both are in, which is never one that was left out.
     """
+    banded = classes.select("rep", "key", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    members = cut(banded.join(shared, "bucket"))
+    name, check = F.bit_xor(F.xxhash64("rep", "key")).alias("name"), F.bit_xor(F.xxhash64("key", "rep", F.lit(1))).alias("check")
+    units = members.groupBy("bucket", "size").agg(name, check).groupBy("size", "name", "check").agg(F.min("bucket").alias("bucket"))
+    own = members.select("rep", "key", "bucket").join(units.select("bucket", "size"), "bucket").groupBy("rep", "key").agg(F.collect_list(F.struct("size", F.col("bucket").alias("unit"))).alias("own"))  # a bucket a band at most
+    own = cut(own.join(classes.select("rep", "key", "n_copies", "n_words"), ["rep", "key"]))
+    placed = own.select("*", F.explode("own").alias("at")).withColumn("best", F.array_max("own"))
+    least, most = F.min("best").alias("least"), F.max("best").alias("most")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / (block * 8192))).cast("int").alias("parts")
+    kept = placed.groupBy("at").agg(least, most, parts).filter((F.col("least") != F.col("most")) | (F.col("least") == F.col("at"))).select("at", "parts")
+    above = F.transform(F.filter("own", lambda x: x > F.col("at")), lambda x: x["unit"])
+    return placed.join(kept, "at").select("rep", "key", "n_copies", F.col("at.unit").alias("unit"), above.alias("above"), "parts")
+
+
+def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, key, words_id), (classes: words_id, root (rep, key), n_copies, n_links); key is a hash of the text."""
     bands, width = choose_bands(similarity, recall)
     random = np.random.default_rng(11)
     factors = random.integers(1, 1 << 32, bands * width, dtype=np.uint32) | np.uint32(1)
     salts = random.integers(0, 1 << 32, bands * width, dtype=np.uint32)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +158,11 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
                 least = np.empty((len(own), bands * width), dtype=np.uint32)
                 for k in range(bands * width if len(own) else 0):
                     least[:, k] = np.minimum.reduceat((folded ^ salts[k]) * factors[k], starts)
-                key = np.zeros((len(own), bands), dtype=np.uint64)
+                bucket = np.tile(np.arange(bands, dtype=np.uint64), (len(own), 1))
                 for k in range(width):
-                    key = (key ^ least[:, k::width][:, :bands]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                flat = pa.array(key.view(np.int64).reshape(-1))
+                    bucket = (bucket ^ least[:, k::width][:, :bands]) * np.uint64(0x9E3779B97F4A7C15)
+                    bucket ^= bucket >> np.uint64(29)
+                flat = pa.array(bucket.view(np.int64).reshape(-1))
                 signed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), flat)
                 names = []
                 for r in own.tolist():
@@ -124,85 +172,84 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
                 where[own] = np.arange(len(own))
                 take = pa.array(where, mask=where < 0)
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.binary()).take(take), pa.array(words.counts.astype(np.int64)), signed.take(take)], ["doc_id", "text_key", "words_id", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.binary()).take(take), pa.array(words.counts.astype(np.int64)), signed.take(take)], ["doc_id", "key", "words_id", "n_words", "bands"])
 
-    signed = cut(rows.mapInArrow(sign, "doc_id long, text_key long, words_id binary, n_words long, bands array<long>"))
+    signed = cut(rows.mapInArrow(sign, "doc_id long, key long, words_id binary, n_words long, bands array<long>"))
     known = signed.filter(F.col("doc_id").isNotNull() & F.col("words_id").isNotNull())
     classes = known.groupBy("words_id").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")
+        F.min(F.struct("doc_id", "key")).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")
     )
-    classes = cut(classes.select("words_id", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"), "n_copies", "bands", "n_words"))
-
-    # candidate groups: each member of a band hash is tied to the least of them
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter(F.col("hub") < F.col("top"))
-    edges = banded.join(hubs, ["band", "hash"]).filter(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = connected_components(edges)
-    members = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.drop("words_id"), "rep")
-    members = cut(members)
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / (block * 8192))).cast("int").alias("parts"))
-    placed = members.join(sizes, "grp").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = rows.select(F.col("doc_id").alias("rep"), "text_key", "text")
-    together = placed.join(texts, ["rep", "text_key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    unit = ["grp", "low", "high"]
-    together = together.select("grp", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "n_copies", "bands", "text")
+    classes = cut(classes.select("words_id", F.col("rep.doc_id").alias("rep"), F.col("rep.key").alias("key"), "n_copies", "bands", "n_words"))
+
+    placed = _units(classes, block).withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+    texts = rows.select(F.col("doc_id").alias("rep"), "key", "text")
+    together = placed.join(texts, ["rep", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = ["unit", "low", "high"]
+    together = together.select("unit", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "key", "n_copies", "above", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-
-        def decide() -> list[tuple[int, int, int]]:
-            reps = sorted(held)
-            if len(reps) < 2:
-                return []
-            texts = pa.array([held[r][3] for r in reps], pa.string())
-            sets: list[np.ndarray] = []
-            for first, last, words in words_of(texts):
-                h, row = shingles(words, n)
-                at = np.searchsorted(row, np.arange(last - first + 1))
-                sets += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            linked = _links(sets, np.array([held[r][2] for r in reps]), np.array([held[r][0] for r in reps]), key[1] == key[2], similarity)
-            weights = np.array([held[r][1] for r in reps])
-            counts = linked @ weights
-            root = np.arange(len(reps))
-            for a in range(len(reps)):  # rows are in order of id, so the first row reached is the least
-                if root[a] == a:
-                    todo = [a]
-                    while todo:
-                        near = np.flatnonzero(linked[todo.pop()] & (root > a))
-                        root[near] = a
-                        todo += near.tolist()
-            return [(reps[i], int(counts[i]), reps[root[i]]) for i in range(len(reps)) if counts[i]]
+        now, held, found = None, {}, []
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "key", "links", "to_rep", "to_key"])
 
-        found: list[tuple[int, int, int]] = []
         for batch in batches:
-            for g, low, high, side, rep, copies, hashes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (g, low, high):
-                    found += decide() if held else []
-                    key, held = (g, low, high), {}
-                held[rep] = (side, copies, hashes, text)
-            if found:
-                yield batch_of(found)
-                found = []
-        found += decide() if held else []
+            for first, last, words in words_of(batch.column(8)):
+                h, row = shingles(words, n)
+                at = np.searchsorted(row, np.arange(last - first + 1)).tolist()
+                part = batch.slice(first, last - first)
+                for i, (u, low, high, side, rep, key, copies, above) in enumerate(zip(*(c.to_pylist() for c in part.columns[:8]), strict=True)):
+                    if now != (u, low, high):
+                        found += _verified(now, held, similarity) if len(held) > 1 else []
+                        now, held = (u, low, high), {}
+                    held[rep, key] = (side, copies, above, np.unique(h[at[i] : at[i + 1]]))
+                if found:
+                    yield batch_of(found)
+                    found = []
+        found += _verified(now, held, similarity) if len(held) > 1 else []
         if found:
             yield batch_of(found)
 
-    verified = cut(together.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, "rep long, links long, root long"))
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    trees = connected_components(verified.filter(F.col("rep") != F.col("root")).select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    decided = classes.select("words_id", "rep", "n_copies").join(links, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
-    decided = decided.select("words_id", F.coalesce("component", "rep").alias("class_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    own = F.when(F.col("doc_id").isNotNull(), F.col("words_id"))
-    joined = signed.select("doc_id", own.alias("words_id")).join(decided, "words_id", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id. Rows with a null id all stay."""
-    found = similar_documents(docs, **settings)
-    kept = found.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    numbered = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    verified = cut(together.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, "rep long, key long, links long, to_rep long, to_key long"))
+    links = verified.groupBy("rep", "key").agg(F.sum("links").alias("links"))
+    edges = verified.select(F.struct("rep", "key").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_key").alias("key")).alias("b"))
+    trees = connected_components(edges.filter(F.col("a") != F.col("b"))).select("node.rep", "node.key", F.col("component").alias("root"))
+    decided = classes.select("words_id", "rep", "key", "n_copies").join(links, ["rep", "key"], "left").join(trees, ["rep", "key"], "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")
+    decided = decided.select("words_id", F.coalesce("root", F.struct("rep", "key")).alias("root"), "n_copies", n_links)
+    return signed.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("words_id")).alias("words_id")), decided
+
+
+def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links of every document.
+
+    A link joins two rows whose sets of word n-grams have a Jaccard similarity of ``similarity`` or more; class_id
+    is the least id of all that links lead to, n_copies the rows with the same words, n_links the rows linked with.
+
+    Rows of equal words are one class with one text (their links are counted, not listed). Classes are shuffled on
+    their band hashes, and those that share one meet in that bucket, as blocks against blocks if it is large, where
+    every pair is verified on its full sets, once. Counts and tree edges leave that place, so no list of pairs is
+    ever made. Texts that share no band never meet, whatever chains of collisions lie between them.
+
+    Words are runs of other characters than ASCII white space; texts of fewer than n words have one n-gram, of all
+    of them. Null and empty texts, and rows with a null id, have no links and are their own class (null for a null
+    id). Rows repeated with one id count as copies; one id may have several texts, each with links of its own.
+    """
+    rows, decided = _classified(docs, n, similarity, recall, block)
+    joined = rows.select("doc_id", "words_id").join(decided, "words_id", "left")
+    return joined.select("doc_id", F.coalesce("root.rep", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+    """``docs`` with one row of each class: that of the least id.
+
+    Of one id with several texts each text is judged by itself. Rows repeated with one id and one text stay once;
+    rows without words stay, and so do all rows with a null id.
+    """
+    rows, decided = _classified(docs, n, similarity, recall, block)
+    itself = F.col("root").isNull() | ((F.col("root.rep") == F.col("doc_id")) & (F.col("root.key") == F.col("key")))
+    own_id, own_key = unused_names(docs.columns, "id", "key")
+    kept = rows.filter(F.col("doc_id").isNotNull()).join(decided.select("words_id", "root"), "words_id", "left").filter(itself).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).distinct()
+    numbered = docs.filter(F.col("doc_id").isNotNull()).withColumns({own_id: F.col("doc_id").cast("long"), own_key: F.xxhash64("text")})
+    numbered = numbered.join(kept, [own_id, own_key], "left_semi").dropDuplicates([own_id, own_key])
     return numbered.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

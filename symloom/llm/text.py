@@ -24,6 +24,15 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def unused_names(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    before = "_"
+    while any((before + name).lower() in taken for name in names):
+        before += "_"
+    return [before + name for name in names]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets into them; null counts as empty."""
     column = pc.fill_null(column, "")

@@ -75,6 +75,55 @@ def test_one_of_each(docs, rows, clashing):
     assert kept == want
 
 
+def test_one_id_with_several_texts(spark):
+    import random
+
+    r = random.Random(8)
+    first, second = ([r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(120)] for _ in range(2))
+    near = lambda words, k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(1, " ".join(first)), (1, " ".join(second)), (2, near(first, 40)), (3, near(second, 70)), (4, None), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.similar_documents(df), "doc_id", "class_id", "n_links") == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (4, 4, 0), (4, 4, 0)])
+    assert got(ngram_join.one_of_each(df), "doc_id", "text") == Counter([rows[0], rows[1], (4, None), (4, "")])
+
+
+def test_edges_of_a_large_group_stay_few():
+    """A group compared in blocks: each member is tied once to a root of its block, and roots to roots."""
+    import numpy as np
+
+    def edges(members, block=32):
+        sides = [i % (members // block) for i in range(members)]
+        shared = np.arange(100, dtype=np.uint64)
+        held = {(i, 0): (sides[i], 1, [], np.append(shared, np.uint64(1000 + i))) for i in range(members)}
+        found = []
+        for low in range(members // block):
+            for high in range(low, members // block):
+                found += ngram_join._verified((0, low, high), {k: v for k, v in held.items() if v[0] in (low, high)}, 0.8)
+        links = Counter()
+        for a, _, n, _, _ in found:
+            links[a] += n
+        assert set(links.values()) == {members - 1}
+        return len({(a, b) for a, _, _, b, _ in found if a != b})
+
+    assert edges(256) < 2.2 * edges(128) and edges(256) < 1.2 * 256
+
+
+def test_a_pair_is_decided_in_its_greatest_unit(spark):
+    """Every pair that shares a bucket meets in exactly one kept unit, and units within others are left out."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, 0, [r.randint(0, 30), 100 + r.randint(0, 10), 200 + i % 3], 1, 10) for i in range(60)]
+    classes = spark.createDataFrame(rows, "rep long, key long, bands array<long>, n_copies long, n_words long")
+    units, above = defaultdict(set), {}
+    for u in ngram_join._units(classes, 256).collect():
+        units[u["unit"]].add(u["rep"])
+        above[u["unit"], u["rep"]] = set(u["above"])
+    met = Counter((a, b) for u, members in units.items() for a in members for b in members if a < b and not above[u, a] & above[u, b])
+    assert met == Counter((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and set(a[2]) & set(b[2]))
+    assert len(units) < len({x for row in rows for x in row[2]})
+
+
 def test_bands_reach_recall():
     bands, width = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**width) ** bands >= 0.9999 and bands * width <= 160
