@@ -23,16 +23,18 @@ TURNS = {
 
 @dataclass(frozen=True)
 class Template:
-    """How a turn is written, as (text, loss) segments; ``{role}`` and ``{text}`` stand for the turn's own.
+    """How a turn is written, as (text, loss) segments; ``{role}`` and ``{text}`` stand for the turn's own, and loss
+    names the role whose turns are learned there (None: no role's are).
 
     Roles and texts are escaped: a character that begins any control string is written as ``escape`` and a letter,
     so no control string can occur inside a text, and the writing can be undone.
     """
 
-    segments: tuple[tuple[str, str], ...] = (("<|turn|>{role}<|text|>", "never"), ("{text}", "assistant"), ("<|end|>", "never"))
+    segments: tuple[tuple[str, str | None], ...] = (("<|turn|>{role}<|text|>", None), ("{text}", "assistant"), ("<|end|>", None))
     controls: tuple[str, ...] = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
     escape: str = "\\"
     turns: dict = field(default_factory=lambda: TURNS, hash=False)
+    ends: tuple[str, ...] = ("assistant",)
 
     @property
     def codes(self) -> dict[str, str]:
@@ -54,27 +56,50 @@ class Template:
         return re.sub(re.escape(self.escape) + ".", lambda m: back[m[0]], text, flags=re.S) if self.escape in text else text
 
 
+TURN = "conv_id long, turn long, role string, segments array<struct<text:string,loss:boolean>>, state string"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segments")
+
+
 def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row for each turn: conv_id, turn, role, segments (array of text and loss flag).
+    """One row for each turn: conv_id, turn, role, segments (array of text and loss flag), state.
 
-    Written with built-in functions, without a shuffle. Null texts and roles count as empty; only the text segments
-    of the roles named by the template carry loss. Null conv_ids form a conversation of their own; other columns
-    are ignored.
+    Segments are written with built-in functions. Rows are then dealt by conv_id and sorted by turn (ties by role and
+    written text), and the turn machine walks them as a stream: state is the machine's after the turn, "wrong" from
+    the first turn out of order on. Turns out of order are written all the same.
+
+    Null texts and roles count as empty; only the segments of a role that the template names carry loss, whatever
+    the roles are called. Null conv_ids form a conversation of their own; other columns are ignored.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for pattern, loss in template.segments:
         pieces = [template.escaped({"{role}": role, "{text}": text}[p]) if p in ("{role}", "{text}") else F.lit(p) for p in re.split(r"(\{role\}|\{text\})", pattern) if p]
-        parts.append(F.struct(F.concat(*pieces).alias("text"), (role == F.lit(loss)).alias("loss")))
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.array(*parts).alias("segments"))
+        parts.append(F.struct(F.concat(*pieces).alias("text"), (F.lit(False) if loss is None else role == F.lit(loss)).alias("loss")))
+    written = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.array(*parts).alias("segments"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, "start"
+        for batch in batches:
+            states = []
+            for conv, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if conv != key:
+                    key, state = conv, "start"
+                state = template.turns.get((state, said), "wrong")
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], ["conv_id", "turn", "role", "segments", "state"])
+
+    return _dealt(written).mapInArrow(walk, TURN)
 
 
-def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
+def read_back(formatted: DataFrame, template: Template = Template(), dealt: bool = False) -> DataFrame:
     """One row for each conversation, read from the written segments: digests, sizes, and whether turns are in order.
 
-    Rows are dealt by conv_id and sorted by turn (ties by role and written text), and each conversation passes through as a
-    stream: running digests and the state of the turn machine are all that is held, so its length does not matter.
-    valid is true if every turn follows TURNS and the last one is an assistant's.
+    Rows are dealt by conv_id and sorted by turn, unless they come straight from ``format_turns`` (``dealt``), and
+    each conversation passes through as a stream: running digests are all that is held, so its length does not
+    matter. valid is true if the state written with the last turn is one that the template may end in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,17 +109,17 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         key, fresh, out = None, True, []
         n = loss_chars = chars = 0
         turns_sha = loss_sha = None
-        state = "start"
+        state = None
 
         def row() -> tuple:
-            return key, n, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars, state == "assistant"
+            return key, n, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars, state in template.ends
 
         for batch in batches:
-            for conv, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv, segments, after in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if fresh or conv != key:
                     if not fresh:
                         out.append(row())
-                    key, fresh, state = conv, False, "start"
+                    key, fresh = conv, False
                     n = loss_chars = chars = 0
                     turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
                 written = "".join(s["text"] for s in segments)
@@ -106,8 +131,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                         taught = template.unescape(s["text"])
                         loss_chars += len(taught)
                         loss_sha.update(taught.encode())
-                n, chars = n + 1, chars + len(written)
-                state = template.turns.get((state, role), "wrong")
+                n, chars, state = n + 1, chars + len(written), after
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                 out = []
@@ -116,6 +140,6 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segments")
+    rows = formatted if dealt else _dealt(formatted)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    return dealt.select("conv_id", "segments").mapInArrow(run, schema)
+    return rows.select("conv_id", "segments", "state").mapInArrow(run, schema)

@@ -9,110 +9,147 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.window import Window
 
-from symloom.llm.text import fold
+from symloom.llm.text import cut, fold, unused_names
 
-BITS = 13
+#: n-grams are told apart by so many bits of their hash: enough for the distinct ones of texts of any length.
+BITS = 22
 
 
 @dataclass
 class LanguageModel:
-    """landmarks: presence rows divided by their length; weights: landmarks x languages."""
+    """grams: hashes of the n-grams of all landmarks, in order; landmarks: presence rows over them, each divided by its
+    text's norm; weights: landmarks x languages. No part exceeds landmarks x 2**BITS bits or landmarks x languages."""
 
     languages: list[str]
+    grams: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
     longest: int
 
 
-def presence(text: str, longest: int, row: np.ndarray) -> None:
-    """Mark in ``row`` the hashed character n-grams of 1 to ``longest`` characters that occur in the whole text."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    h = np.zeros(len(points), dtype=np.uint32)
-    for n in range(1, longest + 1):
-        if len(points) < n:
-            break
-        h = (h[: len(points) - n + 1] if n == 1 else h[:-1]) * np.uint32(0x01000193) + points[n - 1 :] + np.uint32(n)
-        row[(h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)] = 1
+class Presence:
+    """Distinct hashed character n-grams of whole texts."""
 
+    def __init__(self, longest: int):
+        self.longest, self.last = longest, np.zeros(1 << BITS, dtype=np.int32)
 
-def rows(texts: list[str], longest: int) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-    for text, row in zip(texts, out, strict=True):
-        presence(text, longest, row)
-    return out
+    def __call__(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+        h, found = np.zeros(len(points), dtype=np.uint32), []
+        for n in range(1, self.longest + 1):
+            if len(points) < n:
+                break
+            h = (h[: len(points) - n + 1] if n == 1 else h[:-1]) * np.uint32(0x01000193) + points[n - 1 :] + np.uint32(n)
+            found.append((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS))
+        every = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        number = np.arange(len(every), dtype=np.int32)
+        self.last[every] = number  # of equal hashes the last one written remains
+        return every[self.last[every] == number]
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows divided so that a text's kernel with itself is 1."""
-    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+class Kernel:
+    """Rows of the normalised n-gram presence kernel between texts and landmarks."""
 
+    def __init__(self, grams: np.ndarray, landmarks: np.ndarray, longest: int):
+        self.presence, self.width = Presence(longest), len(grams)
+        self.column = np.full(1 << BITS, self.width, dtype=np.int32)  # the last column is for all other n-grams
+        self.column[grams] = np.arange(self.width)
+        self.landmarks = np.ascontiguousarray(landmarks.T)
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks_per_language: int = 40, longest: int = 3, ridge: float = 1e-3) -> LanguageModel:
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        rows, norms = np.zeros((len(texts), self.width + 1), dtype=np.float32), np.ones((len(texts), 1), dtype=np.float32)
+        for i, text in enumerate(texts):
+            own = self.presence(text)
+            rows[i, self.column[own]] = 1
+            norms[i] = np.sqrt(max(1, len(own)))
+        return (rows[:, :-1] @ self.landmarks) / norms
+
+
+def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 160, longest: int = 3, ridge: float = 1e-3, most_languages: int = 160) -> LanguageModel:
     """Learn from text and non-null lang of rows whose fold is not 0.
 
-    The sample is bounded: about ``per_language`` rows of each language, chosen by a hash of the id at a rate set by
-    the exact count of the language. Executors turn them into presence bits (1 KiB a row), which are collected.
+    The sample is bounded: of each of the ``most_languages`` most frequent languages about ``per_language`` rows,
+    chosen by a hash of the id at a rate set by the exact count of the language. ``landmarks`` rows in all, as many
+    of each language as can be, become the landmarks; executors compute the sample's kernel rows with them, and only
+    these numbers are collected. Without labelled rows no language is known.
     """
     learned = docs.filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in learned.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
-        return LanguageModel([], np.zeros((0, 1 << BITS), np.float32), np.zeros((0, 0), np.float32), longest)
+        return LanguageModel([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), longest)
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = learned.select("doc_id", "text", "lang").filter(drawn < F.element_at(rate, F.col("lang")))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
+    sample = learned.select("doc_id", "text", "lang", drawn.alias("drawn")).filter(F.col("lang").isin(list(counts)))
+    sample = cut(sample.filter(F.col("drawn") / float(1 << 30) < F.element_at(rate, F.col("lang"))))
+    each = -(-landmarks // len(counts))
+    order = Window.partitionBy("lang").orderBy("drawn", "doc_id", "text")
+    chosen = sample.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).orderBy("nth", "lang").limit(landmarks)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence = Presence(longest)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sort(presence(t)).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["grams"])
+
+    sets = [np.frombuffer(g, dtype=np.uint32) for g in sorted(bytes(r[0]) for r in chosen.select("text").mapInArrow(listed, "grams binary").collect())]
+    grams = np.unique(np.concatenate(sets))
+    marks = np.zeros((len(sets), len(grams)), dtype=np.float32)
+    for row, own in zip(marks, sets, strict=True):
+        row[np.searchsorted(grams, own)] = 1 / np.sqrt(max(1, len(own)))
+    shared = docs.sparkSession.sparkContext.broadcast((grams, marks, longest))
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(*shared.value)
         for batch in batches:
-            packed = [np.packbits(rows([t], longest).astype(bool)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "lang", "bits"])
+            k = [kernel([t])[0].tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k, pa.binary())], ["doc_id", "lang", "kernel"])
 
-    got = sorted(tuple(r) for r in sample.mapInArrow(bits, "doc_id long, lang string, bits binary").collect())
+    got = sorted(tuple(r) for r in sample.select("doc_id", "text", "lang").mapInArrow(kernel_rows, "doc_id long, lang string, kernel binary").collect())
     languages = sorted(counts)
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r[2]) for r in got), dtype=np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    x = unit(x)
+    k = np.frombuffer(b"".join(bytes(r[2]) for r in got), dtype=np.float32).reshape(len(got), -1).astype(np.float64)
     names = np.array([r[1] for r in got])
     y = (names[:, None] == np.array(languages)[None, :]).astype(np.float64)
-    chosen = np.concatenate([np.flatnonzero(names == lang)[:landmarks_per_language] for lang in languages])
-    landmarks = x[chosen]
-    k = (x @ landmarks.T).astype(np.float64)
-    among = (landmarks @ landmarks.T).astype(np.float64)
+    among = (marks @ marks.T).astype(np.float64)
     # rows of rare languages weigh as much in all as those of common ones
     weight = (1 / np.maximum(1, (names[:, None] == names[None, :]).sum(axis=1)))[:, None]
     left = k.T @ (weight * k) + ridge * among + 1e-8 * np.eye(len(among))
-    return LanguageModel(languages, landmarks, np.linalg.solve(left, k.T @ (weight * y)).astype(np.float32), longest)
+    return LanguageModel(languages, grams, marks, np.linalg.solve(left, k.T @ (weight * y)).astype(np.float32), longest)
 
 
 def predict(docs: DataFrame, model: LanguageModel, block: int = 64) -> DataFrame:
-    """``docs`` with lang_pred and score: a batch's kernel rows with the landmarks, times the weights.
+    """``docs`` with lang_pred, score and margin: a batch's kernel rows with the landmarks, times the weights.
 
-    Texts that are null or have no letter, and all texts if no language was learned, get ``und`` and 0. Only the
+    score is the decision value of the best language; margin is its lead on the second, as a share of it (1 for an
+    only language), which unlike the score does not depend on the text's length.
+
+    Texts that are null or have no letter, and all texts if no language was learned, get ``und``, 0 and 0. Only the
     text is an input. No shuffle. Null ids, repeated rows and texts of any length are kept and read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks_per_language x languages rows of 32 KiB
-    kept = docs.drop("lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.drop("lang_pred", "score", "margin")
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        landmarks = np.ascontiguousarray(model.landmarks.T)
+        kernel = Kernel(model.grams, model.landmarks, model.longest) if model.languages else None
         for batch in batches:
-            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            names, scores, margins = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             texts = batch.column(at).to_pylist()
-            live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
+            live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if kernel else []
             for first in range(0, len(live), block):
                 part = live[first : first + block]
-                kernel = unit(rows([texts[i] for i in part], model.longest)) @ landmarks
-                decided = kernel @ model.weights
+                decided = kernel([texts[i] for i in part]) @ model.weights
                 best = decided.argmax(axis=1)
-                scores[part] = np.clip(decided[np.arange(len(part)), best], 0, 1)
+                top, second = decided.max(axis=1), np.sort(decided, axis=1)[:, -2] if decided.shape[1] > 1 else np.zeros(len(part))
+                scores[part] = np.clip(top, 0, 1)
+                margins[part] = np.clip((top - second) / np.maximum(top, 1e-9), 0, 1)
                 for i, b in zip(part, best.tolist(), strict=True):
                     names[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(margins)], [*batch.schema.names, "lang_pred", "score", "margin"])
 
-    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
     return kept.mapInArrow(run, schema)
 
 
@@ -123,7 +160,13 @@ def predicted_languages(docs: DataFrame, **settings) -> DataFrame:
     return predict(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least_score: float = 0.2, **settings) -> DataFrame:
-    """``docs`` without those whose language is undetermined: no letter, or a score under ``least_score``."""
-    found = predict(docs, fit(docs, **settings))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+def known_language(docs: DataFrame, least_margin: float = 0.001, **settings) -> DataFrame:
+    """``docs`` without those whose language is undetermined: no letter, or no language ahead by ``least_margin``.
+
+    Columns of ``docs`` named lang_pred, score or margin stay as they are.
+    """
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "margin")]
+    aside = dict(zip(clash, unused_names(docs.columns, *clash), strict=True))
+    found = predict(docs.withColumnsRenamed(aside), fit(docs, **settings))
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("margin") >= least_margin))
+    return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.read_back(chat_format.format_turns(turns))
+    return chat_format.read_back(chat_format.format_turns(turns), dealt=True)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

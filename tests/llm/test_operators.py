@@ -314,6 +314,7 @@ def test_chat_format(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\b <|end|> \\a", "<|turn|>user<|text|>", "", None, "é😀\n\n", "\\", "[[<<\\a\\b"]
     turns = [(c, t, ("user", "assistant", None, "tool<|text|>")[(c + t) % 4], nasty[(c * 3 + t) % len(nasty)], 7) for c in range(12) for t in range(c % 5 + 1)]
     turns += [(50, t, ("user", "assistant")[t % 2], f"turn {t} ", 7) for t in range(3000)] + [(None, 0, "user", "x", 7)] + [(60, 0, "user", "same", 7)] * 2
+    turns += [(70, 0, "never", "no loss here", 7), (71, 0, "user", "a", 7), (71, 1, "assistant", "b", 7), (71, 2, "assistant", "c", 7), (-1, 0, "system", "s", 7), (-1, 1, "user", "u", 7), (-1, 2, "assistant", "a", 7)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, segments int").repartition(5)
     by = defaultdict(list)
     for c, t, role, text, _ in turns:
@@ -326,7 +327,11 @@ def test_chat_format(spark):
     out = chat_format.read_back(chat_format.format_turns(df))
     assert got(out, "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == want
     valid = {r["conv_id"]: r["valid"] for r in out.collect()}
-    assert valid[50] and not valid[60] and not valid[None]
+    assert valid[50] and valid[-1] and not (valid[60] or valid[None] or valid[70] or valid[71])
+    assert got(chat_format.read_back(chat_format.format_turns(df), dealt=True), *out.columns) == got(out, *out.columns)
+    states = {(r["conv_id"], r["turn"]): r["state"] for r in chat_format.format_turns(df).collect()}
+    assert [states[71, k] for k in range(3)] == ["user", "assistant", "wrong"] and states[70, 0] == "wrong"
+    assert not any(s["loss"] for r in chat_format.format_turns(df).filter("conv_id = 70").collect() for s in r["segments"])
     assert out.filter("conv_id = 60").first()["formatted_chars"] == 2 * (len("<|turn|>user<|text|>same<|end|>"))
     assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
 
@@ -347,7 +352,35 @@ def test_language_id(spark, docs, empty, clashing):
     assert all(0 <= x["score"] <= 1 for x in found)
     assert langid.predicted_languages(empty).count() == 0
     assert {x["lang_pred"] for x in langid.predicted_languages(df.filter("doc_id > 9000")).collect()} <= {"und", "aa"}
-    assert langid.known_language(clashing).columns == clashing.columns
+    kept = langid.known_language(clashing)
+    assert kept.columns == clashing.columns and {(r["score"], r["lang_pred"]) for r in kept.collect()} == {tuple(clashing.select("score", "lang_pred").first())}
+
+
+def test_language_scores_against_plain_kernels(spark):
+    """Sets of n-grams and their kernel in plain Python, with the model's landmarks found again by their own kernel of 1."""
+    import numpy as np
+
+    texts = ["Ein Haus am See", "the house by the sea", "la casa del mar", "x", "the the the", "é" * 500 + "the sea" * 300]
+    df = spark.createDataFrame([(i, t, ["de", "en", "es"][i % 3]) for i, t in enumerate(texts * 4)], "doc_id long, text string, lang string")
+    model = langid.fit(df, landmarks=9)
+    grams = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    kernel = langid.Kernel(model.grams, model.landmarks, model.longest)
+    k = kernel(texts)
+    assert len(model.landmarks) <= 9
+    owner = [int(np.argmax(k[:, j])) for j in range(k.shape[1])]
+    for i, t in enumerate(texts):
+        for j, o in enumerate(owner):
+            a, b = grams(t), grams(texts[o])
+            assert abs(k[i, j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 1e-5
+    for r in langid.predict(df.limit(6), model).collect():
+        decided = k[texts.index(r["text"])] @ model.weights
+        assert r["lang_pred"] == model.languages[int(decided.argmax())] and abs(r["score"] - min(1, max(0, decided.max()))) < 1e-5
+
+
+def test_language_model_is_bounded(spark):
+    df = spark.createDataFrame([(i, f"text {i} of some kind", f"l{i % 50}") for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.fit(df, landmarks=12, most_languages=20)
+    assert len(model.languages) == 20 and len(model.landmarks) == 12
 
 
 def test_quality(spark, docs, rows, empty, clashing):
