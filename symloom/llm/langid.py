@@ -119,37 +119,32 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 160, longest:
 
 
 def predict(docs: DataFrame, model: LanguageModel, block: int = 64) -> DataFrame:
-    """``docs`` with lang_pred, score and margin: a batch's kernel rows with the landmarks, times the weights.
+    """``docs`` with lang_pred and score: a batch's kernel rows with the landmarks, times the weights.
 
-    score is the decision value of the best language; margin is its lead on the second, as a share of it (1 for an
-    only language), which unlike the score does not depend on the text's length.
-
-    Texts that are null or have no letter, and all texts if no language was learned, get ``und``, 0 and 0. Only the
+    Texts that are null or have no letter, and all texts if no language was learned, get ``und`` and 0. Only the
     text is an input. No shuffle. Null ids, repeated rows and texts of any length are kept and read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "margin")
+    kept = docs.drop("lang_pred", "score")
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         kernel = Kernel(model.grams, model.landmarks, model.longest) if model.languages else None
         for batch in batches:
-            names, scores, margins = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(at).to_pylist()
             live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if kernel else []
             for first in range(0, len(live), block):
                 part = live[first : first + block]
                 decided = kernel([texts[i] for i in part]) @ model.weights
                 best = decided.argmax(axis=1)
-                top, second = decided.max(axis=1), np.sort(decided, axis=1)[:, -2] if decided.shape[1] > 1 else np.zeros(len(part))
-                scores[part] = np.clip(top, 0, 1)
-                margins[part] = np.clip((top - second) / np.maximum(top, 1e-9), 0, 1)
+                scores[part] = np.clip(decided.max(axis=1), 0, 1)
                 for i, b in zip(part, best.tolist(), strict=True):
                     names[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores), pa.array(margins)], [*batch.schema.names, "lang_pred", "score", "margin"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("margin", DoubleType())
+    schema = StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return kept.mapInArrow(run, schema)
 
 
@@ -160,13 +155,14 @@ def predicted_languages(docs: DataFrame, **settings) -> DataFrame:
     return predict(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least_margin: float = 0.001, **settings) -> DataFrame:
-    """``docs`` without those whose language is undetermined: no letter, or no language ahead by ``least_margin``.
+def known_language(docs: DataFrame, least_score: float = 0.05, **settings) -> DataFrame:
+    """``docs`` without those whose language is undetermined: no letter, or hardly an n-gram in common with any landmark
+    (a score under ``least_score``; texts of one short word have three times that, and texts in two languages stay).
 
-    Columns of ``docs`` named lang_pred, score or margin stay as they are.
+    Columns of ``docs`` named lang_pred or score stay as they are.
     """
-    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "margin")]
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
     aside = dict(zip(clash, unused_names(docs.columns, *clash), strict=True))
     found = predict(docs.withColumnsRenamed(aside), fit(docs, **settings))
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("margin") >= least_margin))
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
     return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
