@@ -1,4 +1,4 @@
-"""Partition sketches merged by Spark: which cells of a fixed-width table were hit at least so often."""
+"""Count-min sketches of any width, as tables: which cells were hit at least twice, block by block."""
 
 from __future__ import annotations
 
@@ -6,38 +6,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+BLOCK_BITS = 14
 #: Odd factors, one for each row of a sketch.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_LOW = (1 << BLOCK_BITS) - 1
 
 
-class CellBits:
-    """One bit for each cell of each row; a key is in if its cells of all rows are set."""
+def blocks_for(keys: int, cells_per_key: float) -> int:
+    """Blocks of 2**BLOCK_BITS cells a row, so that a row has about ``cells_per_key`` cells for each key."""
+    return max(1, int(np.ceil(keys * cells_per_key / (1 << BLOCK_BITS))))
 
-    def __init__(self, width_bits: int, rows: int):
-        self.width_bits = width_bits
-        self.bits = np.zeros((rows, max(1, (1 << width_bits) // 8)), dtype=np.uint8)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], dtype=np.uint64))[0])
+def placed(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, the cells of all rows within it, packed into one number) of every 64-bit key."""
+    block = (keys >> np.uint64(1)) % np.uint64(blocks)
+    cells = np.zeros(len(keys), dtype=np.uint64)
+    for row, factor in enumerate(FACTORS):
+        cells |= (keys * factor) >> np.uint64(64 - BLOCK_BITS) << np.uint64(BLOCK_BITS * row)
+    return block.view(np.int64), cells.view(np.int64)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), dtype=bool)
-        for row, factor in zip(self.bits, FACTORS, strict=False):
-            cell = (keys * factor) >> np.uint64(64 - self.width_bits)
-            out &= (row[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return out
 
+def merged(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], blocks: int, flush: int = 1_000_000) -> DataFrame:
+    """(block, bits): a bit for each cell of a block's rows that keys hit twice or more over all of ``df``.
 
-def merged_cells(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width_bits: int, rows: int = 3, least: int = 2, flush: int = 2_000_000) -> CellBits:
-    """Cells that keys hit ``least`` (1 or 2) times or more over all of ``df``.
-
-    Each task counts its own cells (saturating at 2) and emits those it hit; the counts of all tasks are merged
-    block by block, as a stream, and leave as bits. The result has rows x 2**width_bits bits whatever the input.
+    Each task sketches its own partition (counts saturate at 2) and emits the cells it hit; these are dealt by block
+    and merged as a stream, one block at a time. The table grows with ``blocks``; no task or driver holds it whole.
     """
-    low = (1 << min(BLOCK_BITS, width_bits)) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -45,16 +42,13 @@ def merged_cells(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.nda
         def emit() -> pa.RecordBatch:
             key = np.concatenate(held)
             held.clear()
-            out: tuple[list, list, list] = ([], [], [])
-            for row in range(rows):
-                cell, often = np.unique((key * FACTORS[row]) >> np.uint64(64 - width_bits), return_counts=True)
-                packed = (((cell & np.uint64(low)) << np.uint64(1)) | (often > 1)).astype(np.uint32)
-                block, first = np.unique(cell >> np.uint64(BLOCK_BITS), return_index=True)
-                for b, part in zip(block.tolist(), np.split(packed, first[1:]), strict=True):
-                    out[0].append(row)
-                    out[1].append(b)
-                    out[2].append(part.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["row", "block", "cells"])
+            block, cells = placed(key, blocks)
+            every = [(block << (BLOCK_BITS + 2)) | (row << BLOCK_BITS) | ((cells >> (BLOCK_BITS * row)) & _LOW) for row in range(len(FACTORS))]
+            cell, often = np.unique(np.concatenate(every), return_counts=True)
+            packed = (((cell & ((1 << (BLOCK_BITS + 2)) - 1)) << 1) | (often > 1)).astype(np.int32)
+            block, first = np.unique(cell >> (BLOCK_BITS + 2), return_index=True)
+            offsets = pa.array(np.append(first, len(packed)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.ListArray.from_arrays(offsets, pa.array(packed))], ["block", "cells"])
 
         for batch in batches:
             for key in keys(batch):
@@ -66,32 +60,45 @@ def merged_cells(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.nda
             yield emit()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen, twice = None, None, None
+        size = len(FACTORS) << BLOCK_BITS
+        now, seen, twice, out = None, np.zeros(size, dtype=bool), np.zeros(size, dtype=bool), []
 
-        def done() -> pa.RecordBatch:
-            bits = np.packbits(seen if least == 1 else twice, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())], ["row", "block", "bits"])
+        def batch_of() -> pa.RecordBatch:
+            bits = np.packbits(np.array([b for _, b in out]), axis=1, bitorder="little").view(np.int64)
+            offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * bits.shape[1])
+            made = pa.RecordBatch.from_arrays([pa.array([b for b, _ in out]), pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1)))], ["block", "bits"])
+            out.clear()
+            return made
 
         for batch in batches:
-            for row, block, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (row, block):
-                    if key is not None:
-                        yield done()
-                    key, seen, twice = (row, block), np.zeros(max(8, low + 1), dtype=bool), np.zeros(max(8, low + 1), dtype=bool)
-                packed = np.frombuffer(cells, dtype=np.uint32)
-                cell = packed >> np.uint32(1)
-                twice[cell[seen[cell] | (packed & np.uint32(1) == 1)]] = True
+            ends = batch.column(1).offsets.to_numpy()
+            every = batch.column(1).values.to_numpy()
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                if block != now:
+                    if now is not None and twice.any():
+                        out.append((now, twice.copy()))
+                        if len(out) == 64:
+                            yield batch_of()
+                    now = block
+                    seen[:], twice[:] = False, False
+                packed = every[ends[i] : ends[i + 1]]
+                cell = packed >> 1
+                twice[cell[seen[cell] | (packed & 1 == 1)]] = True
                 seen[cell] = True
-        if key is not None:
-            yield done()
-
-    parts = df.mapInArrow(count, "row int, block int, cells binary").repartition("row", "block").sortWithinPartitions("row", "block")
-    out = CellBits(width_bits, rows)
-    for row, block, bits in parts.mapInArrow(merge, "row int, block int, bits binary").toLocalIterator():
-        out.bits[row, (block << BLOCK_BITS) // 8 :][: len(bits)] = np.frombuffer(bits, dtype=np.uint8)[: out.bits.shape[1]]
-    return out
-
-
-def width_for(expected_keys: float, least: int = 16, most: int = 25) -> int:
-    """Bits of a width of about four cells for each key, between the bounds; beyond them a sketch only filters less."""
-    return int(min(most, max(least, np.ceil(np.log2(max(1.0, 4 * expected_keys))))))
+        if now is not None and twice.any():
+            out.append((now, twice))
+        if out:
+            yield batch_of()
+
+    parts = df.mapInArrow(count, "block long, cells array<int>").repartition("block").sortWithinPartitions("block")
+    return parts.mapInArrow(merge, "block long, bits array<long>")
+
+
+def hit_twice(bits: str, cells: str) -> Column:
+    """Whether all cells of a key are set: its estimated count is two or more."""
+    tests = []
+    for row in range(len(FACTORS)):
+        cell = f"(shiftright({cells}, {BLOCK_BITS * row}) & {_LOW})"
+        word = f"get({bits}, cast({(row << BLOCK_BITS) // 64} + shiftright({cell}, 6) as int))"
+        tests.append(f"(shiftright({word}, cast({cell} & 63 as int)) & 1) = 1")
+    return F.expr(" AND ".join(tests))

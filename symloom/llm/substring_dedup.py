@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.sketch import CellBits, merged_cells, width_for
-from symloom.llm.text import Words, cut, mix, text_buffers, words_of
+from symloom.llm.sketch import blocks_for, hit_twice, merged, placed
+from symloom.llm.text import Words, cut, mix, pack, text_buffers, unpack, words_of
 
 
 def window_anchors(words: Words, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,149 +45,151 @@ def _runs(at: np.ndarray, rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 _TAG_BITS = 23
 
 
-def _place_and_tag(place: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A word's place with some bits of its row's text hash, which part rows that have one id and different texts."""
-    return (place.astype(np.int64) << _TAG_BITS) | (key & ((1 << _TAG_BITS) - 1))
+def _place_and_tag(place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A word's place with some bits of its row's key, which part rows that have one id and different texts."""
+    return (place.astype(np.int64) << _TAG_BITS) | (row & ((1 << _TAG_BITS) - 1))
 
 
-def _without_copies(rows: DataFrame, window: int, most_width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to compare, copies): copies have all words of a smaller id's row, in its order.
+def _profiled(rows: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(doc_id, row, n_words, words_id, kept_sha256, anchors) of every row, from one pass over the texts.
 
-    Every window of a copy starts in that smaller row too, so all its words go, and what is left of the corpus need
-    not be compared with it. A bitmap of fixed size marks copies; marked rows alone travel to be told from false marks.
+    words_id names the words of rows that have an id and a window; anchors are those of its windows. kept_sha256 is
+    the digest that holds if nothing is removed.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, counts = [], []
-            data, offsets = text_buffers(batch.column(1))
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                words = data[a:b].tobytes().split()
-                names.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                counts.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["doc_id", "text_key", "words_id", "n_words"])
+            for first, last, words in words_of(batch.column(2)):
+                part = batch.slice(first, last - first)
+                valid = np.array(part.column(0).is_valid())
+                at, anchor = window_anchors(words, window, shingle)
+                fresh = _runs(at, words.rows[at], anchor) & valid[words.rows[at]]
+                owner = words.rows[at][fresh]
+                ends = np.searchsorted(owner, np.arange(last - first + 1)).astype(np.int32)
+                anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(anchor[fresh].view(np.int64)))
+                names, digests = [], []
+                for r in range(last - first):
+                    joined = b" ".join(words.bytes[words.offsets[r] : words.offsets[r + 1]].tobytes().split())
+                    names.append(hashlib.blake2b(joined, digest_size=16).digest() if valid[r] and words.counts[r] >= window else None)
+                    digests.append(hashlib.sha256(joined).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(words.counts.astype(np.int64)), pa.array(names, pa.binary()), pa.array(digests, pa.string()), anchors],
+                    ["doc_id", "row", "n_words", "words_id", "kept_sha256", "anchors"],
+                )
+
+    return rows.mapInArrow(profile, "doc_id long, row long, n_words long, words_id binary, kept_sha256 string, anchors array<long>")
 
-    named = rows.filter(F.col("doc_id").isNotNull()).mapInArrow(digest, "doc_id long, text_key long, words_id binary, n_words long").filter(F.col("n_words") >= window)
-    first = named.groupBy("words_id").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter(F.col("first_id") < F.col("last_id"))
-    copies = cut(named.join(first.select("words_id", "first_id"), "words_id").filter(F.col("doc_id") > F.col("first_id")).select("doc_id", "text_key", "n_words"))
-    count = copies.count()
-    if not count:
-        return rows, copies
-    as_key = lambda column: mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    marks = rows.sparkSession.sparkContext.broadcast(merged_cells(copies.select("doc_id"), lambda b: iter([as_key(b.column(0))]), width_for(count, most=most_width), least=1))
 
-    def sift(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                marked = marks.value.has(as_key(pc.fill_null(batch.column(0), 0))) & np.array(batch.column(0).is_valid())
-                yield batch.filter(pa.array(marked == wanted))
+def _flagged(compared: DataFrame, cells_per_key: float) -> DataFrame:
+    """(row, anchors): the anchors of each row that the sketch of all rows estimates to occur twice."""
 
-        return run
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("anchors").flatten().to_numpy().view(np.uint64)
+
+    total = compared.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    blocks = blocks_for(total, cells_per_key)
+    sketch = cut(merged(compared.select("anchors"), lambda batch: iter([keys_of(batch)]), blocks))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, keys = batch.column("anchors"), keys_of(batch)
+            block, cells = placed(keys, blocks)
+            owner = batch.column("row").take(pc.list_parent_indices(lists))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(keys.view(np.int64)), pa.array(block), pa.array(cells)], ["row", "anchor", "block", "cells"])
 
-    schema = "doc_id long, text string, text_key long"
-    doubtful = rows.mapInArrow(sift(True), schema).join(copies.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti")
-    return rows.mapInArrow(sift(False), schema).unionByName(cut(doubtful.select("doc_id", "text", "text_key"))), copies
+    anchors = compared.select("row", "anchors").mapInArrow(spread, "row long, anchor long, block long, cells long")
+    hits = anchors.join(sketch, "block").filter(hit_twice("bits", "cells")).select("row", "anchor")
+    return hits.groupBy("row").agg(F.collect_set("anchor").alias("anchors"))  # no more than the anchors of one text
 
 
-def remove_repeated(docs: DataFrame, window: int = 50, shingle: int = 16, most_width: int = 25) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = 50, shingle: int = 16, cells_per_key: float = 4) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts in a document of a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, for rows with removals, kept (the remaining words joined by
     one space, zlib; null where nothing was removed).
 
-    1. Rows whose words are all those of a smaller id's row are done: all their words go.
-    2. Every task counts the anchors of its windows in a count-min sketch; merged, the sketch overestimates in how
-       many documents a window occurs. Its width follows the size of the input up to 2**``most_width`` cells; a
-       fuller sketch lets more windows through and loses none.
-    3. Only windows estimated to occur twice are emitted, and grouped exactly by a 96-bit hash of their words.
-    4. Rows without such windows are finished where they are read; the others meet their removed windows by id.
+    1. One pass over the texts writes a narrow profile of each: a name of its words, and the anchors of its windows.
+    2. Rows whose words are all those of a smaller id's row are done: all their words go.
+    3. Every partition counts the anchors of the others in a count-min sketch; merged, it overestimates in how many
+       places a window occurs. Its width follows the number of anchors (``cells_per_key`` cells a row for each) and it
+       stays a table of blocks, which anchors meet by a join: a narrower sketch lets more windows through, and no
+       width loses one.
+    4. Rows without a flagged anchor are done. Only windows estimated to occur twice are emitted, and grouped exactly
+       by a 96-bit hash of their words; rows meet their removed windows by id.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged, of the whole text. Null and empty texts have none. Windows of a row
     with a null id are not compared: nothing is removed from it, or because of it. Rows with one id are compared
     with other ids only; repeated rows give repeated results.
     """
-    spark = docs.sparkSession
-    everything = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    size = everything.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows, copies = _without_copies(everything, window, most_width)
-    expected = size / 6 * 2 / (window - shingle + 2)
-
-    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for first, last, words in words_of(batch.column(1)):
-            at, anchor = window_anchors(words, window, shingle)
-            known = np.array(batch.column(0).slice(first, last - first).is_valid())[words.rows[at]]
-            yield anchor[_runs(at, words.rows[at], anchor) & known]
-
-    sketch = spark.sparkContext.broadcast(merged_cells(rows, anchors, width_for(expected, most=most_width)))  # 3 * 2**most_width bits
-
-    def flagged(words: Words, sketch: CellBits) -> np.ndarray:
-        at, anchor = window_anchors(words, window, shingle)
-        if not len(at):
-            return at
-        fresh = _runs(at, words.rows[at], anchor)
-        return at[sketch.has(anchor[fresh])[np.cumsum(fresh) - 1]]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    profile = cut(_profiled(rows, window, shingle))
+    first = profile.filter(F.col("words_id").isNotNull()).groupBy("words_id").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = first.filter(F.col("first_id") < F.col("last_id")).select("words_id", "first_id")
+    named = profile.filter(F.col("words_id").isNotNull()).join(first, "words_id", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    named = cut(named.select("doc_id", "row", "n_words", "kept_sha256", "anchors", "copy"))
+    flagged = cut(_flagged(named.filter(~F.col("copy")), cells_per_key))
+
+    def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            packed = [pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "row", "packed"])
+
+    met = rows.filter(F.col("doc_id").isNotNull()).mapInArrow(packing, "doc_id long, row long, packed binary").join(flagged, "row")
+    met = cut(met.select("doc_id", "row", "packed", "anchors"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(2)
-            for first, last, words in words_of(batch.column(1)):
-                at = flagged(words, sketch.value)
-                at = at[np.array(ids.slice(first, last - first).is_valid())[words.rows[at]]]
-                if not len(at):
-                    continue
-                owner = pa.array(words.rows[at] + first)
-                h = words.span(at, at + window)
-                # a second hash from the window's two halves
-                check = words.span(at, at + window // 2) * np.uint64(3) + words.span(at + window // 2, at + window)
-                place = _place_and_tag(at - words.row_starts[words.rows[at]], keys.take(owner).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(owner), pa.array(place)], ["window", "proof", "doc_id", "place"])
-
-    windows = rows.mapInArrow(candidates, "window long, proof int, doc_id long, place long")
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = pa.array([unpack(p) for p in part.column(2).to_pylist()], pa.binary()).cast(pa.string())
+                for first, last, words in words_of(texts):
+                    at, anchor = window_anchors(words, window, shingle)
+                    lists = part.column(3).slice(first, last - first)
+                    own = lambda anchor, row: mix(anchor ^ ((row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))  # noqa: E731  an anchor in a row
+                    listed = own(lists.flatten().to_numpy().view(np.uint64), pc.list_parent_indices(lists).to_numpy())
+                    fresh = _runs(at, words.rows[at], anchor)
+                    at = at[np.isin(own(anchor[fresh], words.rows[at][fresh]), listed)[np.cumsum(fresh) - 1]]
+                    if not len(at):
+                        continue
+                    owner = pa.array(words.rows[at] + first)
+                    h = words.span(at, at + window)
+                    # a second hash from the window's two halves
+                    check = words.span(at, at + window // 2) * np.uint64(3) + words.span(at + window // 2, at + window)
+                    place = _place_and_tag(at - words.row_starts[words.rows[at]], part.column(1).take(owner).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column(0).take(owner), pa.array(place)], ["window", "proof", "doc_id", "place"])
+
+    windows = met.mapInArrow(candidates, "window long, proof int, doc_id long, place long")
     first_ids = windows.groupBy("window", "proof").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     first_ids = cut(first_ids.filter(F.col("first_id") < F.col("last_id")).select("window", "proof", "first_id"))
     # an exchange of its own on either side, so that Spark can split a window that very many documents share
     covered = windows.join(first_ids, ["window", "proof"]).filter(F.col("doc_id") > F.col("first_id"))
     tag = lambda c: F.col(c).bitwiseAND((1 << _TAG_BITS) - 1).alias("tag")
-    covered = covered.groupBy("doc_id", tag("place")).agg(F.collect_list(F.shiftright("place", _TAG_BITS).cast("int")).alias("places"))  # no more than the words of one text
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, words in words_of(batch.column(1)):
-                marked = np.zeros(last - first, dtype=bool)
-                marked[words.rows[flagged(words, sketch.value)]] = True
-                digests, packed = [], []
-                for row in range(last - first):
-                    raw = words.bytes[words.offsets[row] : words.offsets[row + 1]].tobytes()
-                    packed.append(zlib.compress(raw, 1) if marked[row] else None)
-                    digests.append(None if marked[row] else hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(words.counts.astype(np.int64)), pa.array(digests, pa.string()), pa.array(packed, pa.binary())],
-                    ["doc_id", "text_key", "n_words", "kept_sha256", "packed"],
-                )
+    covered = covered.groupBy("doc_id", tag("place")).agg(F.collect_set(F.shiftright("place", _TAG_BITS).cast("int")).alias("places"))  # no more than the words of one text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digests, kept = [], batch.column(2).to_pylist(), []
-            for row, (packed, places) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                removed.append(0)
-                kept.append(None)
-                if packed is None:
-                    continue
-                words = zlib.decompress(packed).split()
+            counts, removed, digests, kept = [], [], [], []
+            for packed, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = unpack(packed).split()
+                counts.append(len(words))
                 if places:
                     edges = np.zeros(len(words) + window + 1, dtype=np.int32)
-                    places = np.unique(places)
-                    edges[places] += 1
-                    edges[places + window] -= 1
-                    stays = np.cumsum(edges)[: len(words)] == 0
-                    removed[row] = int(len(words) - stays.sum())
-                    words = [words[i] for i in np.flatnonzero(stays)]
-                    kept[row] = zlib.compress(b" ".join(words), 1)
-                digests[row] = hashlib.sha256(b" ".join(words)).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    parts = rows.mapInArrow(split, "doc_id long, text_key long, n_words long, kept_sha256 string, packed binary")
-    met = parts.select("*", tag("text_key")).join(covered, ["doc_id", "tag"], "left").select("doc_id", "n_words", "kept_sha256", "packed", "places")
-    compared = met.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+                    starts = np.array(places)
+                    edges[starts] += 1
+                    edges[starts + window] -= 1
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edges)[: len(words)] == 0)]
+                joined = b" ".join(words)
+                removed.append(counts[-1] - len(words))
+                digests.append(hashlib.sha256(joined).hexdigest())
+                kept.append(zlib.compress(joined, 1) if places else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    compared = met.select("doc_id", tag("row"), "packed").join(covered, ["doc_id", "tag"], "left").select("doc_id", "packed", "places")
+    compared = compared.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    whole = F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept")
+    short = profile.filter(F.col("words_id").isNull()).select("doc_id", "n_words", *whole)
+    unique = named.filter(~F.col("copy")).join(flagged.select("row"), "row", "left_anti").select("doc_id", "n_words", *whole)
     nothing = F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")
-    return compared.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), nothing, F.lit(zlib.compress(b"", 1)).alias("kept")))
+    copies = named.filter("copy").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), nothing, F.lit(zlib.compress(b"", 1)).alias("kept"))
+    return compared.unionByName(unique).unionByName(short).unionByName(copies)

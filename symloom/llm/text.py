@@ -84,6 +84,15 @@ def prefix_hash(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def pack(raw: bytes) -> bytes:
+    """``raw`` compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of some rows: byte places, the row of each, 64-bit hashes."""
 

@@ -32,7 +32,7 @@ def test_substring_dedup(docs, rows, empty, clashing):
         want[d, len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone))] += 1
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert got(substring_dedup.remove_repeated(docs), *columns) == want
-    assert got(substring_dedup.remove_repeated(clashing, most_width=16), *columns) == want
+    assert got(substring_dedup.remove_repeated(clashing, cells_per_key=0.001), *columns) == want
     assert substring_dedup.remove_repeated(empty).count() == 0
     assert any(k[2] for k in want)
 
@@ -206,7 +206,7 @@ def test_media_chunks(docs, rows, empty, clashing):
         want[d, len(raw), len(padded), sha(padded), zlib.crc32(padded[-16:]), len(media), sha(media)] += 1
     columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
     assert got(media_chunks.store_and_read(docs), *columns) == want
-    assert got(media_chunks.store_and_read(clashing, most_width=16), *columns) == want
+    assert got(media_chunks.store_and_read(clashing, mark_bits=6), *columns) == want
     assert media_chunks.store_and_read(empty).count() == 0
 
 
@@ -221,8 +221,44 @@ def test_chunks_follow_content():
 
 
 def test_restore_refuses_damage():
-    with pytest.raises(ValueError):
-        media_chunks.restore([media_chunks.digest(b"x")], [b"y"], {})
+    name = media_chunks.digest(b"x")
+    assert media_chunks.restore([name], {0: b"x"}) == b"x"
+    for kept in ({0: b"y"}, {}):
+        with pytest.raises(ValueError):
+            media_chunks.restore([name], kept)
+
+
+def test_chunk_store(spark, docs, rows, tmp_path):
+    """Each digest is stored once, the lists name all chunks in order, and a damaged chunk fails the reading."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join("shared%d" % (i * i % 7919) for i in range(3000))
+    more = spark.createDataFrame([(700 + i, f"head {i} " * 20 + shared, None, None, None) for i in range(4)], docs.schema)
+    media_chunks.store(docs.union(more), f"{tmp_path}/store")
+    chunks = media_chunks.stored_chunks(spark, f"{tmp_path}/store").collect()
+    want = {media_chunks.digest(c) for text in {r[1] or "" for r in rows + more.collect()} for c in media_chunks.chunks(media_chunks.to_media(media_chunks.payload(text)))}
+    assert Counter(bytes(c["digest"]) for c in chunks) == Counter(want)
+    assert all(media_chunks.digest(bytes(c["bytes"])) == bytes(c["digest"]) for c in chunks)
+    packs = spark.read.parquet(f"{tmp_path}/store/packs")
+    assert packs.filter(F.size("own") < F.size("digests")).count() >= 3 and packs.filter(F.size("given") > 0).count() >= 1
+    assert media_chunks.read(spark, f"{tmp_path}/store").count() == len(rows) + 4
+
+    def damaged(batches):
+        from symloom.llm.text import pack, unpack
+
+        for batch in batches:
+            blobs = [bytearray(unpack(b)) for b in batch.column("blob").to_pylist()]
+            for i, gives in enumerate(batch.column("given").to_pylist()):
+                if gives:
+                    blobs[i][-1] ^= 1
+            import pyarrow as pa
+
+            yield batch.set_column(batch.schema.names.index("blob"), "blob", pa.array([pack(bytes(b)) for b in blobs], pa.binary()))
+
+    packs.mapInArrow(damaged, packs.schema).write.parquet(f"{tmp_path}/bad/packs")
+    spark.read.parquet(f"{tmp_path}/store/documents").write.parquet(f"{tmp_path}/bad/documents")
+    with pytest.raises(Exception, match="missing or damaged"):
+        media_chunks.read(spark, f"{tmp_path}/bad").collect()
 
 
 def check_shards(rows, found, n):
