@@ -70,18 +70,14 @@ TABLES: dict[str, str] = {
           value AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, event_type
         FROM {events}""",
     "doc_files": """
-        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'src/oss/acme/' ELSE 'docs/' || source || '/' END || CASE WHEN doc_id % 10 = 0 THEN 'index' ELSE 'page' || CAST(doc_id AS STRING) END || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.mdx' END AS path,
+        SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'src/oss/acme/' ELSE 'docs/' || source || '/' END || CASE WHEN doc_id % 10 = 0 THEN CAST(doc_id AS STRING) || '/index' ELSE 'page' || CAST(doc_id AS STRING) END || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.mdx' END AS path,
           CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'title: "Page ' || CAST(doc_id AS STRING) || '"' || chr(10) || 'description: About ' || lang || chr(10) || '---' || chr(10) ELSE '' END
-          || '# Guide ' || CAST(doc_id AS STRING) || ' to A/B testing!' || chr(10) || replace(substr(text, 1, 200), chr(10), ' ') || chr(10)
+          || '# Guide ' || CAST(doc_id AS STRING) || ' to A/B testing!' || chr(10) || 'About ' || source || chr(10)
           || '## Using ' || source || '  now' || chr(10) || '```python' || chr(10) || 'from acme_' || source || '.core import Item' || CAST(doc_id % 50 AS STRING) || ', Tool as T' || chr(10) || '```' || chr(10)
           || 'See [the item](#acme.core.Item' || CAST(doc_id % 50 AS STRING) || ') and [site](https://x.org/a) ![pic](img/a.png) or [readme](docs/readme.md).' || chr(10)
-          || '### More' || chr(10) || '```ts' || chr(10) || 'import {{ Thing' || CAST(doc_id % 40 AS STRING) || ', type Kind as K }} from "@acme/' || source || '/sub";' || chr(10) || 'import Def from "@acme/' || source || '";' || chr(10) || '```' || chr(10) AS content
+          || '### More' || chr(10) || '```ts' || chr(10) || 'import {{ Thing' || CAST(doc_id % 40 AS STRING) || ', type Kind as K }} from "@acme/' || source || '/sub";' || chr(10) || 'import Def from "@acme/' || source || '";' || chr(10) || '```' || chr(10) || text || chr(10) AS content
         FROM {documents}""",
 }
-# the same pages, with the whole text and its lines below the last block
-TABLES["whole_files"] = TABLES["doc_files"].replace(" AS content", " || text || chr(10) AS content")
-# and every index page in a folder of its own, so that a path is one page
-TABLES["own_files"] = TABLES["whole_files"].replace("THEN 'index'", "THEN CAST(doc_id AS STRING) || '/index'")
 
 
 def _needs(name: str) -> list[str]:

@@ -11,7 +11,7 @@ from symloom.plans.bindings import bound, with_tables
 from symloom.plans.registry import SQL, query
 
 c = F.col
-docs = lambda s, d: bound(s, d, "whole_files").select("path", "content")
+docs = lambda s, d: bound(s, d, "doc_files").select("path", "content")
 DOCS = with_tables("doc_files") + ", doc AS (SELECT f.*, d.source, d.lang, CASE WHEN f.doc_id % 4 = 0 THEN 4 ELSE 0 END AS fm FROM doc_files f JOIN documents d USING (doc_id))"
 I50, I40 = "'Item' || CAST(doc_id % 50 AS VARCHAR)", "'Thing' || CAST(doc_id % 40 AS VARCHAR)"
 PY = f"'from acme_' || source || '.core import ' || {I50} || ', Tool as T'"
@@ -24,9 +24,8 @@ query("sections", f"{HEADS} SELECT * FROM head")(lambda s, d: C.sections(docs(s,
 query("page_metadata", f"""{DOCS} SELECT path, CASE WHEN fm > 0 THEN 'Page ' || CAST(doc_id AS VARCHAR) ELSE 'Guide ' || CAST(doc_id AS VARCHAR) || ' to A/B testing!' END AS title, CASE WHEN fm > 0 THEN 'About ' || lang END AS description,
   '/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.mdx?$', ''), '/index$', ''), '^oss/acme', 'oss/python/acme') AS url FROM doc""")(lambda s, d: C.page_metadata(docs(s, d), "python", ("acme",)))
 SECTION = "CASE WHEN language = 'python' AND fm = 0 THEN 'using-' || source || '-now' ELSE 'more' END"
-# index pages share a path, so blocks and sections of several pages meet there; the query keeps to the other pages
-OTHER = "NOT contains(path, 'index')"
-query("containing_section", f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block WHERE {OTHER}")(lambda s, d: C.containing_section(C.code_blocks(docs(s, d)), C.sections(docs(s, d))).filter("NOT contains(path, 'index')").select("path", "start_line", "language", "section"))
+for name in ("containing_section", "containing_section_all"):
+    query(name, f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block")(lambda s, d: C.containing_section(C.code_blocks(docs(s, d)), C.sections(docs(s, d))).select("path", "start_line", "language", "section"))
 python = lambda s, d: C.python_imports(C.code_blocks(docs(s, d)).filter("language = 'python'"))
 script = lambda s, d: C.javascript_imports(C.code_blocks(docs(s, d)).filter("language = 'ts'"))
 query("python_imports", f"{DOCS} SELECT path, 'acme_' || source || '.core' AS package, {I50} || ',Tool' AS symbols FROM doc")(lambda s, d: python(s, d).select("path", "package", F.array_join("symbols", ",").alias("symbols")))
@@ -45,55 +44,54 @@ query("known_package_imports", f"{DOCS} SELECT path, 'acme_' || source || '.core
 MATCH = f"""{BLOCKS}, m AS (SELECT {I50} AS symbol, 'acme_' || source || '.core' AS package, path, {SECTION} AS section, 'python' AS language FROM block WHERE language = 'python' AND {EVEN}
   UNION ALL SELECT 'Tool', 'acme_' || source || '.core', path, {SECTION}, 'python' FROM block WHERE language = 'python' AND {EVEN}
   UNION ALL SELECT unnest([{I40}, 'type']), '@acme/' || source || '/sub', path, 'more', 'javascript' FROM block WHERE language = 'ts' AND {EVEN} UNION ALL SELECT 'Def', '@acme/' || source, path, 'more', 'javascript' FROM block WHERE language = 'ts' AND {EVEN})"""
-query("scan_imports", f"{MATCH} SELECT * FROM m WHERE {OTHER}")(lambda s, d: C.scan_imports(docs(s, d), known(s, d)).drop("start_line").filter("NOT contains(path, 'index')"))
-unique = lambda s, d: docs(s, d).filter("NOT contains(path, 'index')")
-RELATED = f"""{MATCH}, page AS (SELECT path, CASE WHEN fm > 0 THEN 'Page ' || CAST(doc_id AS VARCHAR) ELSE 'Guide ' || CAST(doc_id AS VARCHAR) || ' to A/B testing!' END AS title FROM doc WHERE {OTHER}),
-  once AS (SELECT DISTINCT symbol, m.path, language, title, section FROM m JOIN page USING (path) WHERE NOT contains(m.path, 'index')),
+for name in ("scan_imports", "scan_imports_all"):
+    query(name, f"{MATCH} SELECT * FROM m")(lambda s, d: C.scan_imports(docs(s, d), known(s, d)).drop("start_line"))
+RELATED = f"""{MATCH}, page AS (SELECT path, CASE WHEN fm > 0 THEN 'Page ' || CAST(doc_id AS VARCHAR) ELSE 'Guide ' || CAST(doc_id AS VARCHAR) || ' to A/B testing!' END AS title FROM doc),
+  once AS (SELECT DISTINCT symbol, m.path, language, title, section FROM m JOIN page USING (path)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY title, path, language) AS rank, count(*) OVER (PARTITION BY symbol) AS total FROM once)"""
-related = lambda s, d: C.related_docs(C.scan_imports(unique(s, d), known(s, d)), C.page_metadata(unique(s, d)))
-query("related_docs", f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20")(related)
+related = lambda s, d: C.related_docs(C.scan_imports(docs(s, d), known(s, d)), C.page_metadata(docs(s, d)))
 wanted = lambda s, d: bound(s, d, "documents").select(F.concat(F.lit("Item"), c("doc_id") % 60).alias("symbol")).distinct()
-query("related_docs_for", f"""{RELATED}, w AS (SELECT DISTINCT 'Item' || CAST(doc_id % 60 AS VARCHAR) AS symbol FROM documents) SELECT w.symbol, coalesce(string_agg(path, ',' ORDER BY rank), '') AS paths, coalesce(max(total), 0) AS total FROM w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (symbol) GROUP BY w.symbol""")(
-    lambda s, d: C.related_docs_for(wanted(s, d), related(s, d)).withColumn("paths", F.array_join("paths", ","))
-)
-# the same over all pages, index pages in folders of their own
-own = lambda s, d: bound(s, d, "own_files").select("path", "content")
-OWN = DOCS.replace(with_tables("doc_files"), with_tables("own_files")).replace("FROM doc_files f", "FROM own_files f")
-for_all = lambda sql: sql.replace(DOCS, OWN).replace(f" WHERE {OTHER}", "").replace(" WHERE NOT contains(m.path, 'index')", "")
-query("containing_section_all", for_all(f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block"))(lambda s, d: C.containing_section(C.code_blocks(own(s, d)), C.sections(own(s, d))).select("path", "start_line", "language", "section"))
-query("scan_imports_all", for_all(f"{MATCH} SELECT * FROM m"))(lambda s, d: C.scan_imports(own(s, d), known(s, d)).drop("start_line"))
-related_all = lambda s, d: C.related_docs(C.scan_imports(own(s, d), known(s, d)), C.page_metadata(own(s, d)))
-query("related_docs_all", for_all(f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20"))(related_all)
-query("related_docs_for_all", for_all(SQL["related_docs_for"]))(lambda s, d: C.related_docs_for(wanted(s, d), related_all(s, d)).withColumn("paths", F.array_join("paths", ",")))
+for name in ("related_docs", "related_docs_all"):
+    query(name, f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20")(related)
+for name in ("related_docs_for", "related_docs_for_all"):
+    query(name, f"""{RELATED}, w AS (SELECT DISTINCT 'Item' || CAST(doc_id % 60 AS VARCHAR) AS symbol FROM documents) SELECT w.symbol, coalesce(string_agg(path, ',' ORDER BY rank), '') AS paths, coalesce(max(total), 0) AS total FROM w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (symbol) GROUP BY w.symbol""")(
+        lambda s, d: C.related_docs_for(wanted(s, d), related(s, d)).withColumn("paths", F.array_join("paths", ","))
+    )
 query("page_links", f"""{DOCS} SELECT path, unnest(['the item', 'site', 'pic', 'readme']) AS text, unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'img/a.png', 'docs/readme.md']) AS target, unnest([false, false, true, false]) AS is_image,
   unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'https://raw.org/img/a.png', 'https://github.com/acme/repo/blob/main/libs/docs/readme.md']) AS url FROM doc""")(lambda s, d: C.page_links(docs(s, d), "acme/repo", "main", "https://raw.org", "libs"))
 
 
-def marked(s, d, whole=False):
-    """Texts of the documents with directives, admonitions, indents and examples put around them.
-
-    The SQL of the first queries keeps to a prefix on one line; ``whole`` takes the whole text with its lines.
-    """
-    text = c("text") if whole else F.translate(F.substring("text", 1, 120), "\n`:", "   ")
-    indented = lambda n: F.replace(text, F.lit("\n"), F.lit("\n" + " " * n))
-    sub = F.concat(F.lit("---\ntitle: x\n---\n\nIntro "), text, F.lit("\n\n::: acme.mod"), c("doc_id"), F.when(c("doc_id") % 2 == 0, "\n    options:\n      members:\n        - Item\n        - run\n        - make_tool\n").otherwise("\n"), F.lit("::: acme.other text\n"))
+def marked(s, d):
+    """Whole texts of the documents, with their lines, and directives, admonitions, indents and examples around them."""
+    indented = lambda n: F.replace("text", F.lit("\n"), F.lit("\n" + " " * n))
+    sub = F.concat(F.lit("---\ntitle: x\n---\n\nIntro "), "text", F.lit("\n\n::: acme.mod"), c("doc_id"), F.when(c("doc_id") % 2 == 0, "\n    options:\n      members:\n        - Item\n        - run\n        - make_tool\n").otherwise("\n"), F.lit("::: acme.other text\n"))
     note = F.concat(F.lit("Intro\n!!! note \"Read\"\n    "), indented(4), F.lit("\n    ??? warning inline text\n        deeper\nafter\n!!! tip\n\nend"))
-    return bound(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", sub.alias("sub"), note.alias("note"), F.concat(F.lit("    def f():\n        "), indented(8), F.lit("\n      x")).alias("code"), F.concat(F.lit("???+ example \"E\"\n```python\n"), text, F.lit("\n```\nrest")).alias("example"), text.alias("plain"))
+    return bound(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", sub.alias("sub"), note.alias("note"), F.concat(F.lit("    def f():\n        "), indented(8), F.lit("\n      x")).alias("code"), F.concat(F.lit("???+ example \"E\"\n```python\n"), "text", F.lit("\n```\nrest")).alias("example"))
 
 
-PLAIN = "regexp_replace(substr(text, 1, 120), '[\n`:]', ' ', 'g')"
-BARE = f"regexp_replace({PLAIN}, '^\\s+|\\s+$', '', 'g')"
-query("parse_subpages", f"""SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace('Intro ' || {PLAIN}, '\\s+$', '') AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'acme.mod' || CAST(doc_id AS VARCHAR) || '.Item,acme.mod' || CAST(doc_id AS VARCHAR) || '.make_tool' ELSE 'acme.mod' || CAST(doc_id AS VARCHAR) END || ',acme.other' AS symbol_refs FROM documents""")(
-    lambda s, d: C.parse_subpages(marked(s, d).select("path", c("sub").alias("content"))).withColumn("symbol_refs", F.array_join("symbol_refs", ","))
-)
-query("admonitions", f"""SELECT CAST(doc_id AS VARCHAR) AS path, 2 AS line, 'note' AS type, 'Read' AS title, 0 AS indent, 0 AS level, regexp_replace({PLAIN}, '^\\s+', '') || chr(10) || '??? warning inline text' || chr(10) || '    deeper' AS content FROM documents
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), 4, 'warning', 'Warning', 0, 1, 'inline text' || chr(10) || 'deeper' FROM documents""")(lambda s, d: C.admonitions(marked(s, d).select("path", c("note").alias("content"))))
-query("dedent", f"SELECT CAST(doc_id AS VARCHAR) AS path, 'def f():' || chr(10) || '    ' || {PLAIN} || chr(10) || '  x' AS text FROM documents")(lambda s, d: marked(s, d).select("path", Li.dedent(c("code")).alias("text")))
-query("clean_example", f"SELECT CAST(doc_id AS VARCHAR) AS path, {BARE} AS text FROM documents")(lambda s, d: marked(s, d).select("path", C.clean_example(c("example")).alias("text")))
-query("fenced_examples", f"SELECT CAST(doc_id AS VARCHAR) AS path, 0 AS pos, '???+ example \"E\"' AS title, 'python' AS language, {BARE} AS code FROM documents")(lambda s, d: C.fenced_examples(marked(s, d).select("path", c("example").alias("content"))))
-# the same over whole texts, which have no SQL
-query("parse_subpages_whole")(lambda s, d: C.parse_subpages(marked(s, d, True).select("path", c("sub").alias("content"))).withColumn("symbol_refs", F.array_join("symbol_refs", ",")))
-query("admonitions_whole")(lambda s, d: C.admonitions(marked(s, d, True).select("path", c("note").alias("content"))))
-query("dedent_whole")(lambda s, d: marked(s, d, True).select("path", Li.dedent(c("code")).alias("text")))
-query("clean_example_whole")(lambda s, d: marked(s, d, True).select("path", C.clean_example(c("example")).alias("text")))
-query("fenced_examples_whole")(lambda s, d: C.fenced_examples(marked(s, d, True).select("path", c("example").alias("content"))))
+# the names with _whole are kept from the time when the others read a part of each text
+BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+LINES = "string_split(text, chr(10))"
+LINED = {
+    "parse_subpages": (
+        """SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace('Intro ' || text, '\\s+$', '') AS markdown, CASE WHEN doc_id % 2 = 0 THEN 'acme.mod' || CAST(doc_id AS VARCHAR) || '.Item,acme.mod' || CAST(doc_id AS VARCHAR) || '.make_tool' ELSE 'acme.mod' || CAST(doc_id AS VARCHAR) END || ',acme.other' AS symbol_refs FROM documents""",
+        lambda s, d: C.parse_subpages(marked(s, d).select("path", c("sub").alias("content"))).withColumn("symbol_refs", F.array_join("symbol_refs", ",")),
+    ),
+    "admonitions": (
+        f"""SELECT CAST(doc_id AS VARCHAR) AS path, 2 AS line, 'note' AS type, 'Read' AS title, 0 AS indent, 0 AS level, regexp_replace(text || chr(10), '^\\s+', '') || '??? warning inline text' || chr(10) || '    deeper' AS content FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(3 + len({LINES}) AS INT), 'warning', 'Warning', 0, 1, 'inline text' || chr(10) || 'deeper' FROM documents WHERE text IS NOT NULL""",
+        lambda s, d: C.admonitions(marked(s, d).select("path", c("note").alias("content"))),
+    ),
+    "dedent": (
+        f"""SELECT CAST(doc_id AS VARCHAR) AS path, 'def f():' || chr(10) || array_to_string(list_transform({LINES}, lambda x: CASE WHEN regexp_matches(x, '\\S') THEN '    ' ELSE '        ' END || x), chr(10)) || chr(10) || '  x' AS text FROM documents""",
+        lambda s, d: marked(s, d).select("path", Li.dedent(c("code")).alias("text")),
+    ),
+    "clean_example": (f"SELECT CAST(doc_id AS VARCHAR) AS path, {BARE} AS text FROM documents", lambda s, d: marked(s, d).select("path", C.clean_example(c("example")).alias("text"))),
+    "fenced_examples": (
+        f"SELECT CAST(doc_id AS VARCHAR) AS path, 0 AS pos, '???+ example \"E\"' AS title, 'python' AS language, CASE WHEN contains(text, chr(10)) THEN text ELSE {BARE} END AS code FROM documents WHERE text IS NOT NULL",
+        lambda s, d: C.fenced_examples(marked(s, d).select("path", c("example").alias("content"))),
+    ),
+}
+for name, (sql, function) in LINED.items():
+    query(name, sql)(function)
+    query(f"{name}_whole", sql)(function)

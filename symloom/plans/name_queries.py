@@ -79,8 +79,8 @@ scalar("project_of_package", "flat", FLAT, lambda: N.project_of_package(c("packa
     "CASE WHEN regexp_matches(package, 'brand_1[0-4]$') THEN 'special' WHEN contains(package, 'brand_1') THEN 'teen' WHEN contains(package, 'brand_2') THEN 'twenty' ELSE 'base' END")
 scalar("package_of_qualified_name", "flat", FLAT, lambda: N.package_of_qualified_name(c("qualified_name"), c("language"), F.lit("fallback")), "CASE WHEN language = 'python' THEN split_part(qualified_name, '.', 1) ELSE 'fallback' END")
 scalar("js_to_python_package", "flat", FLAT, lambda: N.js_to_python_package(F.concat(F.lit("@acme/"), c("package"), F.lit("-x"))), "'acme_' || package || '_x'")
-scalar("slug_heading", "documents", "CAST(doc_id AS STRING)", lambda: N.slug_heading(F.substring("text", 1, 60)),
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')")
+scalar("slug_heading", "documents", "CAST(doc_id AS STRING)", lambda: N.slug_heading(c("text")),
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')")
 scalar("slug_heading_whole", "documents", "CAST(doc_id AS STRING)", lambda: N.slug_heading(c("text")),
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')")
 scalar("first_sentence", "flat", FLAT, lambda: N.first_sentence(c("summary")), "regexp_extract(summary, '^(.*?[.!?])\\s', 1)")

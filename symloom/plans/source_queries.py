@@ -59,18 +59,16 @@ def _symbols(s, d):
     return read.select("package_id", "ord", "id", "kind", "name", "qualified_name", "signature", "visibility", "summary", "deprecated", "returns_type", F.array_join("extends", ",").alias("extends"), F.size("params").alias("n_params"))
 
 
-@query("read_docs", with_tables("doc_files") + " SELECT md5(content || chr(10)) AS content FROM doc_files")
 def _docs(s, d):
+    """Every page as a file of its own, in eight folders that its path names."""
     folder = scratch(s)
-    bound(s, d, "doc_files").select("content").write.option("maxRecordsPerFile", 1).text(folder)
-    return io.read_docs(s, folder, "*.txt").select(F.md5("content").alias("content"))
+    bound(s, d, "doc_files").select((c("doc_id") % 8).alias("part"), "content").write.partitionBy("part").option("maxRecordsPerFile", 1).text(folder)
+    read = io.read_docs(s, folder, "*.txt")
+    return read.select(F.regexp_extract("path", r"/part=(\d+)/[^/]+\.txt$", 1).cast("long").alias("part"), F.md5("content").alias("content"))
 
 
-@query("read_docs_whole", with_tables("whole_files") + " SELECT md5(content || chr(10)) AS content FROM whole_files")
-def _whole_docs(s, d):
-    folder = scratch(s)
-    bound(s, d, "whole_files").select("content").write.option("maxRecordsPerFile", 1).text(folder)
-    return io.read_docs(s, folder, "*.txt").select(F.md5("content").alias("content"))
+for name in ("read_docs", "read_docs_whole"):
+    query(name, with_tables("doc_files") + " SELECT doc_id % 8 AS part, md5(content || chr(10)) AS content FROM doc_files")(_docs)
 
 
 @query("write_symbol_shards", with_tables("flat") + " SELECT package_id, version, qualified_name, substr(md5(qualified_name), 1, 1) AS shard FROM flat")
@@ -103,6 +101,6 @@ def _stream(s, d):
     folder = scratch(s)
     table = symbols(s, d).select("package_id", "version", "ord", "qualified_name", "kind", "signature", "returns_type", "deprecated", "extends", "implements", "members", "params")
     for part in ("version <= '1.3.0'", "version >= '1.3.0'"):
-        table.filter(part).coalesce(1).write.mode("append").parquet(folder + "/in")
+        table.filter(part).write.mode("append").parquet(folder + "/in")
         stream_history(s, folder + "/in", folder + "/out", folder + "/state", table.schema)
     return shown(read_history(s, folder + "/out"))

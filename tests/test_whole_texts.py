@@ -61,7 +61,7 @@ def test_whole_headings_and_files(spark, folder):
         kept = re.sub(r"\s+", "-", re.sub(r"[^a-z0-9_\s-]", "", folder[1][int(r["k"])].lower()))
         assert r["value"] == re.sub("^-|-$", "", re.sub("-+", "-", kept))
     got = {r["content"] for r in rows(spark, folder, "read_docs_whole")}
-    contents = {r["content"] for r in bound(spark, folder[0], "whole_files").collect()}
+    contents = {r["content"] for r in bound(spark, folder[0], "doc_files").collect()}
     assert len(contents) == 61 and all(any(t in x for x in contents) for t in folder[1].values())
     assert got == {hashlib.md5((x + "\n").encode()).hexdigest() for x in contents}
 
