@@ -58,7 +58,11 @@ def package_name_from_id(ident: Column, scopes: tuple[str, ...] = ()) -> Column:
     return F.when(scoped, F.concat(F.lit("@"), scope, F.lit("/"), rest)).otherwise(plain)
 
 
-def infer_stability(text: Column, deprecated: Column) -> Column:
+def infer_stability(text: Column, deprecated: Column, tags: Column | None = None) -> Column:
+    """deprecated, experimental, beta or stable; with block tags (array of names like ``@beta``) by these alone."""
+    if tags is not None:
+        has = lambda name: F.coalesce(F.array_contains(tags, F.lit(f"@{name}")), F.lit(False))
+        return F.when(has("deprecated"), "deprecated").when(has("experimental"), "experimental").when(has("beta"), "beta").otherwise("stable")
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.when(deprecated, "deprecated").when(low.contains("experimental"), "experimental").when(low.contains("beta"), "beta").otherwise("stable")
 

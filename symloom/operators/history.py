@@ -1,7 +1,9 @@
 """Snapshot diffs over all releases in one shuffle, and what is told from the resulting history.
 
 Symbols: (package_id, version, ord, qualified_name, kind, signature, returns_type, deprecated, extends, implements,
-members, params). Releases: (package_id, version, major, minor, patch). Two rule sets exist: ``build`` and ``detailed``.
+members, params), and where there are such columns deprecation (struct of message and replacement), type_params,
+source_path and source_line. Releases: (package_id, version, major, minor, patch), and where known sha and release_date.
+Two rule sets exist: ``build`` and ``detailed``.
 """
 
 from __future__ import annotations
@@ -135,6 +137,16 @@ def _snapshot() -> Column:
     return F.struct(*[F.coalesce(F.col(c), F.slice(F.col(c), 1, 0)).alias(c) if c in ("members", "params") else F.col(c) for c in SNAPSHOT])
 
 
+#: What a snapshot in the history holds besides, where the symbol table has it.
+CARRIED = ("type_params", "source_path", "source_line")
+
+
+def _as_told(snap: Column, carried: list[str]) -> Column:
+    """The snapshot of a delta: public members only."""
+    public = F.filter(snap["members"], lambda m: m["visibility"] == "public")
+    return F.struct(*[(public if c == "members" else snap[c]).alias(c) for c in (*SNAPSHOT, *carried)])
+
+
 def last_of_name(symbols: DataFrame) -> DataFrame:
     """One row for each (package, version, name): the last in file order."""
     window = Window.partitionBy("package_id", "version", "qualified_name").orderBy(F.desc("ord"))
@@ -149,13 +161,21 @@ def version_ranks(symbols: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def release_deltas(symbols: DataFrame, releases: DataFrame, mode: str = "build") -> DataFrame:
-    """(package_id, version, previous_version, change, qualified_name, kind, changes) for all neighbouring releases.
+    """(package_id, version, previous_version, change, qualified_name, kind, changes, snapshot_before, snapshot_after,
+    message, replacement, sha, release_date) for all neighbouring releases.
 
     The table is dealt once by (package, name), where all versions of a symbol meet; added, removed, modified and
     (detailed) deprecated rows are told from the versions before and after. The first version adds everything.
     Versions without symbols are passed over; of equal names the last in file order counts.
+
+    Added and deprecated rows carry the snapshot after, modified ones both; deprecated ones the message and the
+    replacement that the symbol names. sha and release_date are those of the release, null where unknown.
     """
-    ranked = symbols.select("package_id", "version", "qualified_name", "ord", _snapshot().alias("snap")).join(version_ranks(symbols, releases), ["package_id", "version"])
+    carried = [c for c in CARRIED if c in symbols.columns]
+    deprecation = F.col("deprecation") if "deprecation" in symbols.columns else F.lit(None).cast("struct<message:string,replacement:string>")
+    ranks = version_ranks(symbols, releases)
+    ranked = symbols.select("package_id", "version", "qualified_name", "ord", F.struct(_snapshot().alias("s"), *carried, deprecation.alias("deprecation")).alias("all")).join(ranks, ["package_id", "version"])
+    ranked = ranked.withColumn("snap", F.struct("all.s.*", *[F.col(f"all.{c}") for c in (*carried, "deprecation")])).drop("all")
     dealt = ranked.repartition("package_id", "qualified_name")
     last = Window.partitionBy("package_id", "qualified_name", "rank").orderBy(F.desc("ord"))
     dealt = dealt.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
@@ -165,27 +185,40 @@ def release_deltas(symbols: DataFrame, releases: DataFrame, mode: str = "build")
     kept = F.coalesce(F.col("before_rank") == F.col("rank") - 1, F.lit(False))
     gone = F.col("next_version").isNotNull() & ~F.coalesce(F.col("after_rank") == F.col("rank") + 1, F.lit(False))
     none = F.array().cast(f"array<{CHANGE}>")
-    event = lambda version, previous, kind, changes: F.struct(version.alias("version"), previous.alias("previous_version"), F.lit(kind).alias("change"), changes.alias("changes"))
+    no_text = F.lit(None).cast("string")
+    now, then = _as_told(snap, carried), _as_told(before, carried)
+    no_snap = F.when(F.lit(False), now)
+
+    def event(version, previous, kind, changes, old=no_snap, new=no_snap, message=no_text, replacement=no_text):
+        return F.struct(version.alias("version"), previous.alias("previous_version"), F.lit(kind).alias("change"), changes.alias("changes"), old.alias("snapshot_before"), new.alias("snapshot_after"), message.alias("message"), replacement.alias("replacement"))
+
     here, earlier, later = F.col("version"), F.col("previous_version"), F.col("next_version")
     found = F.when(kept, all_changes(before, snap, mode)).otherwise(none)
     events = [
-        F.when(~kept, event(here, earlier, "added", none)),
-        F.when(kept & (F.size("found") > 0), event(here, earlier, "modified", F.col("found"))),
+        F.when(~kept, event(here, earlier, "added", none, new=now)),
+        F.when(kept & (F.size("found") > 0), event(here, earlier, "modified", F.col("found"), old=then, new=now)),
         F.when(gone, event(later, here, "removed", none)),
     ]
     if mode == "detailed":
         newly = F.coalesce(snap["deprecated"], F.lit(False)) & ~(kept & F.coalesce(before["deprecated"], F.lit(False)))
-        events.append(F.when(newly & earlier.isNotNull(), event(here, earlier, "deprecated", none)))
+        events.append(F.when(newly & earlier.isNotNull(), event(here, earlier, "deprecated", none, new=now, message=snap["deprecation"]["message"], replacement=snap["deprecation"]["replacement"])))
     told = seen.withColumn("found", found).select("package_id", "qualified_name", F.col("snap.kind").alias("kind"), F.explode(F.array_compact(F.array(*events))).alias("e"))
-    return told.select("package_id", "e.version", "e.previous_version", "e.change", "qualified_name", "kind", "e.changes")
+    told = told.select("package_id", "e.version", "e.previous_version", "e.change", "qualified_name", "kind", *[f"e.{c}" for c in ("changes", "snapshot_before", "snapshot_after", "message", "replacement")])
+    known = [(F.col(c) if c in releases.columns else no_text).cast("string").alias(c) for c in ("sha", "release_date")]
+    return told.join(releases.select("package_id", "version", *known), ["package_id", "version"], "left")
 
 
 def added_symbols(history: DataFrame) -> DataFrame:
     return history.filter("change = 'added'")
 
 
-def removed_symbols(history: DataFrame) -> DataFrame:
-    return history.filter("change = 'removed'")
+def removed_symbols(history: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Removed rows; with the symbol table, replacement is the first similar name of the newer version."""
+    gone = history.filter("change = 'removed'")
+    if symbols is None:
+        return gone
+    keys = ["package_id", "version", "qualified_name"]
+    return gone.drop("replacement").join(replacement_candidates(gone.select(*keys), symbols), keys, "left").select(*history.columns)
 
 
 def modified_symbols(history: DataFrame) -> DataFrame:
@@ -210,17 +243,33 @@ def diff(older: DataFrame, newer: DataFrame, mode: str = "build") -> DataFrame:
     return both.withColumn("changes", changes).select("qualified_name", kind.alias("change"), "changes").filter(F.col("change").isNotNull())
 
 
+def _parts(name: Column) -> Column:
+    """All distinct substrings of up to three characters."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+
+
+def _key_part(name: Column) -> Column:
+    """The substring that a name is looked up by: three characters chosen by a hash, or all of a shorter name."""
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.struct(F.xxhash64(name.substr(i, F.lit(3))).alias("h"), name.substr(i, F.lit(3)).alias("part")))
+    return F.when(F.length(name) < 3, name).otherwise(F.array_min(three)["part"])
+
+
 def replacement_candidates(removed: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each removed name the first symbol of the newer version whose base name holds it, or is held by it.
 
-    Different base names only are compared, within their package and version; each stands for its first symbol. A
-    running least row is all that is kept, so no list of pairs arises.
+    A name that another one holds has all its parts there, so names meet by equality on one part of the shorter:
+    each is looked up by one of its parts among all parts of the others, in both directions. Different base names
+    only are compared, each stands for its first symbol, and a running least row is all that is kept.
     """
     base = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
     wanted = removed.select("package_id", "version", "qualified_name", base(F.col("qualified_name")).alias("base"))
     newer = symbols.groupBy("package_id", "version", base(F.col("qualified_name")).alias("other")).agg(F.min_by(F.struct(F.col("ord"), F.col("qualified_name").alias("candidate")), F.struct("ord", "qualified_name")).alias("first"))
-    met = wanted.select("package_id", "version", "base").distinct().join(newer, ["package_id", "version"]).filter(F.contains(F.col("other"), F.col("base")) | F.contains(F.col("base"), F.col("other")))
-    best = met.groupBy("package_id", "version", "base").agg(F.min("first").alias("first"))
+    asked = wanted.select("package_id", "version", "base").distinct()
+    at = ["package_id", "version", "part"]
+    holds = asked.withColumn("part", _key_part(F.col("base"))).join(newer.withColumn("part", F.explode(_parts(F.col("other")))), at).filter(F.contains(F.col("other"), F.col("base")))
+    held = asked.withColumn("part", F.explode(_parts(F.col("base")))).join(newer.withColumn("part", _key_part(F.col("other"))), at).filter(F.contains(F.col("base"), F.col("other")))
+    best = holds.select("package_id", "version", "base", "first").unionByName(held.select("package_id", "version", "base", "first")).groupBy("package_id", "version", "base").agg(F.min("first").alias("first"))
     return wanted.join(best, ["package_id", "version", "base"]).select("package_id", "version", "qualified_name", F.col("first.candidate").alias("replacement"))
 
 
@@ -239,22 +288,35 @@ def version_stats(history: DataFrame, symbols: DataFrame | None = None, mode: st
     return stats.join(totals, ["package_id", "version"], "left")
 
 
-def incremental_history(existing: DataFrame, symbols: DataFrame, releases: DataFrame, mode: str = "build") -> DataFrame:
-    """Deltas of the versions not in ``existing``; the oldest new one is diffed against its predecessor."""
-    fresh = releases.join(existing.select("package_id", "version").distinct(), ["package_id", "version"], "left_anti")
-    window = Window.partitionBy("package_id").orderBy("major", "minor", "patch")
-    pairs = releases.withColumn("previous", F.lag("version").over(window)).join(fresh.select("package_id", "version"), ["package_id", "version"], "left_semi")
-    order = F.struct("major", "minor", "patch")
-    bridge = pairs.groupBy("package_id").agg(F.min_by("previous", order).alias("version")).filter(F.col("version").isNotNull())
-    needed = fresh.select("package_id", "version").unionByName(bridge).distinct()
-    scope = symbols.join(needed, ["package_id", "version"], "left_semi")
-    deltas = release_deltas(scope, releases, mode)
-    return deltas.join(fresh.select("package_id", "version"), ["package_id", "version"], "left_semi").select(*deltas.columns)
-
-
-def merge_history(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """All deltas; where both have a version, the new one's rows stay."""
-    rest = existing.join(new.select("package_id", "version").distinct(), ["package_id", "version"], "left_anti")
+def stale_versions(told: DataFrame, symbols: DataFrame, releases: DataFrame) -> DataFrame:
+    """(package_id, version, previous_version) of the versions not in ``told``, and of those that follow one of them."""
+    ranks = version_ranks(symbols, releases).join(told.select("package_id", "version").distinct().withColumn("_told", F.lit(True)), ["package_id", "version"], "left")
+    window = Window.partitionBy("package_id").orderBy("rank")
+    fresh = F.col("_told").isNull()
+    return ranks.withColumn("_after", F.coalesce(F.lag(fresh).over(window), F.lit(False))).filter(fresh | F.col("_after")).select("package_id", "version", "previous_version")
+
+
+def deltas_of(stale: DataFrame, symbols: DataFrame, releases: DataFrame, mode: str = "build") -> DataFrame:
+    """Deltas of the given versions (package_id, version, previous_version), from their symbols and their predecessors'."""
+    needed = stale.select("package_id", "version").union(stale.filter("previous_version IS NOT NULL").select("package_id", "previous_version")).distinct()
+    deltas = release_deltas(symbols.join(needed, ["package_id", "version"], "left_semi"), releases, mode)
+    return deltas.join(stale.select("package_id", "version"), ["package_id", "version"], "left_semi").select(*deltas.columns)
+
+
+def incremental_history(existing: DataFrame, symbols: DataFrame, releases: DataFrame, mode: str = "build", told: DataFrame | None = None) -> DataFrame:
+    """Deltas of the versions not told yet, each against its own predecessor, and of those that follow them.
+
+    ``told`` (package_id, version) lists the versions told, also those without changes; without it they are those
+    that ``existing`` has rows of, and versions without changes are compared again, to the same end. A release that
+    comes late tells its successor anew: ``merge_history`` with ``stale_versions`` replaces that one's rows.
+    """
+    return deltas_of(stale_versions(existing if told is None else told, symbols, releases), symbols, releases, mode)
+
+
+def merge_history(new: DataFrame, existing: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """All deltas; the rows of ``versions`` (those that ``new`` has, if not given) are the new ones only."""
+    replaced = (new if versions is None else versions).select("package_id", "version").distinct()
+    rest = existing.join(replaced, ["package_id", "version"], "left_anti")
     return new.unionByName(rest.select(*new.columns))
 
 
@@ -274,29 +336,43 @@ def modified_in(history: DataFrame) -> DataFrame:
 
 
 def deprecated_since(history: DataFrame) -> DataFrame:
-    return history.filter("change = 'deprecated'").groupBy("package_id", "qualified_name").agg(F.min_by("version", _numbers()).alias("since"))
+    """The earliest deprecation of each symbol: since, message, replacement."""
+    first = F.min_by(F.struct("version", "message", "replacement"), _numbers()).alias("first")
+    return history.filter("change = 'deprecated'").groupBy("package_id", "qualified_name").agg(first).select("package_id", "qualified_name", F.col("first.version").alias("since"), "first.message", "first.replacement")
 
 
 def annotate_latest(latest: DataFrame, symbols: DataFrame, releases: DataFrame, history: DataFrame) -> DataFrame:
-    """Symbols of the latest version with since (the oldest version if unknown), modified_in and deprecated_since."""
+    """Symbols of the latest version with since (the oldest version if unknown), modified_in and deprecated (since,
+    message, replacement). The history is grouped once."""
     keys = ["package_id", "qualified_name"]
     oldest = releases.groupBy("package_id").agg(F.min_by("version", F.struct("major", "minor", "patch")).alias("oldest"))
-    out = latest.join(introduced_in(symbols, releases), keys, "left").join(oldest, "package_id", "left")
+    out = latest.drop("deprecated").join(introduced_in(symbols, releases), keys, "left").join(oldest, "package_id", "left")
     out = out.withColumn("since", F.coalesce("since", "oldest")).drop("oldest")
-    return out.join(modified_in(history).withColumnRenamed("versions", "modified_in"), keys, "left").join(deprecated_since(history).withColumnRenamed("since", "deprecated_since"), keys, "left")
+    when = F.struct(_numbers().alias("n"), "version")
+    modified = F.collect_set(F.when(F.col("change") == "modified", when)).alias("modified_in")  # a version each
+    entry = F.when(F.col("change") == "deprecated", F.struct(_numbers().alias("n"), F.col("version").alias("since"), "message", "replacement"))
+    told = history.filter("change IN ('modified', 'deprecated')").groupBy(*keys).agg(modified, F.min_by(entry, entry["n"]).alias("deprecated"))
+    listed = F.transform(F.array_sort("modified_in"), lambda x: x["version"])
+    told = told.select(*keys, F.when(F.size("modified_in") > 0, listed).alias("modified_in"), F.col("deprecated").dropFields("n").alias("deprecated"))
+    return out.join(told, keys, "left")
 
 
 def symbol_history(history: DataFrame) -> DataFrame:
-    """Per symbol the list of (version, type), new to old, and added, modified, deprecated, removed within a version."""
+    """Per symbol the list of (version, type, release_date), new to old, and added, modified, deprecated, removed within a version."""
     order = F.array_position(F.array(*map(F.lit, ("added", "modified", "deprecated", "removed"))), F.col("change"))
-    entry = F.struct(F.transform(_numbers(), lambda x: -x).alias("n"), order.alias("o"), "version", F.col("change").alias("type"))
+    entry = F.struct(F.transform(_numbers(), lambda x: -x).alias("n"), order.alias("o"), "version", F.col("change").alias("type"), "release_date")
     listed = history.groupBy("package_id", "qualified_name").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return listed.select("package_id", "qualified_name", F.transform("e", lambda x: F.struct(x["version"].alias("version"), x["type"].alias("type"))).alias("entries"))
+    return listed.select("package_id", "qualified_name", F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in ("version", "type", "release_date")])).alias("entries"))
 
 
-def symbol_at_version(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The snapshot of each wanted (package_id, qualified_name, version)."""
-    return last_of_name(symbols).join(wanted, ["package_id", "qualified_name", "version"])
+def symbol_at_version(history: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The snapshot of each wanted (package_id, qualified_name, version), as the history has it: that of the last
+    addition or modification up to the version; no row where the symbol is gone by then."""
+    keys = ["package_id", "qualified_name"]
+    told = history.filter("change IN ('added', 'modified', 'removed')").select(*keys, _numbers().alias("n"), F.struct("change", F.col("version").alias("told_in"), "snapshot_after").alias("last"))
+    asked = wanted.select(*keys, "version").distinct().withColumn("at", _numbers())
+    met = asked.join(told, keys).filter(F.col("n") <= F.col("at")).groupBy(*keys, "version").agg(F.max_by("last", "n").alias("last"))
+    return met.filter("last.change <> 'removed'").select(*keys, "version", "last.told_in", F.col("last.snapshot_after").alias("snapshot"))
 
 
 def history_totals(stats: DataFrame) -> DataFrame:

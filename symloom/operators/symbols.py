@@ -72,12 +72,12 @@ def drop_external(symbols: DataFrame) -> DataFrame:
 
 
 def snapshot(symbols: DataFrame) -> DataFrame:
-    """Compact rows: signature, public members, params, return type, bases, place."""
+    """Compact rows: signature, public members, params, return type, type parameters, bases, place and line."""
     return symbols.select(
         "package_id", "version", "qualified_name", "kind", "signature", "returns_type", "extends", "implements",
         F.filter("members", lambda m: m["visibility"] == "public").alias("members"),
         F.transform("params", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), p["required"].alias("required"))).alias("params"),
-        "source_path",
+        "type_params", "source_path", "source_line",
     )
 
 

@@ -52,8 +52,8 @@ query("filter_excluded_files", FLAT + r" SELECT package_id, version, source_path
 )
 query("drop_external", FLAT + " SELECT package_id, version, qualified_name FROM flat WHERE ord % 6 <> 3")(lambda s, d: S.drop_external(symbols(s, d)).select(*NAME))
 query("snapshot", FLAT + """ SELECT package_id, version, qualified_name, signature, returns_type, extends_name AS extends,
-  concat_ws(',', CASE WHEN m1_vis = 'public' THEN m1_name END, CASE WHEN m2_name <> m1_name AND m2_vis = 'public' THEN m2_name END) AS members, n_params, source_path FROM flat""")(
-    lambda s, d: S.snapshot(symbols(s, d)).select(*NAME, "signature", "returns_type", F.array_join("extends", ",").alias("extends"), F.array_join(F.transform("members", lambda m: m["name"]), ",").alias("members"), F.size("params").alias("n_params"), "source_path")
+  concat_ws(',', CASE WHEN m1_vis = 'public' THEN m1_name END, CASE WHEN m2_name <> m1_name AND m2_vis = 'public' THEN m2_name END) AS members, n_params, source_path, CAST(ord % 100 + 1 AS INT) AS source_line, CASE WHEN kind IN ('class', 'interface') THEN 'T:' || p1_type END AS type_params FROM flat""")(
+    lambda s, d: S.snapshot(symbols(s, d)).select(*NAME, "signature", "returns_type", F.array_join("extends", ",").alias("extends"), F.array_join(F.transform("members", lambda m: m["name"]), ",").alias("members"), F.size("params").alias("n_params"), "source_path", "source_line", F.array_join(F.transform("type_params", lambda t: F.concat_ws(":", t["name"], t["constraint"])), ",").alias("type_params"))
 )
 
 

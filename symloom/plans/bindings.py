@@ -120,5 +120,8 @@ def symbols(spark: SparkSession, sf_dir: str, name: str = "flat") -> DataFrame:
             "params": F.slice(both, 1, F.col("n_params")),
             "extends": F.array("extends_name"),
             "implements": F.array().cast("array<string>"),
+            "type_params": F.when(F.col("kind").isin("class", "interface"), F.array(F.struct(F.lit("T").alias("name"), F.col("p1_type").alias("constraint"), F.lit(None).cast("string").alias("default")))),
+            "source_line": (F.col("ord") % 100 + 1).cast("int"),
+            "deprecation": F.when(F.col("deprecated"), F.struct(F.concat(F.lit("Left in "), "version").alias("message"), F.concat(F.lit("new_"), "name").alias("replacement"))),
         }
     )

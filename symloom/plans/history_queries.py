@@ -60,16 +60,36 @@ B, D = history(BUILD), history(DETAIL, True)
 ROW = f"package_id, version, previous_version, change, qualified_name, kind, {JOINED('changes')} AS changes"
 
 
-def shown(df):
-    return df.select("package_id", "version", "previous_version", "change", "qualified_name", "kind", told(F.col("changes")).alias("changes"))
+def shown(df, *more):
+    return df.select("package_id", "version", "previous_version", "change", "qualified_name", "kind", told(F.col("changes")).alias("changes"), *more)
 
 
-query("release_deltas", f"{B} SELECT {ROW} FROM hist")(lambda s, d: shown(deltas(s, d)))
-query("release_deltas_detailed", f"{D} SELECT {ROW} FROM hist")(lambda s, d: shown(deltas(s, d, "detailed")))
-query("added_symbols", f"{B} SELECT {ROW} FROM hist WHERE change = 'added'")(lambda s, d: shown(H.added_symbols(deltas(s, d))))
+DATED = ROW + ", md5(package_id || version) AS sha, CAST(1995 + CAST(split_part(version, '.', 2) AS INT) AS VARCHAR) || '-12-31' AS release_date"
+dated = lambda df: shown(df, "sha", "release_date")
+SNAP = "concat_ws('|', {0}.signature, {0}.returns_type, {0}.extends_name, CASE WHEN {0}.m1_vis = 'public' THEN {0}.m1_name END, CASE WHEN {0}.m2_name <> {0}.m1_name AND {0}.m2_vis = 'public' THEN {0}.m2_name END, {0}.source_path, CAST({0}.ord % 100 + 1 AS VARCHAR), CASE WHEN {0}.kind IN ('class', 'interface') THEN {0}.p1_type END)"
+ONE = ", ".join("h." + x for x in ("package_id", "version", "previous_version", "change", "qualified_name", "kind")) + f", {JOINED('h.changes')} AS changes"
+AT = "f.package_id = h.package_id AND f.qualified_name = h.qualified_name AND f.version = h.version"
+
+
+def compact(snap):
+    """A snapshot's fields as text."""
+    x = F.col(snap)
+    names = F.transform(x["members"], lambda m: m["name"])
+    bounds = F.transform(x["type_params"], lambda t: t["constraint"])
+    return F.when(x.isNotNull(), F.concat_ws("|", x["signature"], x["returns_type"], x["extends"], names, x["source_path"], x["source_line"].cast("string"), bounds)).alias(snap)
+
+
+query("release_deltas", f"{B} SELECT {DATED} FROM hist")(lambda s, d: dated(deltas(s, d)))
+query("release_deltas_detailed", f"{D} SELECT {DATED} FROM hist")(lambda s, d: dated(deltas(s, d, "detailed")))
+query("added_symbols", f"{B} SELECT {ONE}, {SNAP.format('f')} AS snapshot_after FROM hist h JOIN flat f ON {AT} WHERE change = 'added'")(lambda s, d: shown(H.added_symbols(deltas(s, d)), compact("snapshot_after")))
 query("removed_symbols", f"{B} SELECT {ROW} FROM hist WHERE change = 'removed'")(lambda s, d: shown(H.removed_symbols(deltas(s, d))))
-query("modified_symbols", f"{B} SELECT {ROW} FROM hist WHERE change = 'modified'")(lambda s, d: shown(H.modified_symbols(deltas(s, d))))
-query("newly_deprecated", f"{D} SELECT {ROW} FROM hist WHERE change = 'deprecated'")(lambda s, d: shown(H.newly_deprecated(deltas(s, d, "detailed"))))
+query("modified_symbols", f"""{B} SELECT {ONE}, {SNAP.format('f')} AS snapshot_after, {SNAP.format('g')} AS snapshot_before FROM hist h JOIN flat f ON {AT}
+  JOIN flat g ON g.package_id = h.package_id AND g.qualified_name = h.qualified_name AND g.version = h.previous_version WHERE change = 'modified'""")(
+    lambda s, d: shown(H.modified_symbols(deltas(s, d)), compact("snapshot_after"), compact("snapshot_before"))
+)
+query("newly_deprecated", f"{D} SELECT {ONE}, {SNAP.format('f')} AS snapshot_after, 'Left in ' || h.version AS message, 'new_' || f.name AS replacement FROM hist h JOIN flat f ON {AT} WHERE change = 'deprecated'")(
+    lambda s, d: shown(H.newly_deprecated(deltas(s, d, "detailed")), compact("snapshot_after"), "message", "replacement")
+)
 query("initial_delta", f"{B} SELECT {ROW} FROM hist WHERE previous_version IS NULL")(lambda s, d: shown(H.initial_delta(deltas(s, d))))
 
 
@@ -123,31 +143,41 @@ query("introduced_in", with_tables("flat") + " SELECT package_id, qualified_name
 query("modified_in", f"{B} SELECT package_id, qualified_name, string_agg(version, ',' ORDER BY version) AS versions FROM hist WHERE change = 'modified' GROUP BY ALL")(
     lambda s, d: H.modified_in(deltas(s, d)).withColumn("versions", F.array_join("versions", ","))
 )
-query("deprecated_since", f"{D} SELECT package_id, qualified_name, min(version) AS since FROM hist WHERE change = 'deprecated' GROUP BY ALL")(lambda s, d: H.deprecated_since(deltas(s, d, "detailed")))
-query("annotate_latest", f"""{D} SELECT l.package_id, l.qualified_name, (SELECT arg_min(version, minor) FROM flat f WHERE f.package_id = l.package_id AND f.qualified_name = l.qualified_name) AS since, m.versions AS modified_in, x.since AS deprecated_since
+SINCE = "SELECT package_id, qualified_name, min(version) AS since, 'Left in ' || min(version) AS message, 'new_' || split_part(qualified_name, '.', -1) AS replacement FROM hist WHERE change = 'deprecated' GROUP BY ALL"
+query("deprecated_since", f"{D} {SINCE}")(lambda s, d: H.deprecated_since(deltas(s, d, "detailed")))
+query("annotate_latest", f"""{D} SELECT l.package_id, l.qualified_name, (SELECT arg_min(version, minor) FROM flat f WHERE f.package_id = l.package_id AND f.qualified_name = l.qualified_name) AS since, m.versions AS modified_in, x.since AS deprecated_since, x.message, x.replacement
   FROM flat l LEFT JOIN (SELECT package_id, qualified_name, string_agg(version, ',' ORDER BY version) AS versions FROM hist WHERE change = 'modified' GROUP BY ALL) m USING (package_id, qualified_name)
-  LEFT JOIN (SELECT package_id, qualified_name, min(version) AS since FROM hist WHERE change = 'deprecated' GROUP BY ALL) x USING (package_id, qualified_name) WHERE l.minor = 6""")(
-    lambda s, d: H.annotate_latest(bound(s, d, "latest"), symbols(s, d), bound(s, d, "releases"), deltas(s, d, "detailed")).select(*KEYS, "since", F.array_join("modified_in", ",").alias("modified_in"), "deprecated_since")
+  LEFT JOIN ({SINCE}) x USING (package_id, qualified_name) WHERE l.minor = 6""")(
+    lambda s, d: H.annotate_latest(bound(s, d, "latest"), symbols(s, d), bound(s, d, "releases"), deltas(s, d, "detailed")).select(*KEYS, "since", F.array_join("modified_in", ",").alias("modified_in"), F.col("deprecated.since").alias("deprecated_since"), "deprecated.message", "deprecated.replacement")
 )
-query("symbol_history", f"""{D} SELECT package_id, qualified_name, string_agg(version || ':' || change, ',' ORDER BY version DESC, list_position(['added', 'modified', 'deprecated', 'removed'], change)) AS entries FROM hist GROUP BY ALL""")(
-    lambda s, d: H.symbol_history(deltas(s, d, "detailed")).select(*KEYS, F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["version"], x["type"])), ",").alias("entries"))
+query("symbol_history", f"""{D} SELECT package_id, qualified_name, string_agg(version || ':' || change || ':' || CAST(1995 + CAST(split_part(version, '.', 2) AS INT) AS VARCHAR) || '-12-31', ',' ORDER BY version DESC, list_position(['added', 'modified', 'deprecated', 'removed'], change)) AS entries FROM hist GROUP BY ALL""")(
+    lambda s, d: H.symbol_history(deltas(s, d, "detailed")).select(*KEYS, F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["version"], x["type"], x["release_date"])), ",").alias("entries"))
 )
-query("symbol_at_version", with_tables("flat") + " SELECT package_id, version, qualified_name, signature FROM flat WHERE ord % 3 = minor % 3")(
-    lambda s, d: H.symbol_at_version(symbols(s, d), symbols(s, d).filter("ord % 3 = minor % 3").select(*KEYS, "version")).select("package_id", "version", "qualified_name", "signature")
+query("symbol_at_version", f"""{B}, asked AS (SELECT DISTINCT package_id, qualified_name, minor, version FROM flat WHERE ord % 3 = minor % 3),
+  last AS (SELECT a.package_id, a.qualified_name, a.version, arg_max(h.change, h.version) AS change, max(h.version) AS told_in FROM asked a JOIN hist h ON h.package_id = a.package_id AND h.qualified_name = a.qualified_name AND h.version <= a.version GROUP BY ALL)
+  SELECT l.package_id, l.version, l.qualified_name, l.told_in, {SNAP.format('f')} AS snapshot FROM last l JOIN flat f ON f.package_id = l.package_id AND f.qualified_name = l.qualified_name AND f.version = l.told_in WHERE change <> 'removed'""")(
+    lambda s, d: H.symbol_at_version(deltas(s, d), symbols(s, d).filter("ord % 3 = minor % 3").select(*KEYS, "version")).select("package_id", "version", "qualified_name", "told_in", compact("snapshot"))
 )
 query("diff", f"{PAIR} SELECT '1.' || CAST(3 AS VARCHAR) || '.0' AS version, qualified_name, 'modified' AS change, {JOINED(BUILD)} AS changes FROM pair WHERE minor = 3 AND o_ord IS NOT NULL AND len({BUILD}) > 0")(
     lambda s, d: H.diff(symbols(s, d).filter("minor = 2"), symbols(s, d).filter("minor = 3")).filter("change = 'modified'").select(F.lit("1.3.0").alias("version"), "qualified_name", "change", told(F.col("changes")).alias("changes"))
 )
 BASE = "lower(split_part({0}, '.', -1))"
-query("replacement_candidates", f"""{B}, gone AS (SELECT * FROM hist WHERE change = 'removed') SELECT g.package_id, g.version, g.qualified_name, arg_min(f.qualified_name, f.ord) AS replacement FROM gone g JOIN flat f ON g.package_id = f.package_id AND g.version = f.version
-  AND (contains({BASE.format('f.qualified_name')}, substr({BASE.format('g.qualified_name')}, 1, 9)) OR contains(substr({BASE.format('g.qualified_name')}, 1, 9), {BASE.format('f.qualified_name')})) GROUP BY ALL""")(
-    lambda s, d: _restored(s, d)
+GONE = f"""{B}, gone AS (SELECT * FROM hist WHERE change = 'removed'), cand AS (SELECT g.package_id, g.version, g.qualified_name, arg_min(f.qualified_name, f.ord) AS replacement FROM gone g JOIN flat f ON g.package_id = f.package_id AND g.version = f.version
+  AND (contains({BASE.format('f.qualified_name')}, {BASE.format('g.qualified_name')}) OR contains({BASE.format('g.qualified_name')}, {BASE.format('f.qualified_name')})) GROUP BY ALL)"""
+query("replacement_candidates", f"{GONE} SELECT * FROM cand")(lambda s, d: H.replacement_candidates(H.removed_symbols(deltas(s, d)), symbols(s, d)))
+query("removed_with_replacement", f"{GONE} SELECT package_id, version, previous_version, change, qualified_name, kind, '' AS changes, replacement FROM gone LEFT JOIN cand USING (package_id, version, qualified_name)")(
+    lambda s, d: shown(H.removed_symbols(deltas(s, d), symbols(s, d)), "replacement")
 )
 
 
-def _restored(s, d):
-    # names cut to nine characters after the last dot, so that other parts of one name are held by them
-    gone = H.removed_symbols(deltas(s, d)).select("package_id", "version", F.col("qualified_name").alias("full"))
-    cut = gone.withColumn("qualified_name", F.concat(F.lit("x."), F.substring(F.element_at(F.split("full", r"\."), -1), 1, 9)))
-    found = H.replacement_candidates(cut.select("package_id", "version", "qualified_name").distinct(), symbols(s, d))
-    return cut.join(found, ["package_id", "version", "qualified_name"]).select("package_id", "version", F.col("full").alias("qualified_name"), "replacement")
+def _late(s, d):
+    """The history of 1.0 and 1.4 onwards, then the releases between them: 1.4 is told anew."""
+    table, releases = symbols(s, d), bound(s, d, "releases")
+    between = "minor BETWEEN 1 AND 3"
+    old = H.release_deltas(table.filter(f"NOT ({between})"), releases)
+    told_then = releases.filter(f"NOT ({between})")
+    new = H.incremental_history(old, table, releases, told=told_then)
+    return shown(H.merge_history(new, old, H.stale_versions(told_then, table, releases)))
+
+
+query("incremental_history_late", f"{B} SELECT {ROW} FROM hist")(_late)

@@ -33,6 +33,8 @@ scalar("package_name_from_id", "flat", FLAT, lambda: N.package_name_from_id(c("p
 scalar("ecosystem_from_id", "flat", FLAT, lambda: N.ecosystem_from_id(F.when(c("ord") % 3 == 0, F.lit("other")).otherwise(c("package_id"))), "CASE WHEN ord % 3 = 0 THEN 'javascript' ELSE language END")
 scalar("infer_stability", "flat", FLAT, lambda: N.infer_stability(F.when(c("ord") % 3 == 0, F.concat(F.lit("Experimental "), c("summary"))).when(c("ord") % 3 == 1, F.concat(F.lit("In BETA. "), c("summary"))), c("deprecated")),
     "CASE WHEN deprecated THEN 'deprecated' WHEN ord % 3 = 0 THEN 'experimental' WHEN ord % 3 = 1 THEN 'beta' ELSE 'stable' END")
+scalar("infer_stability_tags", "flat", FLAT, lambda: N.infer_stability(c("summary"), c("deprecated"), F.when(c("ord") % 4 == 0, F.array(F.lit("@beta"), F.lit("@experimental"))).when(c("ord") % 4 == 1, F.array(F.lit("@deprecated"), F.lit("@beta"))).when(c("ord") % 4 == 2, F.array(F.lit("@beta")))),
+    "CASE ord % 4 WHEN 0 THEN 'experimental' WHEN 1 THEN 'deprecated' WHEN 2 THEN 'beta' ELSE 'stable' END")
 scalar("normalize_source_path", "flat", FLAT, lambda: N.normalize_source_path(c("source_path")),
     r"""CASE WHEN regexp_matches(source_path, '/extracted/(?:libs/)?([^/]+)/(.+)$') THEN regexp_extract(source_path, '/extracted/(?:libs/)?([^/]+)/(.+)$', 2)
         WHEN regexp_matches(source_path, '^(?:\.\./)*src/(.+)$') THEN 'src/' || regexp_extract(source_path, '^(?:\.\./)*src/(.+)$', 1)

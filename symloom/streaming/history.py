@@ -1,49 +1,46 @@
-"""The incremental history as a stream: newly arrived snapshot files are diffed, versions already told are passed over."""
+"""The incremental history as a stream: the versions that newly arrived snapshot files touch are told anew."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from symloom.operators import history as H
 from symloom.plans.lineage import cut
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A table that may not be there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def stream_history(spark: SparkSession, symbols_dir: str, history_path: str, checkpoint: str, schema: StructType, mode: str = "build") -> None:
-    """Read what has arrived in ``symbols_dir`` (parquet) and append the deltas of new versions to ``history_path``.
+    """Read what has arrived in ``symbols_dir`` (parquet) and tell the versions that it touches.
 
-    Each batch is kept below ``snapshots`` and diffed against its predecessor by the batch rules; a version that is
-    in the history already is ignored, so a batch that runs again, or a file that comes twice, adds nothing. A
-    version older than the newest told one is appended without telling its successor anew.
+    Each batch keeps its rows below ``snapshots``, by package and version. Versions that it brings rows of, also for
+    a second time, and those that follow them, are diffed from all rows kept; ``told`` lists them, also those without
+    changes, and the rows of the latest batch that told a version count. So rows that come in several files, late
+    releases and files that come twice end in the history of the whole table, and a batch that runs again writes
+    the same files anew.
     """
-    snapshots, told = f"{history_path}/snapshots", f"{history_path}/deltas"
-    deltas = H.release_deltas(spark.createDataFrame([], schema), spark.createDataFrame([], "package_id string, version string, major int, minor int, patch int")).schema
+    snapshots, told, deltas = (f"{history_path}/{name}" for name in ("snapshots", "told", "deltas"))
 
     def step(batch: DataFrame, number: int) -> None:
-        existing = cut(_read(spark, told, deltas))
-        fresh = cut(batch.join(existing.select("package_id", "version").distinct(), ["package_id", "version"], "left_anti").select(*schema.names))
-        if fresh.isEmpty():
+        touched = cut(batch.select("package_id", "version").distinct())
+        if touched.isEmpty():
             return
-        fresh.write.mode("overwrite").parquet(f"{snapshots}/batch={number}")
-        symbols = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(snapshots)
-        parts = symbols.select("package_id", "version").distinct()
-        releases = parts.selectExpr("package_id", "version", "CAST(split_part(version, '.', 1) AS INT) AS major", "CAST(split_part(version, '.', 2) AS INT) AS minor", "CAST(split_part(version, '.', 3) AS INT) AS patch")
-        new = H.incremental_history(existing, symbols, releases, mode)
-        new.write.mode("overwrite").parquet(f"{told}/batch={number}")
+        batch.repartition("package_id", "version").write.mode("overwrite").partitionBy("package_id", "version").parquet(f"{snapshots}/batch={number}")
+        symbols = spark.read.schema(schema).parquet(snapshots).filter(F.col("batch") <= number).select(*schema.names)
+        parts = symbols.join(touched.select("package_id").distinct(), "package_id", "left_semi").select("package_id", "version").distinct()
+        releases = parts.selectExpr("package_id", "version", *[f"CAST(split_part(version, '.', {i + 1}) AS INT) AS {n}" for i, n in enumerate(("major", "minor", "patch"))])
+        releases = cut(releases)
+        stale = cut(H.stale_versions(releases.join(touched, ["package_id", "version"], "left_anti"), releases, releases))
+        new = H.deltas_of(stale, symbols, releases, mode)
+        new.write.mode("overwrite").parquet(f"{deltas}/batch={number}")
+        stale.select("package_id", "version").write.mode("overwrite").parquet(f"{told}/batch={number}")
 
     query = spark.readStream.schema(schema).parquet(symbols_dir).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(step).start()
     query.awaitTermination()
 
 
 def read_history(spark: SparkSession, history_path: str) -> DataFrame:
-    return spark.read.parquet(f"{history_path}/deltas").drop("batch")
+    """The deltas of every version, from the latest batch that told it."""
+    latest = spark.read.parquet(f"{history_path}/told").groupBy("package_id", "version").agg(F.max("batch").alias("batch"))
+    deltas = spark.read.parquet(f"{history_path}/deltas")
+    return deltas.join(latest, ["package_id", "version", "batch"], "left_semi").drop("batch")
