@@ -245,3 +245,18 @@ def doc_url(path: Column, language: Column, products: tuple[str, ...] = ()) -> C
     p = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^src/", ""), r"\.mdx?$", ""), "/index$", "")
     product = F.regexp_extract(p, "^oss/([^/]+)", 1)
     return F.concat(F.lit("/"), F.when(product.isin(*products), F.concat(F.lit("oss/"), language, F.lit("/"), F.regexp_replace(p, "^oss/", ""))).otherwise(p))
+
+
+def name_parts(name: Column) -> Column:
+    """All distinct substrings of up to three characters."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+
+
+def key_part(name: Column) -> Column:
+    """The part that a name is looked up by: three characters chosen by a hash, or all of a shorter name.
+
+    What holds the name has this among its ``name_parts``.
+    """
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.struct(F.xxhash64(name.substr(i, F.lit(3))).alias("h"), name.substr(i, F.lit(3)).alias("part")))
+    return F.when(F.length(name) < 3, name).otherwise(F.array_min(three)["part"])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symloom.functions import names as N
+
 CHANGE = "struct<type:string,description:string,breaking:boolean,member_name:string,before:string,after:string>"
 VISIBILITY = ("public", "protected", "private")
 
@@ -243,18 +245,6 @@ def diff(older: DataFrame, newer: DataFrame, mode: str = "build") -> DataFrame:
     return both.withColumn("changes", changes).select("qualified_name", kind.alias("change"), "changes").filter(F.col("change").isNotNull())
 
 
-def _parts(name: Column) -> Column:
-    """All distinct substrings of up to three characters."""
-    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
-
-
-def _key_part(name: Column) -> Column:
-    """The substring that a name is looked up by: three characters chosen by a hash, or all of a shorter name."""
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.struct(F.xxhash64(name.substr(i, F.lit(3))).alias("h"), name.substr(i, F.lit(3)).alias("part")))
-    return F.when(F.length(name) < 3, name).otherwise(F.array_min(three)["part"])
-
-
 def replacement_candidates(removed: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each removed name the first symbol of the newer version whose base name holds it, or is held by it.
 
@@ -267,8 +257,8 @@ def replacement_candidates(removed: DataFrame, symbols: DataFrame) -> DataFrame:
     newer = symbols.groupBy("package_id", "version", base(F.col("qualified_name")).alias("other")).agg(F.min_by(F.struct(F.col("ord"), F.col("qualified_name").alias("candidate")), F.struct("ord", "qualified_name")).alias("first"))
     asked = wanted.select("package_id", "version", "base").distinct()
     at = ["package_id", "version", "part"]
-    holds = asked.withColumn("part", _key_part(F.col("base"))).join(newer.withColumn("part", F.explode(_parts(F.col("other")))), at).filter(F.contains(F.col("other"), F.col("base")))
-    held = asked.withColumn("part", F.explode(_parts(F.col("base")))).join(newer.withColumn("part", _key_part(F.col("other"))), at).filter(F.contains(F.col("base"), F.col("other")))
+    holds = asked.withColumn("part", N.key_part(F.col("base"))).join(newer.withColumn("part", F.explode(N.name_parts(F.col("other")))), at).filter(F.contains(F.col("other"), F.col("base")))
+    held = asked.withColumn("part", F.explode(N.name_parts(F.col("base")))).join(newer.withColumn("part", N.key_part(F.col("other"))), at).filter(F.contains(F.col("base"), F.col("other")))
     best = holds.select("package_id", "version", "base", "first").unionByName(held.select("package_id", "version", "base", "first")).groupBy("package_id", "version", "base").agg(F.min("first").alias("first"))
     return wanted.join(best, ["package_id", "version", "base"]).select("package_id", "version", "qualified_name", F.col("first.candidate").alias("replacement"))
 

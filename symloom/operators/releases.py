@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symloom.plans.lineage import cut
+
 #: A semantic version: three numbers without leading zeros, then an optional prerelease and build part.
 SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?\z"
 NUMBERS = ("major", "minor", "patch")
@@ -56,9 +58,10 @@ def latest_per_minor(releases: DataFrame) -> DataFrame:
 
 def first_last_per_minor(releases: DataFrame) -> DataFrame:
     """Newest and oldest patch of every minor; of 0.0.x the newest only."""
-    newest = latest_per_minor(releases)
-    oldest = _first(releases, ["package_id", "major", "minor"], ["patch"]).filter(~((F.col("major") == 0) & (F.col("minor") == 0)))
-    return newest.unionByName(oldest).dropDuplicates(["package_id", "version"])
+    minor = Window.partitionBy("package_id", "major", "minor")
+    ends = releases.withColumns({"_newest": F.row_number().over(minor.orderBy(F.desc("patch"), "sha", "tag")), "_oldest": F.row_number().over(minor.orderBy("patch", "sha", "tag"))})
+    early = (F.col("major") == 0) & (F.col("minor") == 0)
+    return ends.filter((F.col("_newest") == 1) | ((F.col("_oldest") == 1) & ~early)).drop("_newest", "_oldest").dropDuplicates(["package_id", "version"])
 
 
 def collapse_v0(releases: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def always_include(kept: DataFrame, discovered: DataFrame, wanted: DataFrame) ->
 
 def discover_releases(tags: DataFrame, packages: DataFrame, wanted: DataFrame, least: str = "0.0.0", most: int = 10) -> DataFrame:
     """Tags to releases: no prereleases, a least version, ends of every minor, the newest ``most`` minors, wanted ones added."""
-    found = drop_prereleases(parse_release_tags(tags, packages))
+    found = cut(drop_prereleases(parse_release_tags(tags, packages)))  # tags are parsed once
     kept = limit_minors(first_last_per_minor(min_version(found, least)), most)
     return always_include(kept, found, wanted)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,22 +25,40 @@ def build_search_index(records: DataFrame) -> DataFrame:
     return each.groupBy("term", "field", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _slips(asked: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
+    """(asked, term, d): terms within the edit distance d of round(length x fuzzy), but equal ones.
+
+    Of a word with k slips, cut into k + 1 pieces, some piece stands unchanged in the other word: moved by no more
+    places than there are pieces before it, and no more than pieces after it allow for the words' lengths. So words meet by equality on (length asked for, piece number, piece): the pieces of what is asked, and the
+    substrings of the terms where these pieces could stand.
+    """
+    most = lambda size: f"cast(round(({size}) * {fuzzy}) AS int)"
+    start = lambda size, i, k: f"cast(floor(({i}) * ({size}) / (({k}) + 1)) AS int)"
+    pieces = asked.select("asked").distinct().withColumn("size", F.length("asked")).withColumn("most", F.expr(most("size"))).filter("most > 0")
+    pieces = pieces.withColumn("p", F.explode(F.expr(f"transform(sequence(0, most), i -> struct(i, substr(asked, {start('size', 'i', 'most')} + 1, {start('size', 'i + 1', 'most')} - {start('size', 'i', 'most')}) AS piece))")))
+    sizes = f"filter(sequence(greatest(1, cast(floor(length(term) / {1 + fuzzy}) AS int) - 1), cast(ceil(length(term) / {1 - fuzzy}) AS int) + 1), n -> {most('n')} > 0 AND abs(n - length(term)) <= {most('n')})"
+    begin, length = start("n", "i", most("n")), f"{start('n', 'i + 1', most('n'))} - {start('n', 'i', most('n'))}"
+    k, ahead = most("n"), "(length(term) - n)"
+    least, last = f"greatest(-i, {ahead} - ({k} - i))", f"least(i, {ahead} + {k} - i)"
+    shifts = f"filter(sequence(-{k}, {k}), s -> s >= {least} AND s <= {last} AND {begin} + s >= 0 AND {begin} + s + {length} <= length(term))"
+    places = f"flatten(transform(sequence(0, {k}), i -> transform({shifts}, s -> struct(i, substr(term, {begin} + s + 1, {length}) AS piece))))"
+    sized = terms.select("term", F.explode(F.expr(sizes)).alias("n")).join(pieces.select(F.col("size").alias("n")).distinct(), "n")  # lengths that are asked for
+    stand = sized.select("term", F.col("n").alias("size"), F.explode(F.expr(places)).alias("p")).select("term", "size", "p.i", "p.piece")
+    met = pieces.select("asked", "size", "most", "p.i", "p.piece").join(stand, ["size", "i", "piece"]).select("asked", "most", "term").distinct()
+    return met.withColumn("d", F.levenshtein("asked", "term")).filter((F.col("d") <= F.col("most")) & (F.col("d") > 0)).select("asked", "term", "d")
+
+
 def _matches(queries: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
     """(query_id, asked, term, weight): exact terms 1, longer terms with the same beginning, terms within the edit distance.
 
-    Beginnings meet by equality on every prefix of the index terms that some query has; slips meet by first letter
-    and length, so no term is compared with the whole vocabulary.
+    Beginnings meet by equality on every prefix of the index terms that some query has, slips by the pieces that they
+    leave whole, so no term is compared with the whole vocabulary.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("asked"))
     exact = asked.join(terms.select(F.col("term").alias("asked")), "asked").select("query_id", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
     heads = terms.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr(F.col("term"), F.lit(1), i))).alias("asked")).filter(F.length("term") > 1)
     prefix = asked.join(heads, "asked").select("query_id", "asked", "term", (0.375 * F.length("term") / (F.length("term") + 0.3 * (F.length("term") - F.length("asked")))).alias("weight"))
-    most = F.round(F.length("asked") * fuzzy).cast("int")
-    lengths = F.explode(F.sequence(F.length("asked") - most, F.length("asked") + most))
-    near = asked.filter(most > 0).withColumn("most", most).withColumns({"first": F.substring("asked", 1, 1), "size": lengths})
-    words = terms.select("term", F.substring("term", 1, 1).alias("first"), F.length("term").alias("size"))
-    distance = F.levenshtein("asked", "term")
-    slips = near.join(words, ["first", "size"]).withColumn("d", distance).filter((F.col("d") <= F.col("most")) & (F.col("d") > 0) & ~F.startswith(F.col("term"), F.col("asked")))
+    slips = asked.join(_slips(asked, terms, fuzzy), "asked").filter(~F.startswith(F.col("term"), F.col("asked")))
     fuzzy_rows = slips.select("query_id", "asked", "term", (0.45 * F.length("term") / (F.length("term") + F.col("d"))).alias("weight"))
     return exact.unionByName(prefix).unionByName(fuzzy_rows)
 
@@ -78,26 +94,24 @@ def search_filtered(found: DataFrame, records: DataFrame, kind: str | None = Non
 def search_with_conversion(names: DataFrame, index: DataFrame, records: DataFrame, to_python: bool, limit: int = 20) -> DataFrame:
     """names (query_id, name): four searches (name, other convention, its words, titles only); the best score of each page."""
     other = N.camel_to_snake(F.col("name")) if to_python else N.snake_to_camel(F.col("name"))
-    ask = lambda q: names.select("query_id", q.alias("query"))
-    found = search(ask(F.col("name")), index).unionByName(search(ask(other), index)).unionByName(search(ask(F.array_join(N.word_parts(F.col("name")), " ")), index))
-    found = found.unionByName(search(ask(other), index, {"title": 10.0}, 0.1))
+    asks = F.array(F.col("name"), other, F.array_join(N.word_parts(F.col("name")), " "))
+    three = names.select("query_id", F.posexplode(asks).alias("n", "query")).select(F.struct("query_id", "n").alias("query_id"), "query")
+    found = search(three, index).withColumn("query_id", F.col("query_id.query_id"))
+    found = found.unionByName(search(names.select("query_id", other.alias("query")), index, {"title": 10.0}, 0.1))
     paged = found.join(records.select(F.col("id").alias("doc"), "url", "title"), "doc")
     best = paged.groupBy("query_id", "url").agg(F.max("score").alias("score"), F.min("title").alias("title"))
     return top(best, limit, F.desc(F.round("score", 9)), "url")
 
 
-def substring_search(queries: DataFrame, symbols: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
+def substring_search(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
     """queries (query_id, query) with symbols whose name or qualified name holds them: exact names, then beginnings, then short names.
 
-    A stated set of queries against all symbols: ``block`` of them at a time go along as one constant array.
+    Each query is looked up by one of its parts among all parts of the names, and then compared whole. An empty
+    query is held by every name.
     """
-    asked = [(r[0], r[1]) for r in queries.select(F.col("query_id").cast("string"), F.lower("query")).distinct().collect()]
-    low, full, out = F.lower("name"), F.lower("qualified_name"), None
-    for first in range(0, max(1, len(asked)), block):
-        some = F.from_json(F.lit(json.dumps([{"query_id": i, "q": q} for i, q in asked[first : first + block]])), "array<struct<query_id:string,q:string>>")
-        held = F.filter(some, lambda x: F.contains(low, x["q"]) | F.contains(full, x["q"]))
-        hits = symbols.select("package_id", "name", "qualified_name", F.explode(held).alias("m"))
-        out = hits if out is None else out.unionByName(hits)
-    hits = out.select("m.query_id", "m.q", "package_id", "name", "qualified_name")
+    asked = queries.select("query_id", F.lower("query").alias("q")).distinct().withColumn("part", N.key_part(F.col("q")))
+    low, full = F.lower("name"), F.lower("qualified_name")
+    parts = symbols.select("package_id", "name", "qualified_name", F.explode(N.name_parts(F.concat_ws("\n", low, full))).alias("part"))
+    hits = parts.join(asked, "part").filter(F.contains(low, F.col("q")) | F.contains(full, F.col("q")))
     order = F.when(F.lower("name") == F.col("q"), 0).when(F.startswith(F.lower("name"), F.col("q")), 1).otherwise(2)
-    return top(hits, max(1, min(limit, 50)), order, F.length("name"), "name", "package_id", "qualified_name").drop("q")
+    return top(hits, max(1, min(limit, 50)), order, F.length("name"), "name", "package_id", "qualified_name").drop("q", "part")

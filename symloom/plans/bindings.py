@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.plans.lineage import cut
+
 TABLES: dict[str, str] = {
     # one row for each (part, year of shipment): a symbol of a release
     "flat": """
@@ -108,9 +110,18 @@ def with_tables(*names: str) -> str:
     return "WITH RECURSIVE none_needed AS (SELECT 1 AS one)" if not done else "WITH RECURSIVE " + ", ".join(f"{n} AS ({TABLES[n].format(**{t: t for t in _needs(n)})})" for n in done)
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(symbols, releases) from one computation of the flat table."""
+    flat = cut(bound(spark, sf_dir, "flat"))
+    return nested(flat), spark.sql(TABLES["releases"], flat=flat)
+
+
 def symbols(spark: SparkSession, sf_dir: str, name: str = "flat") -> DataFrame:
+    return nested(bound(spark, sf_dir, name))
+
+
+def nested(flat: DataFrame) -> DataFrame:
     """The symbol table with nested columns made from the flat ones, which stay."""
-    flat = bound(spark, sf_dir, name)
     member = lambda i: F.struct(F.col(f"m{i}_name").alias("name"), F.col(f"m{i}_kind").alias("kind"), F.col(f"m{i}_vis").alias("visibility"))
     param = lambda n, t, req: F.struct(F.lit(n).alias("name"), F.col(t).alias("type"), req.alias("required"), F.lit(None).cast("string").alias("default"))
     both = F.array(param("first", "p1_type", F.col("p1_required")), param("second", "p2_type", F.lit(False)))

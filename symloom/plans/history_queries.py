@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symloom.operators import history as H
-from symloom.plans.bindings import bound, symbols, with_tables
+from symloom.plans.bindings import bound, snapshots, symbols, with_tables
+from symloom.plans.lineage import cut
 from symloom.plans.registry import query
 
 KEYS = ("package_id", "qualified_name")
@@ -23,7 +24,7 @@ def pairs(spark, sf):
 
 
 def deltas(spark, sf, mode="build"):
-    return H.release_deltas(symbols(spark, sf), bound(spark, sf, "releases"), mode)
+    return H.release_deltas(*snapshots(spark, sf), mode)
 
 
 MS = "CASE WHEN {0}m1_name = {0}m2_name THEN [{{'name': {0}m1_name, 'kind': {0}m1_kind, 'vis': {0}m1_vis}}] ELSE [{{'name': {0}m1_name, 'kind': {0}m1_kind, 'vis': {0}m1_vis}}, {{'name': {0}m2_name, 'kind': {0}m2_kind, 'vis': {0}m2_vis}}] END"
@@ -130,25 +131,47 @@ STATS = """SELECT package_id, version, count(*) FILTER (change = 'added') AS add
   FROM hist LEFT JOIN (SELECT package_id, version, count(DISTINCT qualified_name) AS total FROM flat GROUP BY ALL) USING (package_id, version) GROUP BY package_id, version"""
 BROKEN = "len(list_filter(changes, lambda x: ends_with(x, ':true')))"
 VSTATS = STATS.format(f"CAST(sum({BROKEN}) + count(*) FILTER (change = 'removed') AS BIGINT)", "max(total)")
-query("version_stats", f"{B} {VSTATS}")(lambda s, d: H.version_stats(deltas(s, d), symbols(s, d)))
+def stats(s, d):
+    table, releases = snapshots(s, d)
+    return H.version_stats(H.release_deltas(table, releases), table)
+
+
+query("version_stats", f"{B} {VSTATS}")(stats)
 query("version_stats_detailed", f"{D} " + STATS.format(f"count(*) FILTER (change = 'modified' AND {BROKEN} > 0)", "0"))(lambda s, d: H.version_stats(deltas(s, d, "detailed"), mode="detailed"))
 query("history_totals", f"{B}, st AS ({VSTATS}) SELECT package_id, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(modified) AS BIGINT) AS modified, max(version) AS latest FROM st GROUP BY package_id")(
-    lambda s, d: H.history_totals(H.version_stats(deltas(s, d), symbols(s, d)))
+    lambda s, d: H.history_totals(stats(s, d))
 )
-query("incremental_history", f"{B} SELECT {ROW} FROM hist WHERE version > '1.3.0'")(
-    lambda s, d: shown(H.incremental_history(deltas(s, d).filter("version <= '1.3.0'"), symbols(s, d), bound(s, d, "releases")))
-)
-query("merge_history", f"{B} SELECT {ROW} FROM hist")(lambda s, d: shown(H.merge_history(deltas(s, d).filter("version > '1.3.0'"), deltas(s, d).filter("version < '1.6.0'"))))
+
+
+def _newer(s, d):
+    """The versions after 1.3.0, onto the history of those up to it."""
+    table, releases = snapshots(s, d)
+    old = H.release_deltas(table.filter("minor <= 3"), releases)
+    return shown(H.incremental_history(old, table, releases, told=releases.filter("minor <= 3")))
+
+
+def _merged(s, d):
+    every = cut(deltas(s, d))
+    return shown(H.merge_history(every.filter("version > '1.3.0'"), every.filter("version < '1.6.0'")))
+
+
+query("incremental_history", f"{B} SELECT {ROW} FROM hist WHERE version > '1.3.0'")(_newer)
+query("merge_history", f"{B} SELECT {ROW} FROM hist")(_merged)
 query("introduced_in", with_tables("flat") + " SELECT package_id, qualified_name, arg_min(version, minor) AS since FROM flat GROUP BY ALL")(lambda s, d: H.introduced_in(symbols(s, d), bound(s, d, "releases")))
 query("modified_in", f"{B} SELECT package_id, qualified_name, string_agg(version, ',' ORDER BY version) AS versions FROM hist WHERE change = 'modified' GROUP BY ALL")(
     lambda s, d: H.modified_in(deltas(s, d)).withColumn("versions", F.array_join("versions", ","))
 )
+def _annotated(s, d):
+    table, releases = snapshots(s, d)
+    return H.annotate_latest(table.filter("minor = 6"), table, releases, H.release_deltas(table, releases, "detailed"))
+
+
 SINCE = "SELECT package_id, qualified_name, min(version) AS since, 'Left in ' || min(version) AS message, 'new_' || split_part(qualified_name, '.', -1) AS replacement FROM hist WHERE change = 'deprecated' GROUP BY ALL"
 query("deprecated_since", f"{D} {SINCE}")(lambda s, d: H.deprecated_since(deltas(s, d, "detailed")))
 query("annotate_latest", f"""{D} SELECT l.package_id, l.qualified_name, (SELECT arg_min(version, minor) FROM flat f WHERE f.package_id = l.package_id AND f.qualified_name = l.qualified_name) AS since, m.versions AS modified_in, x.since AS deprecated_since, x.message, x.replacement
   FROM flat l LEFT JOIN (SELECT package_id, qualified_name, string_agg(version, ',' ORDER BY version) AS versions FROM hist WHERE change = 'modified' GROUP BY ALL) m USING (package_id, qualified_name)
   LEFT JOIN ({SINCE}) x USING (package_id, qualified_name) WHERE l.minor = 6""")(
-    lambda s, d: H.annotate_latest(bound(s, d, "latest"), symbols(s, d), bound(s, d, "releases"), deltas(s, d, "detailed")).select(*KEYS, "since", F.array_join("modified_in", ",").alias("modified_in"), F.col("deprecated.since").alias("deprecated_since"), "deprecated.message", "deprecated.replacement")
+    lambda s, d: _annotated(s, d).select(*KEYS, "since", F.array_join("modified_in", ",").alias("modified_in"), F.col("deprecated.since").alias("deprecated_since"), "deprecated.message", "deprecated.replacement")
 )
 query("symbol_history", f"""{D} SELECT package_id, qualified_name, string_agg(version || ':' || change || ':' || CAST(1995 + CAST(split_part(version, '.', 2) AS INT) AS VARCHAR) || '-12-31', ',' ORDER BY version DESC, list_position(['added', 'modified', 'deprecated', 'removed'], change)) AS entries FROM hist GROUP BY ALL""")(
     lambda s, d: H.symbol_history(deltas(s, d, "detailed")).select(*KEYS, F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["version"], x["type"], x["release_date"])), ",").alias("entries"))
@@ -164,15 +187,22 @@ query("diff", f"{PAIR} SELECT '1.' || CAST(3 AS VARCHAR) || '.0' AS version, qua
 BASE = "lower(split_part({0}, '.', -1))"
 GONE = f"""{B}, gone AS (SELECT * FROM hist WHERE change = 'removed'), cand AS (SELECT g.package_id, g.version, g.qualified_name, arg_min(f.qualified_name, f.ord) AS replacement FROM gone g JOIN flat f ON g.package_id = f.package_id AND g.version = f.version
   AND (contains({BASE.format('f.qualified_name')}, {BASE.format('g.qualified_name')}) OR contains({BASE.format('g.qualified_name')}, {BASE.format('f.qualified_name')})) GROUP BY ALL)"""
-query("replacement_candidates", f"{GONE} SELECT * FROM cand")(lambda s, d: H.replacement_candidates(H.removed_symbols(deltas(s, d)), symbols(s, d)))
+
+
+def _gone(s, d):
+    table, releases = snapshots(s, d)
+    return H.removed_symbols(H.release_deltas(table, releases)), table
+
+
+query("replacement_candidates", f"{GONE} SELECT * FROM cand")(lambda s, d: H.replacement_candidates(*_gone(s, d)))
 query("removed_with_replacement", f"{GONE} SELECT package_id, version, previous_version, change, qualified_name, kind, '' AS changes, replacement FROM gone LEFT JOIN cand USING (package_id, version, qualified_name)")(
-    lambda s, d: shown(H.removed_symbols(deltas(s, d), symbols(s, d)), "replacement")
+    lambda s, d: shown(H.removed_symbols(*_gone(s, d)), "replacement")
 )
 
 
 def _late(s, d):
     """The history of 1.0 and 1.4 onwards, then the releases between them: 1.4 is told anew."""
-    table, releases = symbols(s, d), bound(s, d, "releases")
+    table, releases = snapshots(s, d)
     between = "minor BETWEEN 1 AND 3"
     old = H.release_deltas(table.filter(f"NOT ({between})"), releases)
     told_then = releases.filter(f"NOT ({between})")

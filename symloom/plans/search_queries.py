@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 from symloom.operators import search as S
 from symloom.plans.artifact_queries import LATEST, RECORDS, records
 from symloom.plans.bindings import bound
+from symloom.plans.lineage import cut
 from symloom.plans.registry import query
 
 c = F.col
 TOK = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9_]+'), lambda t: t <> '')"
 INDEX = f"""{RECORDS}, field AS (SELECT id AS doc, 'title' AS field, {TOK('title')} AS ts FROM rec UNION ALL SELECT id, 'keywords', {TOK("array_to_string(keywords, ' ')")} FROM rec UNION ALL SELECT id, 'excerpt', {TOK('excerpt')} FROM rec),
   post AS (SELECT term, field, doc, CAST(length AS INT) AS length, count(*) AS tf FROM (SELECT doc, field, len(ts) AS length, unnest(ts) AS term FROM field) GROUP BY ALL)"""
-index = lambda s, d: S.build_search_index(records(s, d))
-query("build_search_index", f"{INDEX} SELECT * FROM post")(index)
+query("build_search_index", f"{INDEX} SELECT * FROM post")(lambda s, d: S.build_search_index(records(s, d)))
+index = lambda s, d: cut(S.build_search_index(records(s, d)))  # noqa: E731  built once, read by every step of a search
 
 
 def queries(s, d):
-    """Every word of part names, as it is and with its third letter missing."""
+    """Every word of part names, as it is, with its third letter missing, and with another first letter."""
     words = bound(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     slip = F.concat(F.substring("w", 1, 2), F.substr(c("w"), F.lit(4)))
-    return words.select(c("w").alias("query_id"), c("w").alias("query")).unionByName(words.select(F.concat("w", F.lit("~")).alias("query_id"), slip.alias("query")))
+    return words.select(c("w").alias("query_id"), c("w").alias("query")).unionByName(words.select(F.concat("w", F.lit("~")).alias("query_id"), slip.alias("query"))).unionByName(words.select(F.concat("w", F.lit("^")).alias("query_id"), F.concat(F.lit("q"), F.substr(c("w"), F.lit(2))).alias("query")))
 
 
-ASK = "word AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), ask AS (SELECT w AS query_id, w AS asked FROM word UNION ALL SELECT w || '~', substr(w, 1, 2) || substr(w, 4) FROM word)"
+ASK = "word AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), ask AS (SELECT w AS query_id, w AS asked FROM word UNION ALL SELECT w || '~', substr(w, 1, 2) || substr(w, 4) FROM word UNION ALL SELECT w || '^', 'q' || substr(w, 2) FROM word)"
 
 
 def match(tag: str = "", fuzzy: float = 0.2, boosts: str = "CASE field WHEN 'title' THEN 3.0 WHEN 'keywords' THEN 2.0 ELSE 1.0 END", fields: str = "'title', 'keywords', 'excerpt'") -> str:
@@ -32,7 +33,7 @@ def match(tag: str = "", fuzzy: float = 0.2, boosts: str = "CASE field WHEN 'tit
     return f""", most{tag} AS (SELECT *, CAST(round(length(asked) * {fuzzy}) AS INT) AS k FROM ask{tag}),
   hit{tag} AS (SELECT query_id, asked, term, 1.0 AS w FROM ask{tag} JOIN df ON term = asked
     UNION ALL SELECT query_id, asked, term, 0.375 * length(term) / (length(term) + 0.3 * (length(term) - length(asked))) FROM ask{tag} JOIN df ON starts_with(term, asked) AND term <> asked
-    UNION ALL SELECT query_id, asked, term, 0.45 * length(term) / (length(term) + levenshtein(asked, term)) FROM most{tag} JOIN df ON k > 0 AND abs(length(term) - length(asked)) <= k AND substr(term, 1, 1) = substr(asked, 1, 1) AND levenshtein(asked, term) BETWEEN 1 AND k AND NOT starts_with(term, asked)),
+    UNION ALL SELECT query_id, asked, term, 0.45 * length(term) / (length(term) + levenshtein(asked, term)) FROM most{tag} JOIN df ON k > 0 AND abs(length(term) - length(asked)) <= k AND levenshtein(asked, term) BETWEEN 1 AND k AND NOT starts_with(term, asked)),
   found{tag} AS (SELECT query_id, doc, sum(ln(1 + ((SELECT count(DISTINCT doc) FROM post) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.7 + 0.7 * length / mean)) * w * {boosts}) AS score
     FROM hit{tag} JOIN df USING (term) JOIN post USING (term) JOIN mean USING (field) WHERE field IN ({fields}) GROUP BY ALL)"""
 
