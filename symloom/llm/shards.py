@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from symloom.llm.text import cut
 
-#: Range boundaries drawn for each shard; parts into which each range is divided by its own key span.
+#: Range boundaries drawn for each shard; parts into which each range is divided by its own key span; rows numbered together.
 RANGES_PER_SHARD, PARTS, ROWS_PER_PART = 8, 32, 1_000_000
 
 
@@ -25,7 +25,7 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(within, lambda x: x <= key)))
 
 
-def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, rows_per_part: int = ROWS_PER_PART, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal bytes (law ``bytes``).
 
     A row's key is the 64-bit hash of its text, so equal texts are neighbours. Rows are sampled with a chance in
@@ -33,8 +33,10 @@ def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, id_col
     again into parts of its key span; a range well over its share gets more parts in proportion. A range that is
     one key alone (copies of one text) is cut by the hash of the id instead, so a text that fills several shards
     can still be spread, while any other group of copies stays in one part. Parts are laid in key order and go
-    to the shard that holds their middle byte; exact part sums, not the sample, decide that. slot is the row
-    number in the part plus the rows of earlier parts of the shard, so no window spans a shard.
+    to the shard that holds their middle byte; exact part sums, not the sample, decide that. Parts of a range with
+    more than ``rows_per_part`` rows are numbered in slices by the hash of the id, so that a key with very many
+    small rows (null or empty texts) is no one task's work. slot is the row number in the slice plus the rows of
+    earlier slices of the shard, so no window spans a shard.
 
     Null text has size 1 and crc32 0; null ids are kept; repeated rows take slots of their own; an empty table
     gives an empty result. Other columns are ignored.
@@ -65,26 +67,26 @@ def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, id_col
     ranged = keyed.withColumn("range", _range_of(F.col("key"), bounds))
     spans = ranged.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     share = F.greatest(F.lit(1.0), F.col("bytes") / width)
-    spans = spans.select("range", "low", "high", F.ceil(F.greatest(PARTS * share, F.col("n") / ROWS_PER_PART)).cast("int").alias("parts"))
+    spans = spans.select("range", "low", "high", F.ceil(PARTS * share).cast("int").alias("parts"), F.ceil(F.col("n") / rows_per_part).cast("int").alias("slices"))
     spread = (F.col("high").cast("double") - F.col("low").cast("double"))
     place = F.when(F.col("low") == F.col("high"), F.col("minor").cast("double") / 2.0**64 + 0.5).otherwise(
         (F.col("key").cast("double") - F.col("low").cast("double")) / F.greatest(spread, F.lit(1.0))
     )
     parted = ranged.join(F.broadcast(spans), "range")  # one row for each range: at most ranges + 2 for each heavy key of the sample
-    parted = parted.withColumn("part", F.least(F.floor(place * F.col("parts")).cast("int"), F.col("parts") - 1)).drop("low", "high", "parts")
+    parted = parted.withColumn("part", F.least(F.floor(place * F.col("parts")).cast("int"), F.col("parts") - 1)).withColumn("slice", F.pmod(F.xxhash64("minor", F.lit("slice")), F.col("slices")).cast("int")).drop("low", "high", "parts", "slices")
 
-    sums = parted.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("range", "part")
-    until = F.sum("bytes").over(order)
+    sums = cut(parted.groupBy("range", "part", "slice").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    by_part = sums.groupBy("range", "part").agg(F.sum("bytes").alias("bytes"))
+    until = F.sum("bytes").over(Window.orderBy("range", "part"))
     middle = until - F.col("bytes") / 2
-    laid = sums.select("range", "part", "n", F.least(F.floor(middle * shards / F.lit(max(1, total))).cast("int"), F.lit(shards - 1)).alias("shard"))
-    laid = laid.withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("range", "part")) - F.col("n")).drop("n")
-    laid = cut(laid)
+    laid = by_part.select("range", "part", F.least(F.floor(middle * shards / F.lit(max(1, total))).cast("int"), F.lit(shards - 1)).alias("shard"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("range", "part", "slice")) - F.col("n")
+    laid = cut(sums.join(laid, ["range", "part"]).select("range", "part", "slice", "shard", before.alias("offset")))
 
-    number = F.row_number().over(Window.partitionBy("range", "part").orderBy("key", "minor", "doc_id", "size", "text_crc32"))
+    number = F.row_number().over(Window.partitionBy("range", "part", "slice").orderBy("key", "minor", "doc_id", "size", "text_crc32"))
     return (
         parted.withColumn("number", number)
-        .join(laid, ["range", "part"])
+        .join(laid, ["range", "part", "slice"])
         .select(
             "doc_id",
             "size",

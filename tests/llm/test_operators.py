@@ -284,6 +284,27 @@ def test_shards(spark, docs, rows, empty, clashing):
     assert max(sizes) <= 1.02 * sum(sizes) / 16 and min(sizes) >= 0.98 * sum(sizes) / 16
 
 
+def test_shards_against_a_plain_order(spark):
+    """Shards are ranges of the key order, cut where the running bytes pass a shard's share, to within one part."""
+    import xxhash
+
+    made = [(i, None if i % 3 == 0 else "text %d " % (i % 900) * (1 + i % 30)) for i in range(5000)]
+    key = lambda t: 42 if t is None else xxhash.xxh64(t.encode(), seed=42).intdigest()
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    text = dict(made)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    found = shards.shard(df, 8).collect()
+    placed = sorted((signed(key(text[r["doc_id"]])), r["shard"], r["slot"], r["size"]) for r in found)
+    assert [p[1:3] for p in placed] == sorted(p[1:3] for p in placed)
+    share, past = sum(p[3] for p in placed) / 8, 0
+    for _, where, _, size in placed:
+        assert where * share - 0.03 * share <= past + size and past <= (where + 1) * share + 0.03 * share
+        past += size
+    sliced = shards.shard(df, 8, rows_per_part=50).collect()
+    check_shards(made, sliced, 8)
+    assert {r["doc_id"]: r["shard"] for r in sliced} == {r["doc_id"]: r["shard"] for r in found}
+
+
 def test_shards_stay_in_the_jvm(docs):
     plan = shards.shard(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -302,7 +323,7 @@ def test_decontaminate(spark, docs, rows, empty):
     item = "Seven green houses stood beside the winter river, and nobody knew who had built them or when they would fall."
     noisy = item.replace("green", "gren").replace("nobody", "nobodyy").upper().replace(" ", "\n ")
     far = item[:50] + " entirely different words follow from here on and so this is no copy at all"
-    extra = [(900, "before " + item + " after", None, None, None), (901, noisy, None, None, None), (902, far, None, None, None)]
+    extra = [(900, "before " + item + " after", None, None, None), (901, noisy, None, None, None), (902, far, None, None, None), (903, "many words before " * 300 + noisy + " and after" * 200, None, None, None)]
     df = docs.union(spark.createDataFrame(extra, docs.schema))
     items = spark.createDataFrame([(1, item), (2, None), (3, " "), (4, "never seen anywhere in these texts"), (5, item)], "item_id long, text string")
 
@@ -318,15 +339,16 @@ def test_decontaminate(spark, docs, rows, empty):
     want = Counter()
     n = decontaminate.normal
     for d, text, *_ in rows + extra:
-        if text and len(text) < 2000:
-            for k, t in ((1, item), (4, "never seen anywhere in these texts"), (5, item)):
-                if (e := distance(n(t), n(text))) <= int(len(n(t)) * 0.06):
+        if text:
+            far = distance(n(item), n(text))
+            for k, t, e in ((1, item, far), (5, item, far), (4, "never seen anywhere in these texts", distance(n("never seen anywhere in these texts"), n(text)))):
+                if e <= int(len(n(t)) * 0.06):
                     want[d, k, e] += 1
-    assert want[900, 1, 0] and any(k[0] == 901 for k in want) and not any(k[0] == 902 for k in want)
+    assert want[900, 1, 0] and {901, 903} <= {k[0] for k in want} and not any(k[0] == 902 for k in want)
     assert got(decontaminate.find_items(df, items), "doc_id", "item_id", "distance") == want
     assert got(decontaminate.find_items(df, items, block=2), "doc_id", "item_id", "distance") == want
     left = Counter(r["doc_id"] for r in decontaminate.clean(df, items).collect())
-    assert left == Counter(d for d, *_ in rows + extra) - Counter({900: 1, 901: 1})
+    assert left == Counter(d for d, *_ in rows + extra) - Counter({900: 1, 901: 1, 903: 1})
     assert decontaminate.find_items(empty, items).count() == 0
     assert decontaminate.find_items(df, items.filter("item_id < 0")).count() == 0
 
@@ -439,6 +461,45 @@ def test_quality(spark, docs, rows, empty, clashing):
     assert quality_fm.score(clashing, none).count() == len(rows) and quality_fm.score(empty, none).count() == 0
 
 
+def test_quality_features_and_scores_against_plain_ones(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from symloom.llm.text import words_of
+
+    texts = ["The Cat sat, on 12 mats.\nThe CAT!", "", "é é é", "one", "a " * 5000 + "B"]
+    declared = [30, 0, 5, 900, 10001]
+    bucket = lambda w: int(next(words_of(pa.array([w])))[2].hashes[0]) >> (64 - quality_fm.WORD_BITS)
+
+    def plain(text, said):
+        raw = text.encode()
+        words = WORD.findall(text)
+        size, total = len(raw), max(1, len(words))
+        kinds = [lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57, lambda b: 33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126, lambda b: b in (46, 44), lambda b: b == 10, lambda b: b >= 128]
+        often = Counter(bucket(w) for w in words)
+        stats = [math.sqrt(sum(map(kind, raw)) / max(1, size)) for kind in kinds]
+        stats += [min(1, sum(len(w.encode()) for w in words) / total / 16), len(often) / total, math.sqrt(max(often.values(), default=0) / total), math.log1p(size) / 16, min(2, said / max(1, size)) / 2]
+        out = {b: 1 / math.sqrt(len(often)) for b in often}
+        for k, x in enumerate(stats):
+            out[(1 << quality_fm.WORD_BITS) + k * quality_fm.BINS + min(quality_fm.BINS - 1, int(x * quality_fm.BINS))] = 1 / math.sqrt(len(stats))
+        return out
+
+    ids, values, begins = quality_fm.features(pa.array(texts), np.array(declared, dtype=float))
+    want = [plain(t, s) for t, s in zip(texts, declared, strict=True)]
+    for k, w in enumerate(want):
+        a, b = begins[k], begins[k + 1]
+        assert b - a == len(w) and all(abs(w[i] - x) < 1e-6 for i, x in zip(ids[a:b].tolist(), values[a:b].tolist(), strict=True))
+    r = np.random.default_rng(2)
+    model = quality_fm.Factors(-0.2, r.normal(size=quality_fm.SIZE).astype("f4"), r.normal(0, 0.3, size=(quality_fm.SIZE, 4)).astype("f4"))
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, declared, strict=True))], "doc_id long, text string, n_chars long")
+    for row in quality_fm.score(df, model).collect():
+        w = list(want[row["doc_id"]].items())[:400]
+        z = -0.2 + sum(float(model.linear[i]) * x for i, x in w) + sum(float(model.pairs[i] @ model.pairs[j]) * x * y for p, (i, x) in enumerate(w) for j, y in w[p + 1 :])
+        assert abs(row["score"] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
 def test_interactions_equal_the_sum_over_pairs():
     import numpy as np
 
