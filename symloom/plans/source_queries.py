@@ -46,14 +46,15 @@ def _releases(s, d):
     return io.read_releases(s, folder, "*.json").select("package_name", "position", "version", "sha", "release_date")
 
 
-@query("read_symbols", f"""{LATEST} SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY ord) - 1 AS ord, id, kind, name, qualified_name, signature, visibility, summary, deprecated, returns_type, extends_name AS extends, n_params FROM latest""")
+@query("read_symbols", f"""{LATEST} SELECT package_id, row_number() OVER (PARTITION BY package_id, floor(ord / 500) ORDER BY ord) - 1 AS ord, id, kind, name, qualified_name, signature, visibility, summary, deprecated, returns_type, extends_name AS extends, n_params FROM latest""")
 def _symbols(s, d):
+    """Files of the symbols of one package and one range of 500 parts each."""
     folder = scratch(s)
     record = F.struct(
         "ord", "id", c("package_id").alias("packageId"), "language", "kind", "name", c("qualified_name").alias("qualifiedName"), "signature", F.struct("summary", F.struct(c("deprecated").alias("isDeprecated")).alias("deprecated")).alias("docs"),
         "params", F.struct(c("returns_type").alias("type")).alias("returns"), F.struct("extends").alias("relations"), F.struct("visibility").alias("tags"),
     )
-    files = symbols(s, d, "latest").groupBy("package_id").agg(F.array_sort(F.collect_list(record), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("symbols"))
+    files = symbols(s, d, "latest").groupBy("package_id", F.floor(c("ord") / 500).alias("range")).agg(F.array_sort(F.collect_list(record), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("symbols"))
     _one_each(files.select(F.struct(c("package_id").alias("packageId")).alias("package"), "symbols"), folder)
     read = io.read_symbols(s, folder)
     return read.select("package_id", "ord", "id", "kind", "name", "qualified_name", "signature", "visibility", "summary", "deprecated", "returns_type", F.array_join("extends", ",").alias("extends"), F.size("params").alias("n_params"))
