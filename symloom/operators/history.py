@@ -175,7 +175,10 @@ def release_deltas(symbols: DataFrame, releases: DataFrame, mode: str = "build")
     """
     carried = [c for c in CARRIED if c in symbols.columns]
     deprecation = F.col("deprecation") if "deprecation" in symbols.columns else F.lit(None).cast("struct<message:string,replacement:string>")
-    ranks = version_ranks(symbols, releases)
+    known = F.struct(*[(F.col(c) if c in releases.columns else F.lit(None)).cast("string").alias(c) for c in ("sha", "release_date")])
+    dated = releases.select("package_id", "version", known.alias("release"))
+    following = dated.select("package_id", F.col("version").alias("next_version"), F.col("release").alias("next_release"))
+    ranks = version_ranks(symbols, releases).join(dated, ["package_id", "version"], "left").join(following, ["package_id", "next_version"], "left")
     ranked = symbols.select("package_id", "version", "qualified_name", "ord", F.struct(_snapshot().alias("s"), *carried, deprecation.alias("deprecation")).alias("all")).join(ranks, ["package_id", "version"])
     ranked = ranked.withColumn("snap", F.struct("all.s.*", *[F.col(f"all.{c}") for c in (*carried, "deprecation")])).drop("all")
     dealt = ranked.repartition("package_id", "qualified_name")
@@ -191,23 +194,22 @@ def release_deltas(symbols: DataFrame, releases: DataFrame, mode: str = "build")
     now, then = _as_told(snap, carried), _as_told(before, carried)
     no_snap = F.when(F.lit(False), now)
 
-    def event(version, previous, kind, changes, old=no_snap, new=no_snap, message=no_text, replacement=no_text):
-        return F.struct(version.alias("version"), previous.alias("previous_version"), F.lit(kind).alias("change"), changes.alias("changes"), old.alias("snapshot_before"), new.alias("snapshot_after"), message.alias("message"), replacement.alias("replacement"))
+    def event(version, previous, release, kind, changes, old=no_snap, new=no_snap, message=no_text, replacement=no_text):
+        return F.struct(version.alias("version"), previous.alias("previous_version"), release.alias("release"), F.lit(kind).alias("change"), changes.alias("changes"), old.alias("snapshot_before"), new.alias("snapshot_after"), message.alias("message"), replacement.alias("replacement"))
 
     here, earlier, later = F.col("version"), F.col("previous_version"), F.col("next_version")
+    release = F.col("release")
     found = F.when(kept, all_changes(before, snap, mode)).otherwise(none)
     events = [
-        F.when(~kept, event(here, earlier, "added", none, new=now)),
-        F.when(kept & (F.size("found") > 0), event(here, earlier, "modified", F.col("found"), old=then, new=now)),
-        F.when(gone, event(later, here, "removed", none)),
+        F.when(~kept, event(here, earlier, release, "added", none, new=now)),
+        F.when(kept & (F.size("found") > 0), event(here, earlier, release, "modified", F.col("found"), old=then, new=now)),
+        F.when(gone, event(later, here, F.col("next_release"), "removed", none)),
     ]
     if mode == "detailed":
         newly = F.coalesce(snap["deprecated"], F.lit(False)) & ~(kept & F.coalesce(before["deprecated"], F.lit(False)))
-        events.append(F.when(newly & earlier.isNotNull(), event(here, earlier, "deprecated", none, new=now, message=snap["deprecation"]["message"], replacement=snap["deprecation"]["replacement"])))
+        events.append(F.when(newly & earlier.isNotNull(), event(here, earlier, release, "deprecated", none, new=now, message=snap["deprecation"]["message"], replacement=snap["deprecation"]["replacement"])))
     told = seen.withColumn("found", found).select("package_id", "qualified_name", F.col("snap.kind").alias("kind"), F.explode(F.array_compact(F.array(*events))).alias("e"))
-    told = told.select("package_id", "e.version", "e.previous_version", "e.change", "qualified_name", "kind", *[f"e.{c}" for c in ("changes", "snapshot_before", "snapshot_after", "message", "replacement")])
-    known = [(F.col(c) if c in releases.columns else no_text).cast("string").alias(c) for c in ("sha", "release_date")]
-    return told.join(releases.select("package_id", "version", *known), ["package_id", "version"], "left")
+    return told.select("package_id", "e.version", "e.previous_version", "e.change", "qualified_name", "kind", *[f"e.{c}" for c in ("changes", "snapshot_before", "snapshot_after", "message", "replacement")], "e.release.sha", "e.release.release_date")
 
 
 def added_symbols(history: DataFrame) -> DataFrame:
