@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and SQL for those that SQL can express."""
+"""The operators as queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, substring_dedup
+from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, spelling, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, pipeline]
+    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, op12_spelling, pipeline]
     return {f.__name__: f for f in steps}
 
 
@@ -148,6 +152,22 @@ SELECT doc_id, n_bytes, strlen(p) AS payload_bytes, sha256(p) AS payload_sha256,
 FROM m JOIN f USING (doc_id) JOIN w USING (doc_id)
 """
 
+#: Words one deletion apart, or with one deletion in the same place, are one edit apart; the checksum goes by a table.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS tab),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, c, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM runs),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+g AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM v)),
+e AS (SELECT a.word, b.word AS near FROM g a JOIN g b ON a.i = b.i AND a.less = b.less AND a.word <> b.word UNION SELECT g.word, v.word FROM g JOIN v ON v.word = g.less UNION SELECT v.word, g.word FROM g JOIN v ON v.word = g.less),
+m AS (SELECT e.word, count(*) AS n_near, max(v.n) AS most FROM e JOIN v ON v.word = e.near GROUP BY e.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN (SELECT min(e.near) FROM e JOIN v x ON x.word = e.near WHERE e.word = v.word AND x.n = most) END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN m USING (word)),
+r AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT max_by(root, steps) FROM r WHERE r.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL, "op12_spelling": OP12_SQL}
