@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, spelling, substring_dedup
+from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, spelling, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, op12_spelling, pipeline]
+    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, op12_spelling, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in steps}
 
 
@@ -168,6 +172,19 @@ r AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT r.word, f.fo
 SELECT f.word, form, (SELECT max_by(root, steps) FROM r WHERE r.word = f.word) AS root, n, n_near, form_n FROM f
 """
 
+#: Digests of all byte strings of 200, and the runs of bytes that those which occur twice cover.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, i, md5(b[i + 1:i + 200]) AS h FROM (SELECT k, b, unnest(range(octet_length(b) - 199)) AS i FROM d)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT k, g, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY k, g),
+p AS (SELECT k, a, z, lag(z, 1, 0) OVER (PARTITION BY k ORDER BY a) AS past, row_number() OVER (PARTITION BY k ORDER BY a DESC) = 1 AS final FROM s),
+t AS (SELECT k, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(hex(b[past + 1:a]), '' ORDER BY a) || any_value(hex(b[z + 1:octet_length(b)])) FILTER (final) AS kept FROM p JOIN d USING (k) GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256
+FROM d LEFT JOIN t USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL, "op12_spelling": OP12_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL, "op12_spelling": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
