@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, spelling, substring_dedup, suffix_dedup
+from symloom.llm import chat_format, decontaminate, langid, media_chunks, ngram_join, piece_bpe, quality_fm, secret_scan, shards, spelling, substring_dedup, suffix_dedup, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_digests(conversations, turn_repair.damage(conversations))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(spelling.word_counts(table(spark, sf_dir, "documents")))
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, op12_spelling, op13_suffix_dedup, pipeline]
+    steps = [op1_language_id, op2_substring_dedup, op3_chat_format, op4_ngram_join, op5_secret_scan, op6_quality, op7_media_chunks, op8_shards, op9_decontaminate, op10_piece_bpe, op11_turn_repair, op12_spelling, op13_suffix_dedup, pipeline]
     return {f.__name__: f for f in steps}
 
 
