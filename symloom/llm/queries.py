@@ -161,6 +161,39 @@ SELECT doc_id, n_bytes, strlen(p) AS payload_bytes, sha256(p) AS payload_sha256,
 FROM m JOIN f USING (doc_id) JOIN w USING (doc_id)
 """
 
+def _step(state: str, cost: int | str, edit: str, line: str | None = None) -> str:
+    """SQL for the state of a conversation after one edit; null if it cannot be reached."""
+    lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {lines}}} END"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort(list_filter([{', '.join(states)}], lambda x: x IS NOT NULL))[1]"
+
+
+#: Turn by turn, the cheapest edits up to each state of the grammar: nothing, after a system, a user, an assistant turn.
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) % 20 AS h FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER w AS p, left(role, 1) AS i, lag(left(role, 1)) OVER w AS before, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+q AS (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra, fault IN ('blank', 'duplicate') AS gone FROM f),
+r AS (SELECT conv_id, 0::BIGINT AS p, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS s0, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS s1, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS s2, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, p, {_step("s0", 2, "D")}, {_least(_step("s1", 2, "D"), "CASE WHEN NOT gone AND i = 's' THEN " + _step("s0", "extra", "K", "role || ':' || text") + " END")},
+    {_least(_step("i2", 2, "D"), *["CASE WHEN NOT gone THEN " + _step(s, "extra + 1", "R", "'user:' || text") + " END" for s in ("s0", "s1", "i3")], *["CASE WHEN NOT gone AND i = 'u' THEN " + _step(s, "extra", "K", "role || ':' || text") + " END" for s in ("s0", "s1", "i3")])},
+    {_least(_step("i3", 2, "D"), "CASE WHEN NOT gone THEN " + _step("i2", "extra + 1", "R", "'assistant:' || text") + " END", "CASE WHEN NOT gone AND i = 'a' THEN " + _step("i2", "extra", "K", "role || ':' || text") + " END")}
+  FROM (SELECT *, {_least("s3", _step("i2", 5, "I", "'assistant:'"))} AS i3 FROM (SELECT q.*, s0, s1, s2, s3, {_least("s2", *[_step(s, 5, "I", "'user:'") for s in ("s0", "s1", "s3")])} AS i2 FROM r JOIN q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND q.p = r.p + 1))),
+z AS (SELECT conv_id, {_least("s0", "s3", _step("s2", 5, "I", "'assistant:'"), _step("s1", 10, "II", "'user:' || chr(10) || 'assistant:'"))} AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) AS final FROM r) WHERE final = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, s.c::BIGINT AS cost, s.a AS audit, sha256(array_to_string(s.t, chr(10))) AS repaired_sha256
+FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
 #: Words one deletion apart, or with one deletion in the same place, are one edit apart; the checksum goes by a table.
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS tab),
@@ -192,4 +225,4 @@ FROM d LEFT JOIN t USING (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL, "op12_spelling": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_media_chunks": OP7_SQL, "op11_turn_repair": OP11_SQL, "op12_spelling": OP12_SQL, "op13_suffix_dedup": OP13_SQL}

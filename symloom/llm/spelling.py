@@ -112,7 +112,8 @@ def near_pairs(words: DataFrame, symbols: int) -> DataFrame:
     short = _reduced_keys(words, symbols, True).join(right(_reduced_keys(words, symbols, False)), "key")
     short = short.filter((~F.col("same") | (F.col("word") < F.col("near"))) & apart).select("word", "n", "near", "near_n")
     halves = _half_keys(words)
-    long = halves.join(right(halves), "key").filter((F.col("word") < F.col("near")) & apart).select("word", "n", "near", "near_n").distinct()
+    longer = F.greatest(F.length("word"), F.length("near")) == F.col("key.m")  # pairs of short words met before
+    long = halves.join(right(halves), "key").filter((F.col("word") < F.col("near")) & longer & apart).select("word", "n", "near", "near_n").distinct()
     once = cut(short.unionByName(long))
     return once.unionByName(once.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 
