@@ -31,16 +31,16 @@ class Suffixes:
         """Hashes of the bytes [first, last)."""
         return mix((self._sums[last] - self._sums[first]) * self._inverse[first])
 
-    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, first, last, digit, again) of each run: neighbouring suffixes whose first ``depth`` bytes have one digit.
+    def digits(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, place, digit) of each suffix of at least ``depth`` bytes.
 
         The digit is the string of ``gram`` bytes with the least hash (the leftmost of such) among those within the
-        first ``depth``: suffixes that agree so far have one digit, at one distance. again: it occurs twice in the run.
+        first ``depth``, and place is where it begins: suffixes that agree so far have one digit, at one distance.
         """
         n, reach = len(self.bytes), self.depth - gram + 1
-        rows = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
         if n < self.depth:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        rows = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
         at = np.arange(n - gram + 1)
         hashes = self.span(at, at + gram)
         least, have = (hashes & ~_LOW) | at.astype(np.uint64), 1
@@ -48,15 +48,23 @@ class Suffixes:
             step = min(have, reach - have)
             least = np.minimum(least[: len(least) - step], least[step:])
             have += step
-        whole = rows[: n - self.depth + 1] == rows[self.depth - 1 :]
-        start = np.flatnonzero(whole)
+        start = np.flatnonzero(rows[: n - self.depth + 1] == rows[self.depth - 1 :])
         place = (least[start] & _LOW).astype(np.int64)
-        digit = hashes[place]
-        fresh = np.ones(len(start), dtype=bool)
-        fresh[1:] = (digit[1:] != digit[:-1]) | (rows[start[1:]] != rows[start[:-1]])
-        head = np.flatnonzero(fresh)
-        tail = np.append(head[1:], len(start)) - 1
-        return rows[start[head]], start[head], start[tail], digit[head], place[head] != place[tail]
+        return rows[start], start, place, hashes[place]
+
+    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, last, digit, again) of each run of suffixes with one digit; again: it is at two places there."""
+        row, start, place, digit = self.digits(gram)
+        head, tail = edges(row, digit)
+        return row[head], start[head], start[tail], digit[head], place[head] != place[tail]
+
+
+def edges(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs in which none of ``keys`` changes."""
+    fresh = np.ones(len(keys[0]), dtype=bool)
+    fresh[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+    head = np.flatnonzero(fresh)
+    return head, (np.append(head[1:], len(fresh)) - 1 if len(head) else head)
 
 
 def _profiled(rows: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -98,45 +106,78 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(packing, "row long, packed binary")
 
 
-def _pieces(met: DataFrame, depth: int, at_once: int = 1 << 18) -> DataFrame:
-    """Bytes of the runs in ``met`` (row, packed, runs), one row each; of runs in wide buckets a row for each suffix.
+def _joined(pieces: pa.Array, depth: int) -> Suffixes:
+    """The suffixes of all ``pieces``."""
+    offsets = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy())))
+    return Suffixes(np.frombuffer(b"".join(pieces.to_pylist()), np.uint8), offsets, depth)
 
-    (digit, suffix, row, first, known, bytes): suffix is a hash of the suffix's first ``depth`` bytes, or null.
-    """
 
-    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digit", "suffix", "row", "first", "known", "bytes"]
+PIECE = "digit long, row long, first int, known boolean, wide boolean, bytes binary"
+
 
-        def emit(out: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+def _pieces(met: DataFrame, depth: int, at_once: int = 1 << 21) -> DataFrame:
+    """The bytes of each of the runs in ``met`` (row, packed, runs)."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
 
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
         for batch in batches:
             for row, packed, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = unpack(packed.as_py())
-                suffixes = None
                 for run in runs:
-                    first, last = run["first"], run["last"]
-                    if run["wide"]:
-                        suffixes = suffixes or Suffixes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), depth)
-                        for start in range(first, last + 1, at_once):
-                            at = np.arange(start, min(last + 1, start + at_once))
-                            n = len(at)
-                            hashes = pa.array(suffixes.span(at, at + depth).view(np.int64))
-                            same = [pa.array(np.full(n, run["digit"])), hashes, pa.array(np.full(n, row)), pa.array(at.astype(np.int32)), pa.array(np.full(n, run["known"]))]
-                            yield pa.RecordBatch.from_arrays([*same, pa.nulls(n, pa.binary())], names)
-                    else:
-                        piece = text[first : last + depth]
-                        out.append((run["digit"], None, row, first, run["known"], piece))
-                        held += len(piece)
-                        if held > at_once * 8:
-                            yield emit(out)
-                            out, held = [], 0
+                    out.append((run["digit"], row, run["first"], run["known"], run["wide"], text[run["first"] : run["last"] + depth]))
+                    held += len(out[-1][-1])
+                    if held > at_once:
+                        yield made(out)
+                        out, held = [], 0
         if out:
-            yield emit(out)
+            yield made(out)
+
+    def made(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["digit", "row", "first", "known", "wide", "bytes"])
+
+    return met.mapInArrow(cutting, PIECE)
 
-    return met.mapInArrow(cutting, "digit long, suffix long, row long, first int, known boolean, bytes binary")
+
+def _split(pieces: DataFrame, depth: int, gram: int, size: int) -> DataFrame:
+    """Blocks of at most ``size`` suffixes of ``pieces``: a digit of what all suffixes in such a block share.
+
+    (digit, whole, row, first, last, known, bytes). Blocks begin at multiples of ``size`` before the place of the first
+    digit, so that equal suffixes are in blocks that correspond. Of equal blocks in one piece one is emitted, as known;
+    the spans of all of them follow without a digit.
+    """
+    names = ["digit", "whole", "row", "first", "last", "known", "bytes"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_slices(np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())))):
+                part = batch.slice(a, b - a)
+                texts = _joined(part.column("bytes"), depth)
+                owner, start, place, gramhash = texts.digits(gram)
+                block = (place - start) // size
+                head, tail = edges(owner, place, block)
+                owner, first, last, block = owner[head], start[head], start[tail], block[head]
+                inner = place[head] - size * block  # the last suffix of a full block
+                digit = mix(texts.span(inner, inner - size + 1 + depth) ^ mix(gramhash[head] + block.astype(np.uint64)))
+                whole = texts.span(first, last + depth)
+                _, kind, often = np.unique(np.stack((owner.astype(np.uint64), digit, whole)), axis=1, return_inverse=True, return_counts=True)
+                kind = kind.reshape(-1)
+                twice = often[kind] > 1
+                once = ~twice
+                once[np.unique(kind, return_index=True)[1]] = True
+                row, base, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "first", "known"))
+                base = base - texts.offsets[:-1]
+                bytes_of = [texts.bytes[x : y + depth].tobytes() for x, y in zip(first[once].tolist(), last[once].tolist(), strict=True)]
+                o = owner[once]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit[once].view(np.int64), whole[once].view(np.int64), row[o], (first[once] + base[o]).astype(np.int32), (last[once] + base[o]).astype(np.int32), known[o] | twice[once])] + [pa.array(bytes_of, pa.binary())], names)
+                told = np.flatnonzero(twice & ~known[owner])
+                if len(told):
+                    head, tail = edges(owner[told], np.cumsum(np.append(0, np.diff(told) != 1)))
+                    o = owner[told[head]]
+                    nothing = pa.nulls(len(head), pa.int64())
+                    yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(row[o]), pa.array((first[told[head]] + base[o]).astype(np.int32)), pa.array((last[told[tail]] + base[o]).astype(np.int32)), pa.array(np.zeros(len(head), bool)), pa.nulls(len(head), pa.binary())], names)
+
+    return pieces.select("row", "first", "known", "bytes").mapInArrow(split, "digit long, whole long, row long, first int, last int, known boolean, bytes binary")
 
 
 def sorted_groups(group: np.ndarray, digits: list[Callable[[np.ndarray], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,72 +201,75 @@ def sorted_groups(group: np.ndarray, digits: list[Callable[[np.ndarray], np.ndar
 def _sort_buckets(pieces: DataFrame, depth: int, digit_bytes: int, at_once: int = 100_000) -> DataFrame:
     """(row, first, last): runs of suffixes in ``pieces`` whose first ``depth`` bytes occur twice, but for known ones."""
 
-    def repeated(digit: np.ndarray, row: np.ndarray, first: np.ndarray, known: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
+    def repeated(part: pa.RecordBatch) -> pa.RecordBatch:
         """Sorts the suffixes of whole buckets."""
-        offsets = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy())))
-        texts = Suffixes(np.frombuffer(b"".join(pieces.to_pylist()), np.uint8), offsets, depth)
+        digit, row, first, known = (part.column(c).to_numpy(zero_copy_only=False) for c in ("digit", "row", "first", "known"))
+        texts = _joined(part.column("bytes"), depth)
         counts = np.diff(texts.offsets) - depth + 1
         owner = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         place = texts.offsets[owner] + at
         cuts = [(d, min(depth, d + digit_bytes)) for d in range(0, depth, digit_bytes)]
-        found, _ = sorted_groups(digit[owner], [lambda p, a=a, b=b: texts.span(place[p] + a, place[p] + b) for a, b in cuts])
+        found, group = sorted_groups(digit[owner], [lambda p, a=a, b=b: texts.span(place[p] + a, place[p] + b) for a, b in cuts])
         found = np.sort(found[~known[owner[found]]])
-        fresh = np.ones(len(found), dtype=bool)
-        fresh[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
-        head = np.flatnonzero(fresh)
-        tail = np.append(head[1:], len(found)) - 1 if len(head) else head
+        head, tail = edges(owner[found], found - np.arange(len(found)))
         a, b = found[head], found[tail]
         return pa.RecordBatch.from_arrays([pa.array(row[owner[a]]), pa.array((first[owner[a]] + at[a]).astype(np.int32)), pa.array((first[owner[b]] + at[b]).astype(np.int32))], ["row", "first", "last"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = None, None  # what may go on in the next batch: a bucket's pieces, a suffix
+        held = None  # a bucket that may go on in the next batch
         for batch in batches:
-            small = batch.filter(batch.column("suffix").is_null())
-            if small.num_rows:
-                held = small if held is None else pa.Table.from_batches([held, small]).combine_chunks().to_batches()[0]
-                digit = held.column("digit").to_numpy()
-                if held.column("bytes").nbytes > at_once:
-                    whole = int(np.argmax(digit == digit[-1]))
-                    done, held = held.slice(0, whole), held.slice(whole)
-                    if done.num_rows:
-                        yield from sort_all(done)
-            wide = batch.filter(batch.column("suffix").is_valid())
-            if wide.num_rows:
-                key, own = (wide.column(c).to_numpy() for c in ("digit", "suffix"))
-                same = np.zeros(len(key) + 1, dtype=bool)  # same[i]: row i - 1 and row i have one suffix
-                same[1:-1] = (key[1:] == key[:-1]) & (own[1:] == own[:-1])
-                same[0] = before is not None and before[0] == key[0] and before[1] == own[0]
-                row, first, known = (wide.column(c).to_numpy(zero_copy_only=False) for c in ("row", "first", "known"))
-                if before is not None and (before[5] or same[0]) and not before[4]:
-                    yield spans(np.array([before[2]]), np.array([before[3]]))
-                twice = (same[:-1] | same[1:]) & ~known
-                twice[-1] = False
-                yield spans(row[twice], first[twice])
-                before = (key[-1], own[-1], row[-1], first[-1], known[-1], same[-2])
-        if held is not None and held.num_rows:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            digit = held.column("digit").to_numpy()
+            if len(digit) and held.column("bytes").nbytes > at_once:
+                whole = int(np.argmax(digit == digit[-1]))
+                done, held = held.slice(0, whole), held.slice(whole)
+                yield from sort_all(done)
+        if held is not None:
             yield from sort_all(held)
-        if before is not None and before[5] and not before[4]:
-            yield spans(np.array([before[2]]), np.array([before[3]]))
-
-    def spans(row: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        first = pa.array(first.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), first, first], ["row", "first", "last"])
 
     def sort_all(done: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         digit = done.column("digit").to_numpy()
-        edge = np.append(np.flatnonzero(np.diff(digit)) + 1, len(digit))
+        ends = edges(digit)[1] + 1
         size = np.cumsum(pc.binary_length(done.column("bytes")).to_numpy())
         start = 0
         while start < len(digit):
             reach = np.searchsorted(size, (size[start - 1] if start else 0) + at_once)
-            stop = int(edge[min(len(edge) - 1, np.searchsorted(edge, max(reach, start + 1)))])
-            part = done.slice(start, stop - start)
-            numbers = [part.column(c).to_numpy(zero_copy_only=False) for c in ("digit", "row", "first", "known")]
-            yield repeated(*numbers, part.column("bytes"))
+            stop = int(ends[min(len(ends) - 1, np.searchsorted(ends, max(reach, start + 1)))])
+            yield repeated(done.slice(start, stop - start))
             start = stop
 
-    return pieces.repartition("digit", "suffix").sortWithinPartitions("digit", "suffix").mapInArrow(sort, "row long, first int, last int")
+    dealt = pieces.select("digit", "row", "first", "known", "bytes").repartition("digit").sortWithinPartitions("digit")
+    return dealt.mapInArrow(sort, "row long, first int, last int")
+
+
+def _wide(pieces: DataFrame, depth: int, gram: int, digit_bytes: int, bucket: int) -> DataFrame | None:
+    """(row, first, last) like ``_sort_buckets``, for buckets too large to sort in one task; None if there are none.
+
+    Passes over blocks of 64, 16, 4 and 1 suffixes, whose digit is what the suffixes of a block share: a block alone
+    in its group leaves, blocks that are equal as a whole are done, small groups are sorted, the others are split.
+    """
+    spans, size = [], 64
+    while pieces.limit(1).count():
+        blocks = cut(_split(pieces, depth, gram, size))
+        spans.append(blocks.filter(F.col("digit").isNull()).select("row", "first", "last"))
+        blocks = blocks.filter(F.col("digit").isNotNull())
+        weight = F.sum(F.when(F.col("known"), 2).otherwise(1))
+        same = cut(blocks.groupBy("digit", "whole").agg(weight.alias("n"), F.min(F.struct("row", "first")).alias("one"), F.max(F.col("last") - F.col("first") + 1).alias("size")))
+        groups = same.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"), F.sum("size").alias("size"))
+        told = blocks.join(same.select("digit", "whole", "n", "one"), ["digit", "whole"])
+        spans.append(told.filter((F.col("n") > 1) & ~F.col("known")).select("row", "first", "last"))
+        told = told.filter((F.col("n") == 1) | (F.col("one") == F.struct("row", "first")))
+        told = told.join(groups.filter((F.col("kinds") > 1) & (F.col("fewest") == 1)), "digit")
+        told = cut(told.select("digit", "row", "first", (F.col("n") > 1).alias("known"), (F.col("size") > bucket).alias("wide"), "bytes"))
+        spans.append(_sort_buckets(told.filter(~F.col("wide")), depth, digit_bytes))
+        pieces, size = told.filter("wide"), size // 4
+    if not spans:
+        return None
+    every = spans[0]
+    for span in spans[1:]:
+        every = every.union(span)
+    return every
 
 
 def _finished(met: DataFrame, depth: int) -> DataFrame:
@@ -264,8 +308,8 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, dig
     2. The second is all that the suffixes of a run cover. Runs equal in that have repeated suffixes only and are done;
        one of them stays as a known witness where other runs share the first digit.
     3. Spark deals what is left by the first digit; the suffixes in a bucket are sorted by digits of ``digit_bytes``
-       bytes. Buckets of more than ``bucket`` suffixes are never held: each of their suffixes is dealt by all of its
-       first ``depth`` bytes and sorted with the others of its partition, as a stream.
+       bytes. Buckets of more than ``bucket`` suffixes are never held: passes over smaller and smaller blocks of
+       suffixes split them by what the suffixes of a block share, until buckets are small or blocks equal.
 
     Digits are compared by 64-bit hashes, at least two of which must agree; a text is named by one of 64 bits. Texts
     are taken as UTF-8 bytes, whole; null and empty ones have no bytes. Results depend on the text only, so that rows
@@ -286,7 +330,9 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, dig
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("digit", "first", "last", "known", "wide")).alias("runs"))  # no more than the runs of one text
     texts = _packed(rows)
     met = texts.join(asked, "row").groupBy("row").agg(F.first("packed").alias("packed"), F.first("runs").alias("runs"))
-    found = _sort_buckets(_pieces(met, depth), depth, digit_bytes)
+    pieces = cut(_pieces(met, depth))
+    found, wide = _sort_buckets(pieces.filter(~F.col("wide")), depth, digit_bytes), _wide(pieces.filter("wide"), depth, gram, digit_bytes, bucket)
+    found = found if wide is None else found.union(wide)
 
     copies = profile.filter(F.col("n_bytes") >= depth).groupBy("row").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("row")
     equal = live.filter(~F.col("mixed")).select("row", "first", "last")
