@@ -253,10 +253,7 @@ def name_parts(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
 
 
-def key_part(name: Column) -> Column:
-    """The part that a name is looked up by: three characters chosen by a hash, or all of a shorter name.
-
-    What holds the name has this among its ``name_parts``.
-    """
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.struct(F.xxhash64(name.substr(i, F.lit(3))).alias("h"), name.substr(i, F.lit(3)).alias("part")))
-    return F.when(F.length(name) < 3, name).otherwise(F.array_min(three)["part"])
+def own_parts(name: Column) -> Column:
+    """The parts that any name holding this one has: all of three characters, or the whole of a shorter name."""
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: name.substr(i, F.lit(3)))
+    return F.when(F.length(name) < 3, F.array(name)).otherwise(F.array_distinct(three))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.functions import names as N
+from symloom.functions.versions import version_key
+from symloom.operators.substrings import holding
+from symloom.plans.lineage import cut
 
 CHANGE = "struct<type:string,description:string,breaking:boolean,member_name:string,before:string,after:string>"
 VISIBILITY = ("public", "protected", "private")
@@ -158,7 +161,7 @@ def last_of_name(symbols: DataFrame) -> DataFrame:
 def version_ranks(symbols: DataFrame, releases: DataFrame) -> DataFrame:
     """(package_id, version, rank, previous_version, next_version) of the releases that have symbols."""
     loaded = releases.join(symbols.select("package_id", "version").distinct(), ["package_id", "version"], "left_semi")
-    window = Window.partitionBy("package_id").orderBy("major", "minor", "patch")
+    window = Window.partitionBy("package_id").orderBy(version_key("version"))
     return loaded.select("package_id", "version", (F.row_number().over(window) - 1).alias("rank"), F.lag("version").over(window).alias("previous_version"), F.lead("version").over(window).alias("next_version"))
 
 
@@ -190,26 +193,26 @@ def release_deltas(symbols: DataFrame, releases: DataFrame, mode: str = "build")
     kept = F.coalesce(F.col("before_rank") == F.col("rank") - 1, F.lit(False))
     gone = F.col("next_version").isNotNull() & ~F.coalesce(F.col("after_rank") == F.col("rank") + 1, F.lit(False))
     none = F.array().cast(f"array<{CHANGE}>")
-    no_text = F.lit(None).cast("string")
-    now, then = _as_told(snap, carried), _as_told(before, carried)
-    no_snap = F.when(F.lit(False), now)
-
-    def event(version, previous, release, kind, changes, old=no_snap, new=no_snap, message=no_text, replacement=no_text):
-        return F.struct(version.alias("version"), previous.alias("previous_version"), release.alias("release"), F.lit(kind).alias("change"), changes.alias("changes"), old.alias("snapshot_before"), new.alias("snapshot_after"), message.alias("message"), replacement.alias("replacement"))
-
-    here, earlier, later = F.col("version"), F.col("previous_version"), F.col("next_version")
-    release = F.col("release")
     found = F.when(kept, all_changes(before, snap, mode)).otherwise(none)
-    events = [
-        F.when(~kept, event(here, earlier, release, "added", none, new=now)),
-        F.when(kept & (F.size("found") > 0), event(here, earlier, release, "modified", F.col("found"), old=then, new=now)),
-        F.when(gone, event(later, here, F.col("next_release"), "removed", none)),
-    ]
+    kinds = [F.when(~kept, "added"), F.when(kept & (F.size("found") > 0), "modified"), F.when(gone, "removed")]
     if mode == "detailed":
         newly = F.coalesce(snap["deprecated"], F.lit(False)) & ~(kept & F.coalesce(before["deprecated"], F.lit(False)))
-        events.append(F.when(newly & earlier.isNotNull(), event(here, earlier, release, "deprecated", none, new=now, message=snap["deprecation"]["message"], replacement=snap["deprecation"]["replacement"])))
-    told = seen.withColumn("found", found).select("package_id", "qualified_name", F.col("snap.kind").alias("kind"), F.explode(F.array_compact(F.array(*events))).alias("e"))
-    return told.select("package_id", "e.version", "e.previous_version", "e.change", "qualified_name", "kind", *[f"e.{c}" for c in ("changes", "snapshot_before", "snapshot_after", "message", "replacement")], "e.release.sha", "e.release.release_date")
+        kinds.append(F.when(newly & F.col("previous_version").isNotNull(), "deprecated"))
+    # the kind alone is exploded, so that nobody who does not ask for snapshots makes them
+    told = seen.withColumn("found", found).withColumn("change", F.explode(F.array_compact(F.array(*kinds))))
+    of = lambda *kinds: F.col("change").isin(*kinds)
+    later, release = F.when(of("removed"), F.col("next_version")).otherwise(F.col("version")), F.when(of("removed"), F.col("next_release")).otherwise(F.col("release"))
+    details = {
+        "changes": F.when(of("modified"), F.col("found")).otherwise(none),
+        "snapshot_before": F.when(of("modified"), _as_told(before, carried)),
+        "snapshot_after": F.when(~of("removed"), _as_told(snap, carried)),
+        "message": F.when(of("deprecated"), snap["deprecation"]["message"]),
+        "replacement": F.when(of("deprecated"), snap["deprecation"]["replacement"]),
+        "sha": release["sha"],
+        "release_date": release["release_date"],
+    }
+    earlier = F.when(of("removed"), F.col("version")).otherwise(F.col("previous_version"))
+    return told.select("package_id", later.alias("version"), earlier.alias("previous_version"), "change", "qualified_name", F.col("snap.kind").alias("kind"), *[c.alias(n) for n, c in details.items()])
 
 
 def added_symbols(history: DataFrame) -> DataFrame:
@@ -250,19 +253,19 @@ def diff(older: DataFrame, newer: DataFrame, mode: str = "build") -> DataFrame:
 def replacement_candidates(removed: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each removed name the first symbol of the newer version whose base name holds it, or is held by it.
 
-    A name that another one holds has all its parts there, so names meet by equality on one part of the shorter:
-    each is looked up by one of its parts among all parts of the others, in both directions. Different base names
-    only are compared, each stands for its first symbol, and a running least row is all that is kept.
+    Different base names only are compared, in both directions (``holding``); each stands for its first symbol, and a
+    running least row is all that is kept.
     """
     base = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
-    wanted = removed.select("package_id", "version", "qualified_name", base(F.col("qualified_name")).alias("base"))
-    newer = symbols.groupBy("package_id", "version", base(F.col("qualified_name")).alias("other")).agg(F.min_by(F.struct(F.col("ord"), F.col("qualified_name").alias("candidate")), F.struct("ord", "qualified_name")).alias("first"))
-    asked = wanted.select("package_id", "version", "base").distinct()
-    at = ["package_id", "version", "part"]
-    holds = asked.withColumn("part", N.key_part(F.col("base"))).join(newer.withColumn("part", F.explode(N.name_parts(F.col("other")))), at).filter(F.contains(F.col("other"), F.col("base")))
-    held = asked.withColumn("part", F.explode(N.name_parts(F.col("base")))).join(newer.withColumn("part", N.key_part(F.col("other"))), at).filter(F.contains(F.col("base"), F.col("other")))
-    best = holds.select("package_id", "version", "base", "first").unionByName(held.select("package_id", "version", "base", "first")).groupBy("package_id", "version", "base").agg(F.min("first").alias("first"))
-    return wanted.join(best, ["package_id", "version", "base"]).select("package_id", "version", "qualified_name", F.col("first.candidate").alias("replacement"))
+    at = ["package_id", "version"]
+    wanted = cut(removed.select(*at, "qualified_name", base(F.col("qualified_name")).alias("base")))
+    newer = symbols.groupBy(*at, base(F.col("qualified_name")).alias("other")).agg(F.min_by(F.struct(F.col("ord"), F.col("qualified_name").alias("candidate")), F.struct("ord", "qualified_name")).alias("first"))
+    newer = cut(newer.join(wanted.select(*at).distinct(), at, "left_semi"))
+    named = lambda df, c, name: df.select(*at, F.col(c).alias(name))
+    holds = holding(named(wanted, "base", "held"), named(newer, "other", "holder"), at).select(*at, F.col("held").alias("base"), F.col("holder").alias("other"))
+    held = holding(named(newer, "other", "held"), named(wanted, "base", "holder"), at).select(*at, F.col("holder").alias("base"), F.col("held").alias("other"))
+    best = holds.unionByName(held).join(newer, [*at, "other"]).groupBy(*at, "base").agg(F.min("first").alias("first"))
+    return wanted.join(best, [*at, "base"]).select(*at, "qualified_name", F.col("first.candidate").alias("replacement"))
 
 
 def version_stats(history: DataFrame, symbols: DataFrame | None = None, mode: str = "build") -> DataFrame:
@@ -317,19 +320,15 @@ def introduced_in(symbols: DataFrame, releases: DataFrame) -> DataFrame:
     return symbols.join(ranks, ["package_id", "version"]).groupBy("package_id", "qualified_name").agg(F.min_by("version", "rank").alias("since"))
 
 
-def _numbers(version: str = "version") -> Column:
-    return F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
-
-
 def modified_in(history: DataFrame) -> DataFrame:
     """Versions with a modification, old to new."""
-    changed = history.filter("change = 'modified'").groupBy("package_id", "qualified_name").agg(F.collect_set(F.struct(_numbers().alias("n"), "version")).alias("v"))
+    changed = history.filter("change = 'modified'").groupBy("package_id", "qualified_name").agg(F.collect_set(F.struct(version_key("version").alias("n"), "version")).alias("v"))
     return changed.select("package_id", "qualified_name", F.transform(F.array_sort("v"), lambda x: x["version"]).alias("versions"))
 
 
 def deprecated_since(history: DataFrame) -> DataFrame:
     """The earliest deprecation of each symbol: since, message, replacement."""
-    first = F.min_by(F.struct("version", "message", "replacement"), _numbers()).alias("first")
+    first = F.min_by(F.struct("version", "message", "replacement"), version_key("version")).alias("first")
     return history.filter("change = 'deprecated'").groupBy("package_id", "qualified_name").agg(first).select("package_id", "qualified_name", F.col("first.version").alias("since"), "first.message", "first.replacement")
 
 
@@ -337,12 +336,12 @@ def annotate_latest(latest: DataFrame, symbols: DataFrame, releases: DataFrame,
     """Symbols of the latest version with since (the oldest version if unknown), modified_in and deprecated (since,
     message, replacement). The history is grouped once."""
     keys = ["package_id", "qualified_name"]
-    oldest = releases.groupBy("package_id").agg(F.min_by("version", F.struct("major", "minor", "patch")).alias("oldest"))
+    oldest = releases.groupBy("package_id").agg(F.min_by("version", version_key("version")).alias("oldest"))
     out = latest.drop("deprecated").join(introduced_in(symbols, releases), keys, "left").join(oldest, "package_id", "left")
     out = out.withColumn("since", F.coalesce("since", "oldest")).drop("oldest")
-    when = F.struct(_numbers().alias("n"), "version")
+    when = F.struct(version_key("version").alias("n"), "version")
     modified = F.collect_set(F.when(F.col("change") == "modified", when)).alias("modified_in")  # a version each
-    entry = F.when(F.col("change") == "deprecated", F.struct(_numbers().alias("n"), F.col("version").alias("since"), "message", "replacement"))
+    entry = F.when(F.col("change") == "deprecated", F.struct(version_key("version").alias("n"), F.col("version").alias("since"), "message", "replacement"))
     told = history.filter("change IN ('modified', 'deprecated')").groupBy(*keys).agg(modified, F.min_by(entry, entry["n"]).alias("deprecated"))
     listed = F.transform(F.array_sort("modified_in"), lambda x: x["version"])
     told = told.select(*keys, F.when(F.size("modified_in") > 0, listed).alias("modified_in"), F.col("deprecated").dropFields("n").alias("deprecated"))
@@ -352,8 +351,8 @@ def annotate_latest(latest: DataFrame, symbols: DataFrame, releases: DataFrame,
 def symbol_history(history: DataFrame) -> DataFrame:
     """Per symbol the list of (version, type, release_date), new to old, and added, modified, deprecated, removed within a version."""
     order = F.array_position(F.array(*map(F.lit, ("added", "modified", "deprecated", "removed"))), F.col("change"))
-    entry = F.struct(F.transform(_numbers(), lambda x: -x).alias("n"), order.alias("o"), "version", F.col("change").alias("type"), "release_date")
-    listed = history.groupBy("package_id", "qualified_name").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    entry = F.struct(version_key("version").alias("n"), (-order).alias("o"), "version", F.col("change").alias("type"), "release_date")
+    listed = history.groupBy("package_id", "qualified_name").agg(F.sort_array(F.collect_list(entry), asc=False).alias("e"))
     return listed.select("package_id", "qualified_name", F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in ("version", "type", "release_date")])).alias("entries"))
 
 
@@ -361,11 +360,14 @@ def symbol_at_version(history: DataFrame, wanted: DataFrame) -> DataFrame:
     """The snapshot of each wanted (package_id, qualified_name, version), as the history has it: that of the last
     addition or modification up to the version; no row where the symbol is gone by then."""
     keys = ["package_id", "qualified_name"]
-    told = history.filter("change IN ('added', 'modified', 'removed')").select(*keys, _numbers().alias("n"), F.struct("change", F.col("version").alias("told_in"), "snapshot_after").alias("last"))
-    asked = wanted.select(*keys, "version").distinct().withColumn("at", _numbers())
-    met = asked.join(told, keys).filter(F.col("n") <= F.col("at")).groupBy(*keys, "version").agg(F.max_by("last", "n").alias("last"))
+    at = version_key("version", ties=False).alias("at")
+    told = history.filter("change IN ('added', 'modified', 'removed')").select(*keys, "version", at, F.lit(0).alias("asks"), F.struct("change", F.col("version").alias("told_in"), "snapshot_after").alias("last"))
+    asked = wanted.select(*keys, "version").distinct().select(*keys, "version", at, F.lit(1).alias("asks"), F.lit(None).cast(told.schema["last"].dataType).alias("last"))
+    # one sort of both; equal versions are told before they are asked for
+    line = Window.partitionBy(*keys).orderBy("at", "asks", "version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = told.unionByName(asked).withColumn("last", F.last("last", ignorenulls=True).over(line)).filter("asks = 1")
     return met.filter("last.change <> 'removed'").select(*keys, "version", "last.told_in", F.col("last.snapshot_after").alias("snapshot"))
 
 
 def history_totals(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("package_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("modified").alias("modified"), F.max_by("version", _numbers()).alias("latest"))
+    return stats.groupBy("package_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("modified").alias("modified"), F.max_by("version", version_key("version")).alias("latest"))

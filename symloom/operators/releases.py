@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symloom.functions.versions import version_key
 from symloom.plans.lineage import cut
 
 #: A semantic version: three numbers without leading zeros, then an optional prerelease and build part.
@@ -13,20 +14,23 @@ SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Z
 NUMBERS = ("major", "minor", "patch")
 
 
-def version_from_tag(tag: Column, pattern: Column) -> Column:
-    """The version of a tag under ``pkg@*`` (separators @, ==, - in this order), ``pkg==*``, ``pkg-v*``, ``v*`` or ``*``."""
+def pattern_prefixes(pattern: Column) -> Column:
+    """What stands before the version under ``pkg@*`` (separators @, ==, -), ``pkg==*``, ``pkg-v*`` and ``v*``; ``*`` itself."""
+    scoped, exact = F.regexp_replace(pattern, r"@\*$", ""), F.regexp_replace(pattern, r"\*$", "")
+    return (
+        F.when(pattern.endswith("@*"), F.array(*[F.concat(scoped, F.lit(s)) for s in ("@", "==", "-")]))
+        .when(pattern.endswith("==*") | pattern.endswith("-v*") | (pattern == "v*"), F.array(exact))
+        .when(pattern == "*", F.array(F.lit("*")))
+    )
 
-    def after(prefix: Column) -> Column:
-        return F.when(F.startswith(tag, prefix), F.substr(tag, F.length(prefix) + 1))
 
-    scoped = F.regexp_replace(pattern, r"@\*$", "")
-    exact = F.regexp_replace(pattern, r"\*$", "")
-    version = (
-        F.when(pattern.endswith("@*"), F.coalesce(*[after(F.concat(scoped, F.lit(s))) for s in ("@", "==", "-")]))
-        .when(pattern.endswith("==*") | pattern.endswith("-v*") | (pattern == "v*"), after(exact))
-        .when(pattern == "*", F.regexp_replace(tag, r"^[v=\s]+", ""))
-    )
-    return F.nullif(F.regexp_extract(version, SEMVER, 0), F.lit(""))
+def tag_readings(tag: Column) -> Column:
+    """(prefix, version): every way to read a tag as a prefix and a version, and as a bare version under ``*``."""
+    bare = F.regexp_replace(tag, r"^[v=\s]+", "")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(tag), F.lit(1))), lambda i: tag.substr(i, F.lit(1)).isin("@", "=", "-", "v"))  # as prefixes do
+    cuts = F.transform(ends, lambda i: F.struct(tag.substr(F.lit(1), i).alias("prefix"), tag.substr(i + 1, F.length(tag)).alias("version")))
+    ways = F.concat(F.array(F.struct(F.lit("*").alias("prefix"), bare.alias("version"))), cuts)
+    return F.filter(ways, lambda x: x["version"].rlike(SEMVER))
 
 
 def with_numbers(df: DataFrame) -> DataFrame:
@@ -36,11 +40,14 @@ def with_numbers(df: DataFrame) -> DataFrame:
 
 
 def parse_release_tags(tags: DataFrame, packages: DataFrame) -> DataFrame:
-    """(package_id, version, numbers, tag, sha): every tag under every pattern of its repository that it fits."""
-    met = tags.join(packages.select("repo", "package_id", "tag_pattern"), "repo")
-    # exploding the one value computes it once and drops nulls
-    version = F.explode(F.array_compact(F.array(version_from_tag(F.col("tag"), F.col("tag_pattern")))))
-    return with_numbers(met.select("package_id", version.alias("version"), "tag", "sha"))
+    """(package_id, version, numbers, tag, sha): every tag under every pattern of its repository that it fits.
+
+    The literal beginnings of the patterns are a dictionary; a tag meets the entries that it begins with, by equality,
+    and never those of the repository's other packages.
+    """
+    prefixes = packages.select("repo", "package_id", F.explode(pattern_prefixes(F.col("tag_pattern"))).alias("prefix"))
+    read = tags.select("repo", "tag", "sha", F.inline(tag_readings(F.col("tag"))))
+    return with_numbers(read.join(prefixes, ["repo", "prefix"]).select("package_id", "version", "tag", "sha"))
 
 
 def drop_prereleases(releases: DataFrame) -> DataFrame:
@@ -117,10 +124,10 @@ def resolve_tag_commits(tags: DataFrame, tag_objects: DataFrame, commits: DataFr
 
 def release_pairs(releases: DataFrame) -> DataFrame:
     """Every version with the one before it (null for the first)."""
-    window = Window.partitionBy("package_id").orderBy(*NUMBERS)
+    window = Window.partitionBy("package_id").orderBy(version_key("version"))
     return releases.select("package_id", "version", F.lag("version").over(window).alias("previous_version"))
 
 
 def newest_in_series(history: DataFrame, prefix: str) -> DataFrame:
     series = history.filter(F.col("version").startswith(prefix))
-    return series.groupBy("package_id").agg(F.max_by("version", F.struct(*NUMBERS)).alias("version"))
+    return series.groupBy("package_id").agg(F.max_by("version", version_key("version")).alias("version"))

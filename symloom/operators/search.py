@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.functions import names as N
+from symloom.operators.substrings import holding
 
 # Weights of the fields, and the share of a term's letters that may differ.
 BOOSTS = {"title": 3.0, "keywords": 2.0, "excerpt": 1.0}
@@ -106,12 +107,13 @@ def search_with_conversion(names: DataFrame, index: DataFrame, records: DataFram
 def substring_search(queries: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
     """queries (query_id, query) with symbols whose name or qualified name holds them: exact names, then beginnings, then short names.
 
-    Each query is looked up by one of its parts among all parts of the names, and then compared whole. An empty
-    query is held by every name.
+    Distinct queries meet distinct names by their rarest part (``holding``); rows are joined to what they hold. An
+    empty query is held by every name.
     """
-    asked = queries.select("query_id", F.lower("query").alias("q")).distinct().withColumn("part", N.key_part(F.col("q")))
+    asked = queries.select("query_id", F.lower("query").alias("held")).distinct()
     low, full = F.lower("name"), F.lower("qualified_name")
-    parts = symbols.select("package_id", "name", "qualified_name", F.explode(N.name_parts(F.concat_ws("\n", low, full))).alias("part"))
-    hits = parts.join(asked, "part").filter(F.contains(low, F.col("q")) | F.contains(full, F.col("q")))
-    order = F.when(F.lower("name") == F.col("q"), 0).when(F.startswith(F.lower("name"), F.col("q")), 1).otherwise(2)
-    return top(hits, max(1, min(limit, 50)), order, F.length("name"), "name", "package_id", "qualified_name").drop("q", "part")
+    named = symbols.select("package_id", "name", "qualified_name", F.concat_ws("\n", low, full).alias("holder"))
+    pairs = holding(asked, named, [])
+    hits = asked.join(pairs, "held").join(named, "holder").filter(F.contains(low, F.col("held")) | F.contains(full, F.col("held")))
+    order = F.when(F.lower("name") == F.col("held"), 0).when(F.startswith(F.lower("name"), F.col("held")), 1).otherwise(2)
+    return top(hits, max(1, min(limit, 50)), order, F.length("name"), "name", "package_id", "qualified_name").drop("held", "holder")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import names as N
 from symloom.operators.artifacts import first_row
+from symloom.operators.substrings import holding
 from symloom.plans.lineage import cut
 
 # Folders named by symbol kind that may begin a path, and names that are no links in type annotations.
@@ -73,33 +72,34 @@ def simple_base(base: Column) -> Column:
 def resolve_bases(bases: DataFrame, symbols: DataFrame, candidates: DataFrame) -> DataFrame:
     """bases (package_id, class_name, base) with the class or interface meant: of the own package, else of a candidate's.
 
-    Names and last segments of qualified names are compared; candidates (package_id, rank) come in their order.
+    Names and last segments of qualified names are compared; candidates (package_id, rank) come in their order. The
+    best type of each name, in each package and over all candidates, is found before any class meets it.
     """
     wanted = bases.withColumn("simple", simple_base(F.col("base")))
     types = symbols.filter(F.col("kind").isin("class", "interface")).select("package_id", "qualified_name", "ord", F.explode(F.array_distinct(F.array("name", simple_base(F.col("qualified_name"))))).alias("simple"))
-    own = wanted.join(types, ["package_id", "simple"]).select("package_id", "class_name", "base", "qualified_name", F.col("package_id").alias("base_package"), F.lit(-1).alias("rank"), "ord")
-    others = types.join(candidates.select("package_id", "rank"), "package_id").withColumnRenamed("package_id", "base_package")
-    cross = wanted.join(others, "simple").select("package_id", "class_name", "base", "qualified_name", "base_package", "rank", "ord")
-    best = first_row(own.unionByName(cross), ["package_id", "class_name", "base"], "rank", "ord", "qualified_name")
-    return bases.join(best.select("package_id", "class_name", "base", "base_package", F.col("qualified_name").alias("base_name")), ["package_id", "class_name", "base"], "left")
+    first = lambda *order: F.min(F.struct(*order, "qualified_name", "package_id"))
+    own = types.groupBy("package_id", "simple").agg(first("ord").alias("own"))
+    other = types.join(candidates.select("package_id", "rank"), "package_id").groupBy("simple").agg(first("rank", "ord").alias("other"))
+    met = wanted.join(own, ["package_id", "simple"], "left").join(other, "simple", "left")
+    pick = lambda c: F.coalesce(F.col(f"own.{c}"), F.col(f"other.{c}"))
+    return met.select(*bases.columns, pick("package_id").alias("base_package"), pick("qualified_name").alias("base_name"))
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """(child, base, depth) of all direct and indirect bases, each once at its least depth; cycles end by themselves.
 
-    One level a round: the frontier meets the edges, pairs that are known are dropped, the lineage is cut.
+    Paths double: each round joins the pairs known so far, all of depth up to n, with those of depth n exactly, and
+    keeps the least depth of each pair, so that chains of n levels take about log n rounds; null ends are left out.
     """
-    direct = cut(edges.select("child", "base").distinct())
-    seen = frontier = cut(direct.select("child", "base", F.lit(1).alias("depth")))
-    for depth in count(2):
-        step = frontier.select("child", F.col("base").alias("via")).join(direct.select(F.col("child").alias("via"), "base"), "via").select("child", "base").distinct()
-        frontier = cut(step.join(seen, ["child", "base"], "left_anti").filter(F.col("child") != F.col("base")).withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % 20 == 0:
-            seen = cut(seen)  # else the plan grows with the depth
-    return seen
+    known = edges.select("child", "base").filter(F.col("child").isNotNull() & F.col("base").isNotNull() & (F.col("child") != F.col("base"))).distinct().withColumn("depth", F.lit(1))
+    known, reach = cut(known), 1
+    while True:
+        far = known.filter(F.col("depth") == reach).select("child", F.col("base").alias("via"), F.col("depth").alias("first"))
+        if far.isEmpty():
+            return known
+        near = known.select(F.col("child").alias("via"), "base", F.col("depth").alias("rest"))
+        longer = far.join(near, "via").filter(F.col("child") != F.col("base")).select("child", "base", (F.col("first") + F.col("rest")).alias("depth"))
+        known, reach = cut(known.unionByName(longer).groupBy("child", "base").agg(F.min("depth").alias("depth"))), 2 * reach
 
 
 def inherited_members(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -194,36 +194,73 @@ def equivalent_package(requests: DataFrame, mappings: DataFrame) -> DataFrame:
     return found.withColumn("equivalent", F.when(F.col("source_language") == F.col("target_language"), F.col("package")).otherwise(F.col("equivalent")))
 
 
-def _with_rarest(rows: DataFrame, counts: DataFrame, owner: list[str], name: str) -> DataFrame:
-    """rows with ``rarest``: of the words of their name the one that the fewest targets have."""
-    words = rows.select(*owner, F.explode(N.word_parts(F.col(name))).alias("key")).join(counts, ["target_language", "key"], "left")
-    rarest = words.groupBy(*owner).agg(F.min_by("key", F.struct(F.coalesce("uses", F.lit(0)), "key")).alias("rarest"))
-    return rows.join(rarest, owner, "left")
+def _sharing_words(asked: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    """(target_language, name, title): names and titles of which at least the share ``least`` of search terms agree.
+
+    In an order of all terms by their number of titles, two such names share one of the first n - ceil(least * n) + 1
+    of either; so these prefixes meet, and common terms only where a name has few others.
+    """
+    terms = lambda df, c: df.select("target_language", c, F.explode(N.search_terms(F.col(c))).alias("term"))
+    uses = terms(titles, "title").groupBy("target_language", "term").agg(F.count("*").alias("uses"))
+
+    def prefix(df: DataFrame, c: str) -> DataFrame:
+        ranked = terms(df, c).join(uses, ["target_language", "term"], "left").groupBy("target_language", c).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "term"))).alias("terms"))  # the terms of one name
+        n = F.size("terms")
+        kept = F.slice("terms", F.lit(1), F.greatest(F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int")))
+        return ranked.select("target_language", c, F.explode(F.transform(kept, lambda t: t["term"])).alias("term"))
+
+    return prefix(asked, "name").join(prefix(titles, "title"), ["target_language", "term"]).select("target_language", "name", "title").distinct()
 
 
 def resolve_cross_language(requests: DataFrame, targets: DataFrame, mappings: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Best equivalent of each request (request_id, path, name, package, source_language, target_language).
 
-    In order: a mapped path (1.0), an alias (0.98), the best scored target of the threshold or more, in the
-    equivalent package if it has one, the equivalent package's page, the language's page. Targets (language, package,
-    title, url) are met by the rarest word or bare name of one that the other has too: names of which one holds the
-    other share it, and common words bring nobody together.
+    In order: a mapped path (1.0), an alias (0.98), the best scored target (language, package, title, url) of the
+    threshold or more, in the equivalent package if it has one, the equivalent package's page, the language's page.
+
+    Every target whose score reaches the threshold (above 0) counts, as if all pairs were scored: bare names of which
+    one holds the other, even within a word, meet in both directions by the rarest part of the shorter (``holding``);
+    equal names are among them, and below a threshold of 0.5 names that share words meet by their rarest terms.
+    Equal questions are answered once, and of the targets of one name, in all packages and in the equivalent one,
+    only the best reaches the join.
     """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
     open_ = ~(F.col("source_language").isin("java", "go") | F.col("target_language").isin("java", "go"))
     named = equivalent_package(symbol_alias(explicit_mapping(requests, mappings), mappings), mappings)
-    keys = lambda n: F.explode(F.array_distinct(F.concat(F.array(N.normalized_name(n)), N.search_terms(n)))).alias("key")
-    there = targets.select(F.col("language").alias("target_language"), F.col("package").alias("target_package"), "title", "url")
-    counts = there.select("target_language", F.explode(N.word_parts(F.col("title"))).alias("key")).groupBy("target_language", "key").agg(F.count(F.lit(1)).alias("uses"))
-    offered = _with_rarest(there, counts, ["target_language", "url", "title"], "title").select("*", keys(F.col("title"))).withColumnRenamed("rarest", "rare_there")
-    asked = named.filter(open_ & F.col("mapped").isNull()).select("request_id", "target_language", "name", "equivalent")
-    asked = _with_rarest(asked, counts, ["request_id", "target_language", "name"], "name").select("*", keys(F.col("name"))).withColumnRenamed("rarest", "rare_here")
-    own = lambda df, rare, name: df.filter(F.col("key").isin(F.col(rare), N.normalized_name(F.col(name))))
-    met = own(asked, "rare_here", "name").join(offered, ["target_language", "key"]).unionByName(asked.join(own(offered, "rare_there", "title"), ["target_language", "key"]))
-    met = met.select("request_id", "name", "equivalent", "target_package", "title", "url").distinct().withColumn("score", N.match_score(F.col("name"), F.col("title")))
-    good = met.filter(F.col("score") >= threshold).withColumn("preferred", F.coalesce(F.col("target_package") == F.col("equivalent"), F.lit(False)))
-    best = good.groupBy("request_id").agg(F.max_by(F.struct("url", "title", "score", "preferred"), F.struct("preferred", "score", "url")).alias("m"))
+    there = targets.select(F.col("language").alias("target_language"), F.col("package").alias("equivalent"), "title", "url", N.normalized_name(F.col("title")).alias("other"))
+    there = cut(there.groupBy("target_language", "equivalent", "title", "other").agg(F.max("url").alias("url")))
+    asked = cut(named.filter(open_ & F.col("mapped").isNull()).select("target_language", "name", "equivalent").distinct().withColumn("bare", N.normalized_name(F.col("name"))))
+
+    best_of = F.max(F.struct("url", "title")).alias("t")
+    anywhere = lambda key: there.groupBy("target_language", key).agg(best_of)
+    within = lambda key: there.groupBy("target_language", key, "equivalent").agg(best_of)
+
+    short, long = F.least(F.length("bare"), F.length("other")), F.greatest(F.length("bare"), F.length("other"), F.lit(1))
+    held = F.when(F.col("bare") == F.col("other"), 0.95).otherwise(0.5 + short / long * 0.2)
+    names, titles = asked.select("target_language", F.col("bare").alias("held")), there.select("target_language", F.col("other").alias("holder"))
+    share = max(0.0, (threshold - 0.5) / 0.2 - 1e-9)
+    pairs = holding(names, titles, ["target_language"], share).select("target_language", F.col("held").alias("bare"), F.col("holder").alias("other"))
+    back = holding(titles.withColumnRenamed("holder", "held"), names.withColumnRenamed("held", "holder"), ["target_language"], share).select("target_language", F.col("holder").alias("bare"), F.col("held").alias("other"))
+    pairs = pairs.unionByName(back).distinct().withColumn("score", held).filter(F.col("score") >= threshold)
+    pairs = cut(pairs)
+    met = asked.join(pairs, ["target_language", "bare"])
+    exact = asked.withColumn("title_is", F.col("name")).withColumn("score", F.lit(1.0))
+    looked_up = [(met, "other", anywhere("other"), within("other")), (exact, "title_is", anywhere(F.col("title").alias("title_is")), within(F.col("title").alias("title_is")))]
+    if threshold <= 0.5:
+        words = _sharing_words(asked, there, 2 * threshold).withColumn("score", N.match_score(F.col("name"), F.col("title"))).filter(F.col("score") >= threshold)
+        words = asked.join(words, ["target_language", "name"]).withColumnRenamed("title", "title_is")
+        looked_up.append((words, "title_is", *looked_up[1][2:]))
+    found = []
+    for rows, key, any_, own in looked_up:
+        rows = rows.select("target_language", "name", "equivalent", key, "score")
+        found += [rows.join(any_, ["target_language", key]).withColumn("preferred", F.lit(False)), rows.join(own, ["target_language", key, "equivalent"]).withColumn("preferred", F.lit(True))]
+    good = reduce(DataFrame.unionByName, [f.select("target_language", "name", "equivalent", "t.url", "t.title", "score", "preferred") for f in found])
+    best = good.groupBy("target_language", "name", "equivalent").agg(F.max_by(F.struct("url", "title", "score", "preferred"), F.struct("preferred", "score", "url")).alias("m"))
+    same = (F.col("name") == F.col("name_")) & (F.col("target_language") == F.col("target_language_")) & F.col("equivalent").eqNullSafe(F.col("equivalent_"))
+    best = best.select(*[F.col(c).alias(c + "_") for c in ("target_language", "name", "equivalent")], "m")
     titles = targets.groupBy(F.col("language").alias("target_language"), F.col("title").alias("alias")).agg(F.min("url").alias("alias_url"))
-    out = named.join(best, "request_id", "left").join(titles, ["target_language", "alias"], "left")
+    out = named.join(best, same & F.col("mapped").isNull(), "left").join(titles, ["target_language", "alias"], "left")
     home = F.concat(F.lit("/"), F.col("target_language"))
     match = F.when((F.col("m.score") == 1.0), "exact").when(F.col("m.preferred") | (F.col("m.score") >= 0.9), "normalized").otherwise("fuzzy")
     pick = lambda kind, url, score: F.struct(F.lit(kind).alias("match_type") if isinstance(kind, str) else kind.alias("match_type"), url.alias("url"), (F.lit(score) if isinstance(score, float) else score).alias("score"))

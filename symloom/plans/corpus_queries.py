@@ -24,8 +24,7 @@ query("sections", f"{HEADS} SELECT * FROM head")(lambda s, d: C.sections(docs(s,
 query("page_metadata", f"""{DOCS} SELECT path, CASE WHEN fm > 0 THEN 'Page ' || CAST(doc_id AS VARCHAR) ELSE 'Guide ' || CAST(doc_id AS VARCHAR) || ' to A/B testing!' END AS title, CASE WHEN fm > 0 THEN 'About ' || lang END AS description,
   '/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.mdx?$', ''), '/index$', ''), '^oss/acme', 'oss/python/acme') AS url FROM doc""")(lambda s, d: C.page_metadata(docs(s, d), "python", ("acme",)))
 SECTION = "CASE WHEN language = 'python' AND fm = 0 THEN 'using-' || source || '-now' ELSE 'more' END"
-for name in ("containing_section", "containing_section_all"):
-    query(name, f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block")(lambda s, d: C.containing_section(C.code_blocks(docs(s, d)), C.sections(docs(s, d))).select("path", "start_line", "language", "section"))
+query("containing_section", f"{BLOCKS} SELECT path, start_line, language, {SECTION} AS section FROM block")(lambda s, d: C.containing_section(C.code_blocks(docs(s, d)), C.sections(docs(s, d))).select("path", "start_line", "language", "section"))
 python = lambda s, d: C.python_imports(C.code_blocks(docs(s, d)).filter("language = 'python'"))
 script = lambda s, d: C.javascript_imports(C.code_blocks(docs(s, d)).filter("language = 'ts'"))
 query("python_imports", f"{DOCS} SELECT path, 'acme_' || source || '.core' AS package, {I50} || ',Tool' AS symbols FROM doc")(lambda s, d: python(s, d).select("path", "package", F.array_join("symbols", ",").alias("symbols")))
@@ -44,19 +43,16 @@ query("known_package_imports", f"{DOCS} SELECT path, 'acme_' || source || '.core
 MATCH = f"""{BLOCKS}, m AS (SELECT {I50} AS symbol, 'acme_' || source || '.core' AS package, path, {SECTION} AS section, 'python' AS language FROM block WHERE language = 'python' AND {EVEN}
   UNION ALL SELECT 'Tool', 'acme_' || source || '.core', path, {SECTION}, 'python' FROM block WHERE language = 'python' AND {EVEN}
   UNION ALL SELECT unnest([{I40}, 'type']), '@acme/' || source || '/sub', path, 'more', 'javascript' FROM block WHERE language = 'ts' AND {EVEN} UNION ALL SELECT 'Def', '@acme/' || source, path, 'more', 'javascript' FROM block WHERE language = 'ts' AND {EVEN})"""
-for name in ("scan_imports", "scan_imports_all"):
-    query(name, f"{MATCH} SELECT * FROM m")(lambda s, d: C.scan_imports(docs(s, d), known(s, d)).drop("start_line"))
+query("scan_imports", f"{MATCH} SELECT * FROM m")(lambda s, d: C.scan_imports(docs(s, d), known(s, d)).drop("start_line"))
 RELATED = f"""{MATCH}, page AS (SELECT path, CASE WHEN fm > 0 THEN 'Page ' || CAST(doc_id AS VARCHAR) ELSE 'Guide ' || CAST(doc_id AS VARCHAR) || ' to A/B testing!' END AS title FROM doc),
   once AS (SELECT DISTINCT symbol, m.path, language, title, section FROM m JOIN page USING (path)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY title, path, language) AS rank, count(*) OVER (PARTITION BY symbol) AS total FROM once)"""
 related = lambda s, d: C.related_docs(C.scan_imports(docs(s, d), known(s, d)), C.page_metadata(docs(s, d)))
 wanted = lambda s, d: bound(s, d, "documents").select(F.concat(F.lit("Item"), c("doc_id") % 60).alias("symbol")).distinct()
-for name in ("related_docs", "related_docs_all"):
-    query(name, f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20")(related)
-for name in ("related_docs_for", "related_docs_for_all"):
-    query(name, f"""{RELATED}, w AS (SELECT DISTINCT 'Item' || CAST(doc_id % 60 AS VARCHAR) AS symbol FROM documents) SELECT w.symbol, coalesce(string_agg(path, ',' ORDER BY rank), '') AS paths, coalesce(max(total), 0) AS total FROM w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (symbol) GROUP BY w.symbol""")(
-        lambda s, d: C.related_docs_for(wanted(s, d), related(s, d)).withColumn("paths", F.array_join("paths", ","))
-    )
+query("related_docs", f"{RELATED} SELECT symbol, rank, title, path, language, section, total FROM ranked WHERE rank <= 20")(related)
+query("related_docs_for", f"""{RELATED}, w AS (SELECT DISTINCT 'Item' || CAST(doc_id % 60 AS VARCHAR) AS symbol FROM documents) SELECT w.symbol, coalesce(string_agg(path, ',' ORDER BY rank), '') AS paths, coalesce(max(total), 0) AS total FROM w LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (symbol) GROUP BY w.symbol""")(
+    lambda s, d: C.related_docs_for(wanted(s, d), related(s, d)).withColumn("paths", F.array_join("paths", ","))
+)
 query("page_links", f"""{DOCS} SELECT path, unnest(['the item', 'site', 'pic', 'readme']) AS text, unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'img/a.png', 'docs/readme.md']) AS target, unnest([false, false, true, false]) AS is_image,
   unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'https://raw.org/img/a.png', 'https://github.com/acme/repo/blob/main/libs/docs/readme.md']) AS url FROM doc""")(lambda s, d: C.page_links(docs(s, d), "acme/repo", "main", "https://raw.org", "libs"))
 
@@ -69,7 +65,6 @@ def marked(s, d):
     return bound(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", sub.alias("sub"), note.alias("note"), F.concat(F.lit("    def f():\n        "), indented(8), F.lit("\n      x")).alias("code"), F.concat(F.lit("???+ example \"E\"\n```python\n"), "text", F.lit("\n```\nrest")).alias("example"))
 
 
-# the names with _whole are kept from the time when the others read a part of each text
 BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 LINES = "string_split(text, chr(10))"
 LINED = {
@@ -94,4 +89,3 @@ LINED = {
 }
 for name, (sql, function) in LINED.items():
     query(name, sql)(function)
-    query(f"{name}_whole", sql)(function)

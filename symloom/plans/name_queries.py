@@ -83,8 +83,6 @@ scalar("package_of_qualified_name", "flat", FLAT, lambda: N.package_of_qualified
 scalar("js_to_python_package", "flat", FLAT, lambda: N.js_to_python_package(F.concat(F.lit("@acme/"), c("package"), F.lit("-x"))), "'acme_' || package || '_x'")
 scalar("slug_heading", "documents", "CAST(doc_id AS STRING)", lambda: N.slug_heading(c("text")),
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')")
-scalar("slug_heading_whole", "documents", "CAST(doc_id AS STRING)", lambda: N.slug_heading(c("text")),
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')")
 scalar("first_sentence", "flat", FLAT, lambda: N.first_sentence(c("summary")), "regexp_extract(summary, '^(.*?[.!?])\\s', 1)")
 scalar("first_sentence_listing", "documents", "CAST(doc_id AS STRING)", lambda: N.first_sentence(c("text"), "listing"),
     r"""(SELECT CASE WHEN length(w) > 150 THEN substr(w, 1, 147) || '...' ELSE w END FROM (SELECT regexp_replace(regexp_replace(regexp_replace(text, '\.\s[\s\S]*$', '.'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS w))""")

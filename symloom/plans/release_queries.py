@@ -76,3 +76,7 @@ query("resolve_tag_commits", with_tables("tags") + """ SELECT repo, tag, CASE WH
 )
 query("release_pairs", with_tables("releases") + " SELECT package_id, version, lag(version) OVER (PARTITION BY package_id ORDER BY major, minor, patch) AS previous_version FROM releases")(lambda s, d: R.release_pairs(bound(s, d, "releases")))
 query("newest_in_series", f"{PARSED} SELECT package_id, arg_max(version, major * 1000000 + minor * 1000 + patch) AS version FROM final WHERE starts_with(version, '3.1') GROUP BY package_id")(lambda s, d: R.newest_in_series(final(s, d), "3.1"))
+MANY = """SELECT DISTINCT 'pkg' || CAST(o_custkey % 20 AS STRING) AS package_id, CAST(o_custkey % 3 AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(day(o_orderdate) % 3 AS STRING)
+    || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '-rc.2' WHEN 2 THEN '-rc.10' WHEN 3 THEN '-alpha' ELSE '+b1' END AS version FROM {orders}"""
+query("release_pairs_prerelease", f"""WITH r AS ({MANY.format(orders="orders")}), n AS (SELECT *, string_split(regexp_replace(version, '[-+].*', ''), '.')::INT[] AS n, CASE WHEN contains(version, '-a') THEN 0 WHEN contains(version, '-rc.2') THEN 1 WHEN contains(version, '-rc') THEN 2 ELSE 3 END AS stage FROM r)
+  SELECT package_id, version, lag(version) OVER (PARTITION BY package_id ORDER BY n, stage, version) AS previous_version FROM n""")(lambda s, d: R.release_pairs(s.sql(MANY, orders=bound(s, d, "orders"))))

@@ -68,8 +68,7 @@ def _docs(s, d):
     return read.select(F.regexp_extract("path", r"/part=(\d+)/[^/]+\.txt$", 1).cast("long").alias("part"), F.md5("content").alias("content"))
 
 
-for name in ("read_docs", "read_docs_whole"):
-    query(name, with_tables("doc_files") + " SELECT doc_id % 8 AS part, md5(content || chr(10)) AS content FROM doc_files")(_docs)
+query("read_docs", with_tables("doc_files") + " SELECT doc_id % 8 AS part, md5(content || chr(10)) AS content FROM doc_files")(_docs)
 
 
 @query("write_symbol_shards", with_tables("flat") + " SELECT package_id, version, qualified_name, substr(md5(qualified_name), 1, 1) AS shard FROM flat")

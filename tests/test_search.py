@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from symloom.functions import names as N
 from symloom.operators import history as H
 from symloom.operators import search as S
+from symloom.operators import xref as X
 
 
 def test_slips_lose_nothing(spark):
@@ -59,4 +60,40 @@ def test_replacements_against_all_pairs(spark):
 
 def test_parts_hold_the_key_of_what_a_name_holds(spark):
     df = spark.createDataFrame([("loader", "dataloader"), ("ab", "cab"), ("", "x"), ("abc", "abc")], "short string, long string")
-    assert all(x[0] for x in df.select(F.array_contains(N.name_parts(F.col("long")), N.key_part(F.col("short")))).collect())
+    assert all(x[0] for x in df.select(F.forall(N.own_parts(F.col("short")), lambda p: F.array_contains(N.name_parts(F.col("long")), p))).collect())
+
+
+def test_cross_language_against_all_pairs(spark):
+    """The best target is that of all pairs scored, also where one name holds the other inside a word."""
+    r = random.Random(2)
+    made = lambda: "".join(r.choice(["chat", "Open", "AI", "load", "er", "_", "pdf", "Text", "X", "item", "Item"]) for _ in range(r.randint(1, 4)))
+    names = sorted({made() for _ in range(120)} | {"ChatOpenAI", "loader", "ab", "a", ""})
+    titles = sorted({(made(), r.choice("pq")) for _ in range(120)} | {("openai", "p"), ("pdfloader", "p"), ("TextLoaderX", "p"), ("a", "q"), ("", "q")})
+    asks = [(i, n, n, r.choice(["home", "away", None]), "python", "javascript") for i, n in enumerate(names)]
+    requests = spark.createDataFrame(asks, "request_id long, path string, name string, package string, source_language string, target_language string")
+    targets = spark.createDataFrame([("javascript", p, t, f"/{p}/{k}") for k, (t, p) in enumerate(titles)], "language string, package string, title string, url string")
+    mappings = spark.createDataFrame([("python", "javascript", "package", "home", "q")], "source_language string, target_language string, kind string, source string, target string")
+    pairs = requests.join(targets, F.col("target_language") == F.col("language")).withColumn("score", N.match_score(F.col("name"), F.col("title")))
+    every = pairs.select("request_id", requests["package"].alias("asker"), targets["package"].alias("owner"), "title", "url", "score").collect()
+    for threshold in (0.6, 0.3):
+        want = {}
+        for x in every:
+            if x["score"] >= threshold:
+                key = (x["asker"] == "home" and x["owner"] == "q", x["score"], x["url"])
+                want[x["request_id"]] = max(want.get(x["request_id"], key), key)
+        got = X.resolve_cross_language(requests, targets, mappings, threshold).collect()
+        found = {x["request_id"]: (x["url"], x["score"]) for x in got if x["match_type"] in ("exact", "normalized", "fuzzy")}
+        assert len(got) == len(names) and found == {k: (v[2], v[1]) for k, v in want.items()}
+    probe = spark.createDataFrame([(1, "x", "ChatOpenAI", None, "python", "javascript"), (2, "y", "loader", None, "python", "javascript")], requests.schema)
+    few = targets.filter("title IN ('openai', 'pdfloader', 'TextLoaderX')")
+    assert {x["request_id"]: round(x["score"], 3) for x in X.resolve_cross_language(probe, few, mappings).collect()} == {1: 0.62, 2: 0.633}
+
+
+def test_common_parts_bring_nobody_together(spark):
+    """Names that share a common part meet by their rare ones: postings of the key are as few as its holders."""
+    from symloom.operators.substrings import holding
+
+    held = spark.createDataFrame([("g", f"handler{i}") for i in range(300)] + [("g", None), (None, "x")], "k string, held string")
+    holders = spark.createDataFrame([("g", f"myhandler{i}x") for i in range(300)] + [("h", "handler1")], "k string, holder string")
+    pairs = {(r["held"], r["holder"]) for r in holding(held, holders, ["k"]).collect()}
+    assert pairs == {(f"handler{i}", f"myhandler{j}x") for i in range(300) for j in range(300) if f"handler{i}" in f"myhandler{j}x"}

@@ -3,7 +3,7 @@
 import pytest
 
 from symloom.operators import history as H
-from symloom.streaming.history import read_history, stream_history
+from symloom.streaming.history import compact, of_versions, read_history, stream_history
 from tests.test_history import SCHEMA, events, releases, symbol
 
 ROWS = {
@@ -37,6 +37,33 @@ def test_arrivals_end_in_the_full_history(spark, tmp_path, arrivals):
     assert events(read_history(spark, f"{tmp_path}/out")) == events(full)
 
 
+def test_compaction_and_unreadable_versions(spark, tmp_path):
+    """Late, repeated and odd versions, compacted after every arrival, end in the history of the whole table."""
+    names = ["1.0.0-rc.1", "1.0.0", "1.0.0+b1", "1.1", "1.0.0-rc.10", "unknown", "1", "1.10.0"]
+    made = {v: [symbol(v, "a", signature=str(k // 2)), symbol(v, "x%d" % k)] for k, v in enumerate(names)}
+    table = spark.createDataFrame([r for rows in made.values() for r in rows], SCHEMA)
+    full = H.release_deltas(table, table.select("package_id", "version").distinct())
+    for k, some in enumerate([names[3:5], names[:1], names[5:7], names[1:3], names[7:] + names[:1]]):
+        spark.createDataFrame([r for v in some for r in made[v]], SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        stream_history(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", table.schema)
+        if k < 4:
+            assert compact(spark, f"{tmp_path}/out") == compact(spark, f"{tmp_path}/out") == k
+    assert events(read_history(spark, f"{tmp_path}/out")) == events(full)
+    assert [r["version"] for r in spark.read.parquet(f"{tmp_path}/out/told/batch=4").orderBy("version").collect()] == ["1.0.0-rc.1", "1.0.0-rc.10", "1.10.0", "unknown"]
+
+
+def test_a_batch_opens_its_own_versions_only(spark, tmp_path):
+    """The folders of a few versions are chosen before anything is read."""
+    versions = [f"1.{k}.0" for k in range(12)]
+    table = spark.createDataFrame([symbol(v, "a") for v in versions], SCHEMA)
+    table.write.partitionBy("package_id", "version").parquet(f"{tmp_path}/snapshots")
+    kept = spark.read.schema(table.schema).parquet(f"{tmp_path}/snapshots")
+    few = of_versions(kept, table.filter("version IN ('1.3.0', '1.4.0')").select("package_id", "version"))
+    assert few.count() == 2
+    plan = few._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "1.3.0" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_incremental_with_quiet_and_late_releases(spark):
     table = spark.createDataFrame([r for rows in ROWS.values() for r in rows], SCHEMA)
     rel = releases(spark, *ROWS)
