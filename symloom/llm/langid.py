@@ -72,18 +72,21 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 160, longest:
     """Learn from text and non-null lang of rows whose fold is not 0.
 
     The sample is bounded: of each of the ``most_languages`` most frequent languages about ``per_language`` rows,
-    chosen by a hash of the id at a rate set by the exact count of the language. ``landmarks`` rows in all, as many
-    of each language as can be, become the landmarks; executors compute the sample's kernel rows with them, and only
-    these numbers are collected. Without labelled rows no language is known.
+    chosen by a hash of id and text at a rate set by the exact count of the language, the row of the least hash in any
+    case; equal rows count once. Texts of rarer languages are named by the nearest of those. ``landmarks`` rows in all,
+    as many of each language as can be, become the landmarks; executors compute the sample's kernel rows with them,
+    and only these numbers are collected. Without labelled rows no language is known.
     """
-    learned = docs.filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40))
+    learned = docs.filter((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", drawn.alias("drawn"))
+    known = learned.groupBy("lang").agg(F.count("*").alias("n"), F.min("drawn").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = {r["lang"]: r["n"] for r in known}
     if not counts:
         return LanguageModel([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), longest)
-    rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    sample = learned.select("doc_id", "text", "lang", drawn.alias("drawn")).filter(F.col("lang").isin(list(counts)))
-    sample = cut(sample.filter(F.col("drawn") / float(1 << 30) < F.element_at(rate, F.col("lang"))))
+    below = {r["lang"]: max(r["least"] + 1, int(min(1.0, per_language / r["n"]) * (1 << 40))) for r in known}
+    rate = F.create_map(*[F.lit(x) for item in sorted(below.items()) for x in item])
+    sample = learned.filter(F.col("lang").isin(list(counts)) & (F.col("drawn") < F.element_at(rate, F.col("lang"))))
+    sample = cut(sample.dropDuplicates(["doc_id", "text", "lang"]))
     each = -(-landmarks // len(counts))
     order = Window.partitionBy("lang").orderBy("drawn", "doc_id", "text")
     chosen = sample.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).orderBy("nth", "lang").limit(landmarks)

@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, **settings) -> F
     """Learn quality from labelled rows whose fold is not 0: about ``sample`` of them, chosen by a hash of the id.
 
     Executors make the features; only those of the sample are collected. Null and repeated labels: rows without a
-    quality are left out, and an id with several labels counts with the least.
+    quality are left out, and an id with several labels counts with the least. Of an id with several rows one is read,
+    that of the least hash, so that no more rows than ids leave the executors.
     """
     marked = labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     count = marked.count()
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, **settings) -> F
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = marked.filter(drawn < min(1.0, sample / count))
     # about `sample` ids of 16 bytes: bounded by the parameter
-    rows = _with_size(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "quality")
+    rows = _with_size(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "quality"), F.struct(F.xxhash64("text"), "n_chars")).alias("one")).select("doc_id", "one.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

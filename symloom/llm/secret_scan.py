@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from symloom.llm.text import text_buffers
+from symloom.llm.text import row_slices, text_buffers
 
 ANY = (1 << 256) - 1
 
@@ -404,10 +404,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, slice_bytes: int = 1
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, text string, spans {_SPANS}")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<{kind}>") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<{kind}>", slice_bytes: int = 1 << 22) -> DataFrame:
     """``docs`` with every secret replaced by its mark; overlapping secrets become one mark of the first kind.
 
-    Columns stay as they are, but for n_chars, which follows the new text. Null texts stay null.
+    Columns stay as they are, but for n_chars, which follows the new text. Null texts stay null. Texts are scanned about
+    ``slice_bytes`` at a time, longer ones alone.
     """
     scanner = Scanner(rules)
     kinds = [r.kind for r in rules]
@@ -430,8 +431,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "<{kind
             data, offsets = text_buffers(batch.column(at))
             columns = list(batch.columns)
             found: dict[int, list] = {}
-            for first in range(0, batch.num_rows, 512):
-                last = min(batch.num_rows, first + 512)
+            for first, last in row_slices(offsets, slice_bytes):
                 found |= {first + r: x for r, x in scanner.spans(data, offsets[first : last + 1]).items()}
             if found:
                 texts = columns[at].to_pylist()

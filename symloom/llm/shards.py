@@ -25,15 +25,29 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(within, lambda x: x <= key)))
 
 
+def _rooms(large: list, share: float, shards: int) -> tuple[dict[int, int], list[float]]:
+    """(shard of each range that is kept whole, where the room that is left in each shard ends, in bytes of the rest)."""
+    load, whole = [0.0] * shards, {}
+    for span, size in large:
+        least = min(range(shards), key=lambda s: load[s])
+        if load[least] + size <= share:
+            load[least] += size
+            whole[span] = least
+    left = [share - x for x in load]
+    return whole, [sum(left[: s + 1]) for s in range(shards)]
+
+
 def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, rows_per_part: int = ROWS_PER_PART, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Put every row into one of ``shards`` shards of nearly equal bytes (law ``bytes``).
 
     A row's key is the 64-bit hash of its text, so equal texts are neighbours. Rows are sampled with a chance in
     proportion to their size, the sample's weighted quantiles become range boundaries, and every range is cut
     again into parts of its key span; a range well over its share gets more parts in proportion. A range that is
-    one key alone (copies of one text) is cut by the hash of the id instead, so a text that fills several shards
-    can still be spread, while any other group of copies stays in one part. Parts are laid in key order and go
-    to the shard that holds their middle byte; exact part sums, not the sample, decide that. Parts of a range with
+    one key alone (copies of one text) stays in one part, and the large ones of those, the largest first, go to the
+    shard with the most room; one that fits in none, as it is larger than a shard's share or than what is left, is cut
+    by the hash of the id, so a text that fills several shards can still be spread. The other parts are laid in key
+    order into the room that is left and go to the shard that holds their middle byte; exact sums, not the sample,
+    decide that, so that shards differ by about a hundredth of their share. Parts of a range with
     more than ``rows_per_part`` rows are numbered in slices by the hash of the id, so that a key with very many
     small rows (null or empty texts) is no one task's work. slot is the row number in the slice plus the rows of
     earlier slices of the shard, so no window spans a shard.
@@ -66,8 +80,13 @@ def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, rows_p
 
     ranged = keyed.withColumn("range", _range_of(F.col("key"), bounds))
     spans = ranged.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    spans = cut(spans.withColumn("single", F.col("low") == F.col("high")))
+    # keys that take room of their own: no more than `ranges` times 8, as each has that share of all bytes
+    large = spans.filter(F.col("single") & (F.col("bytes") * 8 >= width)).orderBy(F.desc("bytes"), "range").select("range", "bytes").collect()
+    whole, room = _rooms(large, total / shards, shards)
     share = F.greatest(F.lit(1.0), F.col("bytes") / width)
-    spans = spans.select("range", "low", "high", F.ceil(PARTS * share).cast("int").alias("parts"), F.ceil(F.col("n") / rows_per_part).cast("int").alias("slices"))
+    cuts = F.when(F.col("single") & (F.col("range").isin(list(whole)) | (F.col("bytes") * 8 < width)), 1).otherwise(F.ceil(PARTS * share).cast("int"))
+    spans = spans.select("range", "low", "high", cuts.alias("parts"), F.ceil(F.col("n") / rows_per_part).cast("int").alias("slices"))
     spread = (F.col("high").cast("double") - F.col("low").cast("double"))
     place = F.when(F.col("low") == F.col("high"), F.col("minor").cast("double") / 2.0**64 + 0.5).otherwise(
         (F.col("key").cast("double") - F.col("low").cast("double")) / F.greatest(spread, F.lit(1.0))
@@ -79,7 +98,10 @@ def shard(docs: DataFrame, shards: int = 16, samples_per_range: int = 32, rows_p
     by_part = sums.groupBy("range", "part").agg(F.sum("bytes").alias("bytes"))
     until = F.sum("bytes").over(Window.orderBy("range", "part"))
     middle = until - F.col("bytes") / 2
-    laid = by_part.select("range", "part", F.least(F.floor(middle * shards / F.lit(max(1, total))).cast("int"), F.lit(shards - 1)).alias("shard"))
+    ends = F.array(*[F.lit(float(x)) for x in room[:-1]]).cast("array<double>")
+    laid = by_part.filter(~F.col("range").isin(list(whole))).select("range", "part", F.size(F.filter(ends, lambda x: x <= middle)).alias("shard"))
+    placed = F.element_at(F.create_map(*[F.lit(x) for item in sorted(whole.items()) for x in item]), F.col("range")) if whole else F.lit(0)
+    laid = laid.unionByName(by_part.filter(F.col("range").isin(list(whole))).select("range", "part", placed.alias("shard")))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("range", "part", "slice")) - F.col("n")
     laid = cut(sums.join(laid, ["range", "part"]).select("range", "part", "slice", "shard", before.alias("offset")))
 
