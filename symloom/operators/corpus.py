@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from symloom.functions import lines as L
 from symloom.functions import names as N
+from symloom.plans.lineage import cut
 
 # Fence languages of each parser, image and file endings that links are told by.
 PYTHON_FENCES = ("python", "py", "python3")
@@ -95,7 +96,7 @@ def known_package_imports(imports: DataFrame, packages: DataFrame, separator: st
 
 def scan_imports(docs: DataFrame, packages: DataFrame) -> DataFrame:
     """(symbol, package, path, section, language): every imported symbol of known packages; packages (name, language)."""
-    blocks = code_blocks(docs)
+    blocks = cut(code_blocks(docs).filter(F.col("language").isin(*PYTHON_FENCES, *JAVASCRIPT_FENCES)))  # fences are found once
     python = python_imports(blocks.filter(F.col("language").isin(*PYTHON_FENCES)))
     script = javascript_imports(blocks.filter(F.col("language").isin(*JAVASCRIPT_FENCES)))
     python = known_package_imports(python, packages.filter("language = 'python'")).select("path", "start_line", "package", F.explode("symbols").alias("symbol"), F.lit("python").alias("language"))

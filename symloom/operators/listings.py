@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symloom.functions import names as N
+from symloom.plans.lineage import cut
 
 # Parts of user agents of language-model services and of command-line tools, folders of symbol kinds.
 LLM_AGENTS = ("gptbot", "chatgpt-user", "claude-web", "anthropic-ai", "perplexitybot", "google-extended", "ccbot", "youbot", "cohere-ai", "bytespider", "amazonbot", "cursor", "copilot", "aider", "continue", "codeium", "tabnine")
@@ -37,17 +38,22 @@ def symbol_lines(symbols: DataFrame, packages: DataFrame, base: str) -> DataFram
 def symbol_listing(lines: DataFrame, max_bytes: int = 500 * 1024) -> DataFrame:
     """The sorted lines whose running UTF-8 bytes (and a line end each) stay within ``max_bytes``.
 
-    Two levels: bytes are summed by (section, package, kind) first, so a running sum over those few rows gives each
-    block's beginning, and only blocks that begin within the bound are summed line by line.
+    Lines are dealt into ranges of their order, whatever blocks these cut; one sum for each range gives its beginning
+    (the driver gets a number for each shuffle partition), and only ranges that begin within the bound are summed
+    line by line, each by itself. Equal lines share a sum.
     """
     size = F.octet_length("line") + 1
-    keys = ["section", "package_ord", "kind"]
-    blocks = lines.groupBy(*keys).agg(F.sum(size).alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy(*keys)) - F.col("bytes")
-    begins = blocks.select(*keys, before.alias("before")).filter(F.col("before") < max_bytes)
-    within = lines.join(begins, keys)
-    running = F.sum(size).over(Window.partitionBy(*keys).orderBy("name", "ord")) + F.col("before")
-    return within.withColumn("until", running).filter(F.col("until") <= max_bytes).select(*keys, "name", "ord", "line", "until")
+    order = ["section", "package_ord", "kind", "name", "ord"]
+    dealt = cut(lines.select(*order, "line").repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    begins, until = {}, 0
+    for part, total in sorted(tuple(r) for r in dealt.groupBy("range").agg(F.sum(size)).collect()):
+        if until < max_bytes:
+            begins[part] = until
+        until += total
+    before = F.element_at(F.create_map(*[F.lit(x) for item in begins.items() for x in item]), F.col("range")) if begins else F.lit(0)
+    running = F.sum(size).over(Window.partitionBy("range").orderBy(*order)) + before
+    within = dealt.filter(F.col("range").isin(list(begins))).withColumn("until", running)
+    return within.filter(F.col("until") <= max_bytes).select(*order, "line", "until")
 
 
 def _part(condition: Column, *lines) -> Column:

@@ -72,3 +72,21 @@ def test_tags_meet_their_own_prefixes_only(spark):
     patterns = [("A", "a@*"), ("AEQ", "a==*"), ("AV", "a-v*"), ("V", "v*"), ("ANY", "*"), ("B", "@s/b@*"), ("NONE", "x")]
     got = R.parse_release_tags(spark.createDataFrame([("r", t, t) for t in tags] + [("other", "a@9.0.0", "z")], "repo string, tag string, sha string"), spark.createDataFrame([("r", *p) for p in patterns], "repo string, package_id string, tag_pattern string"))
     assert sorted((r["package_id"], r["version"], r["tag"]) for r in got.collect()) == sorted([("A", "1.0.0", "a@1.0.0"), ("A", "1.0.1", "a==1.0.1"), ("AEQ", "1.0.1", "a==1.0.1"), ("A", "1.0.2", "a-1.0.2"), ("AV", "1.0.3", "a-v1.0.3"), ("V", "1.2.0", "v1.2.0"), ("ANY", "1.2.0", "v1.2.0"), ("ANY", "1.3.0", "1.3.0"), ("B", "2.0.0-rc.1", "@s/b@2.0.0-rc.1"), ("ANY", "1.4.0", "v=1.4.0"), ("A", "1.0.0-v1.2.3", "a@1.0.0-v1.2.3")])
+
+
+def test_listing_sums_ranges_and_not_one_task(spark):
+    """A running sum of lines over range partitions, equal to the plain one, without a single-partition exchange."""
+    from symloom.operators.listings import symbol_listing
+
+    rows = [(i % 2, i % 3, "k%d" % (i % 2), "n%04d" % (i * 37 % 1000), i, "x" * (i % 50) + "é") for i in range(1000)]
+    lines = spark.createDataFrame(rows, "section int, package_ord int, kind string, name string, ord long, line string").repartition(4)
+    for bound in (0, 3, 1234, 10**6):
+        want, until = [], 0
+        for r in sorted(rows):
+            until += len(r[5].encode()) + 1
+            if until <= bound:
+                want.append((*r, until))
+        got = symbol_listing(lines, bound)
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert symbol_listing(lines.limit(0)).count() == 0
