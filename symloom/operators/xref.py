@@ -89,9 +89,10 @@ def ancestors(edges: DataFrame) -> DataFrame:
     """(child, base, depth) of all direct and indirect bases, each once at its least depth; cycles end by themselves.
 
     Paths double: each round joins the pairs known so far, all of depth up to n, with those of depth n exactly, and
-    keeps the least depth of each pair, so that chains of n levels take about log n rounds; null ends are left out.
+    keeps the least depth of each pair, so that chains of n levels take about log n rounds. An edge to itself, or with
+    a null end, stays as it is and leads nowhere.
     """
-    known = edges.select("child", "base").filter(F.col("child").isNotNull() & F.col("base").isNotNull() & (F.col("child") != F.col("base"))).distinct().withColumn("depth", F.lit(1))
+    known = edges.select("child", "base").distinct().withColumn("depth", F.lit(1))
     known, reach = cut(known), 1
     while True:
         far = known.filter(F.col("depth") == reach).select("child", F.col("base").alias("via"), F.col("depth").alias("first"))
