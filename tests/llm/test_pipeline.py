@@ -20,7 +20,7 @@ def test_stages_over_a_small_corpus(spark, docs, rows, tmp_path):
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in queries()} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {q.split("_")[0] for q in queries()} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(oracle_sql()) <= set(queries()) and tokenizer_path()
 
 
