@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def fences(content: str) -> list[tuple[str, int, str]]:
     out, start = [], None
     lines = content.split("\n")
     for number, line in enumerate(lines, 1):
+        if line[:3] != "```":
+            continue
         if start is None:
             if opened := _OPEN.match(line):
                 start, language = number, (opened[1] or "").lower()
@@ -33,6 +36,25 @@ def line_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "language", "start_line", "code"])
 
 
+# the ends of lines that ``.`` and ``$`` know in the regular expressions of SQL
+_ENDS = r"\n\r\x85\u2028\u2029"
+_LAST = rf"(?:\r\n|[{_ENDS}])?\Z"
+_HEADING = re.compile(rf"#{{1,6}}\s+([^{_ENDS}]+){_LAST}", re.A)
+_FRONT = re.compile(rf"---\n[\s\S]*?\n---(?:\n|(?={_LAST}))")
+
+
+def headed_fences(content: str) -> list[tuple[str, int, str, str | None]]:
+    """Fences with the title of the last heading at or before their line; headings are counted below the front matter."""
+    blocks = fences(content)
+    if not blocks:
+        return []
+    front = _FRONT.match(content)
+    lines = content[front.end() :].split("\n") if front else content.split("\n")
+    marks = [(number, found[1]) for number, line in enumerate(lines, 1) if line[:1] == "#" and (found := _HEADING.match(line))]
+    at = [number for number, _ in marks]
+    return [(*b, marks[i - 1][1] if (i := bisect_right(at, b[1])) else None) for b in blocks]
+
+
 def joined_parens(code: str) -> str:
     """Line ends inside parentheses become spaces."""
     depth, out = 0, []
@@ -42,6 +64,23 @@ def joined_parens(code: str) -> str:
     return "".join(out)
 
 
+def headed_blocks(joined: tuple[str, ...], others: tuple[str, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A reader of pages: their fences in these languages with the heading above; in ``joined`` ones the line ends inside parentheses are spaces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (p, language, line, joined_parens(code) if language in joined else code, heading)
+                for p, c in zip(batch.path, batch.content, strict=True)
+                if c
+                for language, line, code, heading in headed_fences(c)
+                if language in joined or language in others
+            ]
+            yield pd.DataFrame(rows, columns=["path", "language", "start_line", "code", "heading"])
+
+    return run
+
+
 @F.pandas_udf(T.StringType())
 def join_paren_lines(code: pd.Series) -> pd.Series:
     return code.map(joined_parens, na_action="ignore")

@@ -64,46 +64,82 @@ def _names(clause: Column) -> Column:
     return F.filter(F.transform(F.split(clause, ","), lambda p: F.regexp_extract(p, r"^\s*(\w+)", 1)), lambda n: n != "")
 
 
+def _python_found(code: Column) -> Column:
+    """(package, symbols) of each ``from package import ...``; line ends inside parentheses are spaces by now."""
+    pattern = F.lit(r"from\s+([\w_.]+)\s+import\s+(.+)")
+    zipped = F.arrays_zip(F.regexp_extract_all(code, pattern, 1).alias("package"), F.regexp_extract_all(code, pattern, 2).alias("clause"))
+    named = F.transform(zipped, lambda i: F.struct(i["package"].alias("package"), _names(F.regexp_replace(i["clause"], r"^\(|\)$", "")).alias("symbols")))
+    return F.filter(named, lambda i: ~i["package"].startswith(".") & (F.size(i["symbols"]) > 0))
+
+
+def _script_found(code: Column) -> Column:
+    """(package, symbols, default_name, is_type) of each ES import of a package."""
+    pattern = F.lit(r"import\s+(type\s+)?(?:(\*\s+as\s+\w+)|(\w+)(?:\s*,\s*\{([^}]*)\})?|(?:\{([^}]*)\}))\s+from\s+[\"']([^\"']+)[\"']")
+    group = {"type": 1, "space": 2, "default_name": 3, "with_default": 4, "alone": 5, "package": 6}
+    zipped = F.arrays_zip(*[F.regexp_extract_all(code, pattern, i).alias(n) for n, i in group.items()])
+    text = lambda i, name: F.coalesce(i[name], F.lit(""))
+    own = F.filter(zipped, lambda i: ~i["package"].rlike("^[./]") & (text(i, "space") == ""))
+    named = F.transform(
+        own,
+        lambda i: F.struct(
+            i["package"].alias("package"),
+            _names(F.concat(text(i, "with_default"), text(i, "alone"))).alias("symbols"),
+            F.nullif(i["default_name"], F.lit("")).alias("default_name"),
+            (text(i, "type") != "").alias("is_type"),
+        ),
+    )
+    return F.filter(named, lambda i: i["default_name"].isNotNull() | (F.size(i["symbols"]) > 0))
+
+
 def python_imports(blocks: DataFrame) -> DataFrame:
     """blocks with one row for each ``from package import ...``: package, symbols (array)."""
-    pattern = r"from\s+([\w_.]+)\s+import\s+(.+)"
-    joined = blocks.withColumn("_code", L.join_paren_lines(F.col("code")))
-    each = joined.withColumn("_i", F.explode(F.arrays_zip(F.regexp_extract_all("_code", F.lit(pattern), 1).alias("package"), F.regexp_extract_all("_code", F.lit(pattern), 2).alias("clause"))))
-    clause = F.regexp_replace(F.col("_i.clause"), r"^\(|\)$", "")
-    out = each.select(*blocks.columns, F.col("_i.package").alias("package"), _names(clause).alias("symbols"))
-    return out.filter(~F.col("package").startswith(".") & (F.size("symbols") > 0))
+    return blocks.withColumn("_i", F.explode(_python_found(L.join_paren_lines(F.col("code"))))).select(*blocks.columns, "_i.*")
 
 
 def javascript_imports(blocks: DataFrame) -> DataFrame:
     """blocks with one row for each ES import: package, symbols (named ones), default_name, is_type."""
-    pattern = r"import\s+(type\s+)?(?:(\*\s+as\s+\w+)|(\w+)(?:\s*,\s*\{([^}]*)\})?|(?:\{([^}]*)\}))\s+from\s+[\"']([^\"']+)[\"']"
-    group = {"type": 1, "space": 2, "default_name": 3, "with_default": 4, "alone": 5, "package": 6}
-    each = blocks.withColumn("_i", F.explode(F.arrays_zip(*[F.regexp_extract_all("code", F.lit(pattern), i).alias(n) for n, i in group.items()])))
-    clause = F.concat(F.coalesce(F.col("_i.with_default"), F.lit("")), F.coalesce(F.col("_i.alone"), F.lit("")))
-    out = each.select(*blocks.columns, F.col("_i.package").alias("package"), _names(clause).alias("symbols"), F.nullif(F.col("_i.default_name"), F.lit("")).alias("default_name"), (F.coalesce(F.col("_i.type"), F.lit("")) != "").alias("is_type"), "_i")
-    kept = out.filter(~F.col("package").rlike("^[./]") & (F.coalesce(F.col("_i.space"), F.lit("")) == "") & (F.col("default_name").isNotNull() | (F.size("symbols") > 0)))
-    return kept.drop("_i")
+    return blocks.withColumn("_i", F.explode(_script_found(F.col("code")))).select(*blocks.columns, "_i.*")
+
+
+def _heads(package: Column, separator: Column) -> Column:
+    """Every leading part of a package name, the name itself last."""
+    parts = F.split(package, F.concat(F.lit("["), separator, F.lit("]")))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.call_function("array_join", F.slice(parts, 1, i), separator))
+
+
+def _joined_to_known(imports: DataFrame, packages: DataFrame, separator: Column, on: list[str]) -> DataFrame:
+    """Imports at or below a known package, in one pass over them.
+
+    Known packages below another known one are left out first, so that an import meets one at most.
+    """
+    own = packages.select("name", *on).withColumn("_head", F.explode(_heads(F.col("name"), separator)))
+    itself = F.col("_head") == F.col("name")
+    below = ~itself & F.max(itself).over(Window.partitionBy("_head", *on))
+    roots = own.withColumn("_below", below).groupBy("name", *on).agg(F.max("_below").alias("_below")).filter(~F.col("_below")).select(F.col("name").alias("_head"), *on)
+    return imports.withColumn("_head", F.explode(_heads(F.col("package"), separator))).join(roots, ["_head", *on]).select(*imports.columns)
 
 
 def known_package_imports(imports: DataFrame, packages: DataFrame, separator: str = ".") -> DataFrame:
     """Imports whose package is a known one (name) or below one; met by equality on every leading part."""
-    parts = F.split("package", r"\." if separator == "." else separator)
-    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
-    keyed = imports.select("package").distinct().select("package", F.explode(heads).alias("name"))
-    known = keyed.join(packages.select("name").distinct(), "name", "left_semi").select("package").distinct()
-    return imports.join(known, "package", "left_semi").select(*imports.columns)
+    return _joined_to_known(imports, packages, F.lit(separator), [])
 
 
 def scan_imports(docs: DataFrame, packages: DataFrame) -> DataFrame:
-    """(symbol, package, path, section, language): every imported symbol of known packages; packages (name, language)."""
-    blocks = cut(code_blocks(docs).filter(F.col("language").isin(*PYTHON_FENCES, *JAVASCRIPT_FENCES)))  # fences are found once
-    python = python_imports(blocks.filter(F.col("language").isin(*PYTHON_FENCES)))
-    script = javascript_imports(blocks.filter(F.col("language").isin(*JAVASCRIPT_FENCES)))
-    python = known_package_imports(python, packages.filter("language = 'python'")).select("path", "start_line", "package", F.explode("symbols").alias("symbol"), F.lit("python").alias("language"))
-    names = F.concat("symbols", F.array_compact(F.array("default_name")))
-    script = known_package_imports(script, packages.filter("language = 'javascript'"), "/").select("path", "start_line", "package", F.explode(names).alias("symbol"), F.lit("javascript").alias("language"))
-    found = containing_section(python.unionByName(script), sections(docs))
-    return found.select("symbol", "package", "path", "section", "language", "start_line")
+    """(symbol, package, path, section, language): every imported symbol of known packages; packages (name, language).
+
+    Pages are read once: their fences come with the heading above them, and nothing but the join with the packages
+    follows. Of pages with one path each is read by itself.
+    """
+    blocks = docs.select("path", "content").mapInPandas(L.headed_blocks(PYTHON_FENCES, JAVASCRIPT_FENCES), "path string, language string, start_line int, code string, heading string")
+    python = F.col("language").isin(*PYTHON_FENCES)
+    script = F.transform(_script_found(F.col("code")), lambda i: F.struct(i["package"].alias("package"), F.concat(i["symbols"], F.array_compact(F.array(i["default_name"]))).alias("symbols")))
+    section = N.slug_heading(N.trim_all(F.col("heading"))).alias("section")
+    language = F.when(python, "python").otherwise("javascript").alias("language")
+    found = blocks.select("path", "start_line", section, language, F.explode(F.when(python, _python_found(F.col("code"))).otherwise(script)).alias("_i"))
+    found = found.select("path", "start_line", "section", "language", "_i.*")
+    separator = F.when(F.col("language") == "python", ".").otherwise("/")
+    known = packages.filter(F.col("language").isin("python", "javascript"))
+    return _joined_to_known(found, known, separator, ["language"]).select(F.explode("symbols").alias("symbol"), "package", "path", "section", "language", "start_line")
 
 
 def related_docs(matches: DataFrame, pages: DataFrame, most: int = 20) -> DataFrame:
@@ -112,7 +148,7 @@ def related_docs(matches: DataFrame, pages: DataFrame, most: int = 20) -> DataFr
     One entry for each page and language: equal ones are dropped by a partial aggregation before any sort.
     """
     once = matches.groupBy("symbol", "path", "language").agg(F.min_by("section", F.struct("start_line", "package")).alias("section"))
-    titled = once.join(pages.select("path", "title"), "path")
+    titled = cut(once.join(pages.select("path", "title"), "path"))  # pages are read once
     totals = titled.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
     window = Window.partitionBy("symbol").orderBy("title", "path", "language")
     best = titled.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= most)

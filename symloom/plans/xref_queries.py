@@ -85,7 +85,7 @@ query("anchor_links", f"""{DOCS} SELECT doc_id AS page, 'acme.core.Item' || CAST
   CASE WHEN doc_id % 50 < 20 THEN '/python/acme-lib/x/Item' || CAST(doc_id % 50 AS VARCHAR) ELSE '/python/acme/core/Item' || CAST(doc_id % 50 AS VARCHAR) END AS url FROM doc_files""")(
     lambda s, d: X.anchor_links(
         bound(s, d, "doc_files").select(c("doc_id").alias("page"), "content"),
-        s.range(40).select(F.concat(F.lit("Item"), c("id") % 20).alias("name"), F.when(c("id") < 20, F.concat(F.lit("acme_lib.x.Item"), c("id") % 20)).otherwise(F.concat(F.lit("other_lib.Item"), c("id") % 20)).alias("qualified_name"), (c("id") < 20).alias("own"), c("id").alias("ord")),
+        bound(s, d, "documents").select((c("doc_id") % 40).alias("id")).distinct().select(F.concat(F.lit("Item"), c("id") % 20).alias("name"), F.when(c("id") < 20, F.concat(F.lit("acme_lib.x.Item"), c("id") % 20)).otherwise(F.concat(F.lit("other_lib.Item"), c("id") % 20)).alias("qualified_name"), (c("id") < 20).alias("own"), c("id").alias("ord")),
         "python", F.lit("acme"),
     )
 )

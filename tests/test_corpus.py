@@ -1,5 +1,7 @@
 """Line helpers and corpus operators on own examples."""
 
+from pyspark.sql import functions as F
+
 from symloom.functions import lines as L
 from symloom.operators import corpus as C
 from symloom.operators import search as S
@@ -31,6 +33,36 @@ def test_sections_and_as_of(spark):
     assert C.page_metadata(docs).first()["title"] == "T"
 
 
+PAGES = {
+    "a": "---\ntitle: x\n---\n# One\n```python\nfrom a.b import (\n  X,\n  Y)\n```\n## Two\n```js\nimport D, { A } from '@x/y/z';\n```\n```py\nfrom a import Z\n",
+    "b": "```python\n```\n# Late\r\n```ts\nimport type { T } from \"@x/y\";\nimport { R } from './rel';\n```\n  ```python\nfrom a import indented\n  ```\n```\nfrom a import plain\n```",
+    "c": "text\n```python3 title\nfrom ab import no\nfrom a.b.c import W as V\n```\n####### seven\n#none\n###   Three  \n```PY\nfrom a import (P,\n  Q)\n```",
+    "d": "---\nx\n---",
+    "e": "---\n# inside\n```py\nfrom a import late\n```\n# after",
+    "f": "",
+}
+
+
+def test_scan_imports_in_one_pass(spark):
+    """Unclosed, indented, empty and untagged fences, clauses over several lines, nested known packages, repeated pages."""
+    docs = spark.createDataFrame([*PAGES.items(), ("n", None)], "path string, content string")
+    known = spark.createDataFrame([("a", "python"), ("a.b", "python"), ("a", "python"), ("@x/y", "javascript"), ("@x/y/z", "javascript"), (None, "python"), ("ab", "go")], "name string, language string")
+    scanned = C.scan_imports(docs, known)
+    want = [
+        ("a", 5, "X", "a.b", "one", "python"), ("a", 5, "Y", "a.b", "one", "python"), ("a", 11, "A", "@x/y/z", "two", "javascript"), ("a", 11, "D", "@x/y/z", "two", "javascript"),
+        ("b", 4, "T", "@x/y", "late", "javascript"), ("c", 2, "W", "a.b.c", None, "python"), ("c", 9, "P", "a", "three", "python"), ("c", 9, "Q", "a", "three", "python"), ("e", 3, "late", "a", "inside", "python"),
+    ]
+    rows = lambda df: sorted(tuple(r[c] for c in ("path", "start_line", "symbol", "package", "section", "language")) for r in df.collect())
+    assert rows(scanned) == sorted(want)
+    twice = C.scan_imports(docs.unionByName(docs).withColumn("symbol", F.lit("clash")), known)
+    assert rows(twice) == sorted(2 * want)
+    of_blocks = {(r["path"], r["start_line"]): r["section"] for r in C.containing_section(C.code_blocks(docs), C.sections(docs)).collect()}
+    assert all(of_blocks[path, line] == section for path, line, _, _, section, _ in want)
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
+    assert C.scan_imports(docs.limit(0), known).count() == 0 and C.scan_imports(docs, known.limit(0)).count() == 0
+
+
 def test_related_docs_keeps_twenty_and_the_total(spark):
     matches = spark.createDataFrame([("S", "k", f"p{i:02d}", "a", "python", 1) for i in range(25)] * 2, "symbol string, package string, path string, section string, language string, start_line int")
     pages = spark.createDataFrame([(f"p{i:02d}", f"Title {i:02d}") for i in range(25)], "path string, title string")
