@@ -79,6 +79,16 @@ TABLES: dict[str, str] = {
           || 'See [the item](#acme.core.Item' || CAST(doc_id % 50 AS STRING) || ') and [site](https://x.org/a) ![pic](img/a.png) or [readme](docs/readme.md).' || chr(10)
           || '### More' || chr(10) || '```ts' || chr(10) || 'import {{ Thing' || CAST(doc_id % 40 AS STRING) || ', type Kind as K }} from "@acme/' || source || '/sub";' || chr(10) || 'import Def from "@acme/' || source || '";' || chr(10) || '```' || chr(10) || text || chr(10) AS content
         FROM {documents}""",
+    # pages with empty, titled, indented and unclosed fences, and clauses over several lines, around the whole texts
+    "varied_files": """
+        SELECT doc_id, 'v/' || CAST(doc_id AS STRING) || '.md' AS path,
+          'Intro' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '```' || chr(10) || '```' || chr(10) ELSE '' END
+          || '```python title="x"' || chr(10) || 'from acme.m' || CAST(doc_id % 30 AS STRING) || ' import (' || chr(10) || '    Alpha' || CAST(doc_id % 70 AS STRING) || ',' || chr(10) || '    Beta as B,' || chr(10) || ')' || chr(10) || 'import os' || chr(10) || 'from .local import no' || chr(10) || '```' || chr(10)
+          || CASE WHEN doc_id % 3 = 0 THEN '  ```python' || chr(10) || 'from acme.indented import No' || chr(10) || '  ```' || chr(10) ELSE '' END
+          || '```TS' || chr(10) || 'import {{ Gamma' || CAST(doc_id % 20 AS STRING) || ' as G,' || chr(10) || '  Delta }} from "@acme/x";' || chr(10) || 'import * as ns from "n";' || chr(10) || 'import type Kind, {{ Own }} from "@acme/t";' || chr(10) || 'import Rel from "./rel";' || chr(10) || '```  ' || chr(10)
+          || text || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '```py' || chr(10) || 'from acme.last import Omega' || chr(10) || '```' || chr(10) ELSE '' END
+          || CASE WHEN doc_id % 5 = 0 THEN '```python' || chr(10) || 'from acme.open import Never' ELSE '' END AS content
+        FROM {documents}""",
 }
 
 

@@ -61,6 +61,44 @@ query("page_links", f"""{DOCS} SELECT path, unnest(['the item', 'site', 'pic', '
   unnest(['#acme.core.' || {I50}, 'https://x.org/a', 'https://raw.org/img/a.png', 'https://github.com/acme/repo/blob/main/libs/docs/readme.md']) AS url FROM doc""")(lambda s, d: C.page_links(docs(s, d), "acme/repo", "main", "https://raw.org", "libs"))
 
 
+# Pages that the SQL parses itself: fences by one expression over the page, then the clauses in them.
+varied = lambda s, d: bound(s, d, "varied_files").select("path", "content")
+FENCE = r"(?ms)^```(\w*)[^\n]*\n(.*?)^```[ \t\r]*$"
+PARSED = f"""{with_tables("varied_files")}, fence AS (SELECT path, unnest(regexp_extract_all(content, '{FENCE}', 1)) AS tag, unnest(regexp_extract_all(content, '{FENCE}', 2)) AS inside FROM varied_files),
+  block AS (SELECT path, lower(tag) AS language, left(inside, length(inside) - 1) AS code FROM fence WHERE inside <> '')"""
+query("code_blocks_varied", f"{PARSED} SELECT path, language, code FROM block")(lambda s, d: C.code_blocks(varied(s, d)).select("path", "language", "code"))
+JOINED = "array_to_string(list_transform(string_split(code, '('), lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, ')') THEN replace(split_part(x, ')', 1), chr(10), ' ') || ')' || substr(x, strpos(x, ')') + 1) ELSE replace(x, chr(10), ' ') END), '(')"
+FROM = r"from\s+([\w_.]+)\s+import\s+(.+)"
+NAMES = r"array_to_string(list_filter(list_transform(string_split({}, ','), lambda x: regexp_extract(x, '^\s*(\w+)', 1)), lambda x: x <> ''), ',')"
+PYTHON = f"""{PARSED}, joined AS (SELECT path, {JOINED} AS code FROM block WHERE language IN ('python', 'py', 'python3')),
+  clause AS (SELECT path, unnest(regexp_extract_all(code, '{FROM}', 1)) AS package, regexp_replace(unnest(regexp_extract_all(code, '{FROM}', 2)), '^\\(|\\)$', '', 'g') AS clause FROM joined),
+  py AS (SELECT path, package, {NAMES.format('clause')} AS symbols FROM clause WHERE package NOT LIKE '.%')"""
+query("python_imports_varied", f"{PYTHON} SELECT * FROM py WHERE symbols <> ''")(
+    lambda s, d: C.python_imports(C.code_blocks(varied(s, d)).filter(c("language").isin(*C.PYTHON_FENCES))).select("path", "package", F.array_join("symbols", ",").alias("symbols"))
+)
+IMPORT = r"""import\s+(type\s+)?(?:(\*\s+as\s+\w+)|(\w+)(?:\s*,\s*\{([^}]*)\})?|(?:\{([^}]*)\}))\s+from\s+["'']([^"'']+)["'']"""
+GROUPS = ", ".join(f"unnest(regexp_extract_all(code, '{IMPORT}', {i})) AS {n}" for i, n in enumerate(("typed", "space", "own", "beside", "alone", "package"), 1))
+SCRIPT = f"""{PYTHON}, found AS (SELECT path, {GROUPS} FROM block WHERE language IN ('javascript', 'js', 'typescript', 'ts', 'jsx', 'tsx')),
+  js AS (SELECT path, package, {NAMES.format("coalesce(beside, '') || coalesce(alone, '')")} AS symbols, nullif(own, '') AS default_name, coalesce(typed, '') <> '' AS is_type FROM found WHERE coalesce(space, '') = '' AND NOT regexp_matches(package, '^[./]'))"""
+query("javascript_imports_varied", f"{SCRIPT} SELECT * FROM js WHERE symbols <> '' OR default_name IS NOT NULL")(
+    lambda s, d: C.javascript_imports(C.code_blocks(varied(s, d)).filter(c("language").isin(*C.JAVASCRIPT_FENCES))).select("path", "package", F.array_join("symbols", ",").alias("symbols"), "default_name", "is_type")
+)
+
+
+def varied_packages(s, d):
+    """Modules of even number, and one package that holds another known one."""
+    ids = bound(s, d, "documents").select((c("doc_id") % 30).alias("m")).distinct()
+    modules = ids.filter("m % 2 = 0").select(F.concat(F.lit("acme.m"), "m").alias("name"), F.lit("python").alias("language"))
+    script = ids.filter("m < 2").select(F.when(c("m") == 0, "@acme").otherwise("@acme/t").alias("name"), F.lit("javascript").alias("language"))
+    return modules.unionByName(script)
+
+
+query("scan_imports_varied", rf"""{SCRIPT} SELECT unnest(string_split(symbols, ',')) AS symbol, package, path, 'python' AS language FROM py WHERE symbols <> '' AND CAST(nullif(regexp_extract(package, '^acme\.m(\d+)$', 1), '') AS INT) % 2 = 0
+  UNION ALL SELECT unnest(list_filter(string_split(symbols, ','), lambda x: x <> '') || CASE WHEN default_name IS NULL THEN []::VARCHAR[] ELSE [default_name] END), package, path, 'javascript' FROM js WHERE package LIKE '@acme/%'""")(
+    lambda s, d: C.scan_imports(varied(s, d), varied_packages(s, d)).select("symbol", "package", "path", "language")
+)
+
+
 def marked(s, d):
     """Whole texts of the documents, with their lines, and directives, admonitions, indents and examples around them."""
     indented = lambda n: F.replace("text", F.lit("\n"), F.lit("\n" + " " * n))
