@@ -8,13 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.graph import connected_components
 from symloom.llm.text import Words, cut, unused_names, words_of
 
 
+#: Steps of the allowed distance, and pivots tried, in a bucket of many blocks.
+STEPS, PIVOTS = 10, 4
+
+
 def choose_bands(similarity: float, recall: float, most_hashes: int = 160) -> tuple[int, int]:
     """(bands, rows): the most rows a band that still find a pair at ``similarity`` with the wanted recall.
 
@@ -96,12 +100,12 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verified(unit: tuple[int, int, int], held: dict, similarity: float) -> list[tuple]:
+def _verified(unit: tuple, held: dict, similarity: float) -> list[tuple]:
     """(rep, key, links, to_rep, to_key) of one block, or of two blocks against each other.
 
     A block by itself counts the links within it and ties every member to its root there. Two blocks count the links
-    across, and tie the roots that these join: the roots of a block are the same wherever it is compared, so the
-    edges of a large group stay few.
+    across, and tie the roots that these join, each to the first of those that hang together: the edges of a large
+    group stay few, at most one a member.
     """
     nodes = sorted(held)
     side = np.array([held[x][0] for x in nodes])
@@ -114,17 +118,19 @@ def _verified(unit: tuple[int, int, int], held: dict, similarity: float) -> list
         return [(*nodes[i], int(counts[i]), *nodes[root[i]]) for i in np.flatnonzero(counts).tolist()]
     linked &= across
     counts = linked @ weights
-    a, b = np.nonzero(np.triu(linked))
-    joined = set(zip(np.minimum(root[a], root[b]).tolist(), np.maximum(root[a], root[b]).tolist(), strict=True))
-    return [(*nodes[i], int(counts[i]), *nodes[i]) for i in np.flatnonzero(counts).tolist()] + [(*nodes[i], 0, *nodes[j]) for i, j in sorted(joined)]
+    a, b = np.nonzero(linked)
+    joined = np.zeros_like(linked)
+    joined[root[a], root[b]] = True
+    first = _roots(joined)
+    return [(*nodes[i], int(counts[i]), *nodes[first[i]]) for i in np.flatnonzero((counts > 0) | (first != np.arange(len(first)))).tolist()]
 
 
 def _units(classes: DataFrame, block: int) -> DataFrame:
-    """(rep, key, n_copies, unit, above, parts): the buckets in which a class is to be compared, of those with two or more classes.
+    """(rep, key, n_copies, n_words, unit, best, above, parts): the buckets in which a class is to be compared, of those with two or more classes.
 
     A unit is a band bucket. Buckets with the same members are one unit, and a unit whose members all have one and
     the same largest unit lies within that and is left out. ``above`` lists the member's greater units: a pair is
-    decided in the greatest that both are in, which is never one that was left out.
+    decided in the greatest that both are in, which is never one that was left out. ``best`` is the member's greatest.
     """
     banded = classes.select("rep", "key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
@@ -135,10 +141,117 @@ def _units(classes: DataFrame, block: int) -> DataFrame:
     own = cut(own.join(classes.select("rep", "key", "n_copies", "n_words"), ["rep", "key"]))
     placed = own.select("*", F.explode("own").alias("at")).withColumn("best", F.array_max("own"))
     least, most = F.min("best").alias("least"), F.max("best").alias("most")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / (block * 8192))).cast("int").alias("parts")
+    parts = _parts(block)
     kept = placed.groupBy("at").agg(least, most, parts).filter((F.col("least") != F.col("most")) | (F.col("least") == F.col("at"))).select("at", "parts")
     above = F.transform(F.filter("own", lambda x: x > F.col("at")), lambda x: x["unit"])
-    return placed.join(kept, "at").select("rep", "key", "n_copies", F.col("at.unit").alias("unit"), above.alias("above"), "parts")
+    return placed.join(kept, "at").select("rep", "key", "n_copies", "n_words", F.col("at.unit").alias("unit"), F.col("best.unit").alias("best"), above.alias("above"), "parts")
+
+
+def _parts(block: int) -> Column:
+    """Blocks for some members: of ``block`` texts, fewer if they are long."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / (block * 8192))).cast("int").alias("parts")
+
+
+def _measured(tops: DataFrame, texts: DataFrame, n: int, similarity: float, block: int) -> DataFrame | None:
+    """(unit, rep, key, n_copies, near, to_rep, to_key): how far members are from a pivot of their unit, in steps.
+
+    ``tops`` are members that are in no greater unit, of which units with several blocks are measured (None if there
+    is none). The distance 1 - Jaccard obeys the triangle inequality: with ``near`` the distance in STEPS-ths of
+    the allowed one, rounded up, two members whose steps add up to STEPS at most are linked, and any with STEPS at
+    most is linked with the pivot. Of PIVOTS members drawn by hash the one with most members within half the
+    allowed distance is taken. Each block meets the pivots' texts; nothing is compared with all members.
+    """
+    draws = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)).alias("draw"), "rep", "key")).alias(f"pivot{i}") for i in range(PIVOTS)]
+    wide = cut(tops.groupBy("unit").agg(_parts(block), *draws).filter(F.col("parts") > 1))
+    if wide.isEmpty():
+        return None
+    part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")
+    own = tops.drop("parts").join(wide.select("unit", "parts"), "unit").select("unit", part, F.lit(-1).alias("pivot"), "rep", "key", "n_copies")
+    pivots = wide.select("unit", "parts", F.posexplode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot", "at"))
+    pivots = pivots.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "at.rep", "at.key", F.lit(0).cast("long").alias("n_copies"))
+    together = own.unionByName(pivots).join(texts, ["rep", "key"]).select("unit", "part", "pivot", "rep", "key", "n_copies", "text")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, before = None, {}, None
+        for batch in batches:
+            for first, last, words in words_of(batch.column(6)):
+                h, row = shingles(words, n)
+                at = np.searchsorted(row, np.arange(last - first + 1)).tolist()
+                found = []
+                for i, (unit, part, pivot, rep, key, copies) in enumerate(zip(*(c.to_pylist() for c in batch.slice(first, last - first).columns[:6]), strict=True)):
+                    if now != (unit, part):
+                        now, held, before = (unit, part), {}, None
+                    if before == (pivot, rep, key):
+                        continue
+                    before = (pivot, rep, key)
+                    grams = np.unique(h[at[i] : at[i + 1]])
+                    if pivot >= 0:
+                        held[pivot] = grams
+                        continue
+                    steps = []
+                    for p in range(PIVOTS):
+                        common = len(np.intersect1d(grams, held[p], assume_unique=True))
+                        union = len(grams) + len(held[p]) - common
+                        steps.append(min(int(np.ceil((union - common) / union / (1 - similarity) * STEPS)), STEPS + 1) if similarity < 1 else (STEPS + 1) * (common < union))
+                    found.append((unit, rep, key, copies, steps))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), [*[pa.int64()] * 4, pa.list_(pa.int32())], strict=True)], ["unit", "rep", "key", "n_copies", "steps"])
+
+    order = ["unit", "part", F.col("pivot").desc(), "rep", "key"]  # rows repeated with one id lie side by side
+    steps = cut(together.repartition("unit", "part").sortWithinPartitions(*order).mapInArrow(measure, "unit long, rep long, key long, n_copies long, steps array<int>"))
+    within = [F.struct(F.count_if(F.get("steps", F.lit(i)) * 2 <= STEPS).alias("within"), F.lit(-i).alias("less")) for i in range(PIVOTS)]
+    chosen = steps.groupBy("unit").agg((-F.greatest(*within)["less"]).alias("chosen"))
+    pivot = F.get(F.array(*[f"pivot{i}" for i in range(PIVOTS)]), F.col("chosen"))
+    chosen = wide.join(chosen, "unit").select("unit", "chosen", pivot["rep"].alias("to_rep"), pivot["key"].alias("to_key"))
+    return cut(steps.join(chosen, "unit").select("unit", "rep", "key", "n_copies", F.get("steps", F.col("chosen")).alias("near"), "to_rep", "to_key"))
+
+
+def _certain(measured: DataFrame) -> DataFrame:
+    """(rep, key, links, to_rep, to_key): the links that the distances to a pivot prove, and the tie to that pivot."""
+    sizes = measured.groupBy("unit", "near").agg(F.sum("n_copies").alias("copies"))
+    sizes = sizes.groupBy("unit").agg(F.collect_list(F.struct("near", "copies")).alias("sizes"))  # STEPS + 2 at most
+    others = F.aggregate(F.filter("sizes", lambda s: s["near"] + F.col("near") <= STEPS), F.lit(0).cast("long"), lambda total, s: total + s["copies"])
+    itself = F.when(F.col("near") * 2 <= STEPS, F.col("n_copies")).otherwise(0)
+    return measured.filter(F.col("near") <= STEPS).join(sizes, "unit").select("rep", "key", (others - itself).alias("links"), "to_rep", "to_key")
+
+
+def _compared(placed: DataFrame, measured: DataFrame | None, block: int) -> DataFrame:
+    """(rep, key, n_copies, above, unit, side, low, high): the pairs of blocks of each unit in which its members meet.
+
+    Members of one unit are grouped: those of no greater unit by their step (STEPS + 1 without one), those that share
+    their greatest unit with many others by that, and the rest. A group of the second kind is not compared within
+    itself (all its pairs are decided in that greater unit), nor are two steps that add up to STEPS at most (their
+    pairs are known to be linked). Members that meet nobody leave no row, so that their texts do not travel.
+    """
+    one = F.array(F.lit("0"))
+    small = placed.filter(F.col("parts") == 1).select("rep", "key", "n_copies", "above", "unit", F.lit("0").alias("side"), F.explode(one).alias("other"))
+    large = placed.filter(F.col("parts") > 1).drop("parts")
+    if measured is None:
+        large = large.withColumn("near", F.lit(STEPS + 1))
+    else:
+        large = large.join(measured.select("unit", "rep", "key", "near"), ["unit", "rep", "key"], "left").withColumn("near", F.coalesce("near", F.lit(STEPS + 1)))
+    many = large.filter(F.col("best") != F.col("unit")).groupBy("unit", "best").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= block).drop("members").withColumn("many", F.lit(True))
+    top = F.col("best") == F.col("unit")
+    kind = F.when(top, 1).when(F.col("many"), 2).otherwise(0)
+    named = F.when(top, F.col("near").cast("long")).when(F.col("many"), F.col("best")).otherwise(0)
+    large = large.join(many, ["unit", "best"], "left").withColumn("group", F.struct(kind.alias("kind"), named.alias("named")))
+    groups = large.groupBy("unit", "group").agg(_parts(block))
+    groups = groups.groupBy("unit").agg(F.collect_list(F.struct("group", "parts")).alias("groups"))  # one for each ``block`` members, and STEPS + 3
+    own = F.col("group")
+
+    def meets(other: Column) -> Column:
+        same_best = (own["kind"] == 2) & (other == own)
+        linked = (own["kind"] == 1) & (other["kind"] == 1) & (own["named"] + other["named"] <= STEPS)
+        return ~(same_best | linked)
+
+    def names(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), g["parts"] - 1), lambda i: F.concat_ws(":", g["group"]["kind"], g["group"]["named"], i))
+
+    others = F.flatten(F.transform(F.filter("groups", lambda g: meets(g["group"])), names))
+    parts = F.element_at(F.filter("groups", lambda g: g["group"] == own), 1)["parts"]
+    side = F.concat_ws(":", own["kind"], own["named"], F.pmod(F.xxhash64("rep", "key"), parts))
+    large = large.join(groups, "unit").select("rep", "key", "n_copies", "above", "unit", side.alias("side"), F.explode(others).alias("other"))
+    return small.unionByName(large).select("rep", "key", "n_copies", "above", "unit", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
 
 
 def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
@@ -181,11 +294,13 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block
     )
     classes = cut(classes.select("words_id", F.col("rep.doc_id").alias("rep"), F.col("rep.key").alias("key"), "n_copies", "bands", "n_words"))
 
-    placed = _units(classes, block).withColumn("side", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+    placed = cut(_units(classes, block))
     texts = rows.select(F.col("doc_id").alias("rep"), "key", "text")
-    together = placed.join(texts, ["rep", "key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    measured = _measured(placed.filter((F.col("parts") > 1) & (F.col("best") == F.col("unit"))), texts, n, similarity, block)
+    meeting = _compared(placed, measured, block)
+    together = meeting.join(texts, ["rep", "key"])
     unit = ["unit", "low", "high"]
-    together = together.select("unit", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "key", "n_copies", "above", "text")
+    together = together.select("unit", "low", "high", "side", "rep", "key", "n_copies", "above", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found = None, {}, []
@@ -211,6 +326,7 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block
             yield batch_of(found)
 
     verified = cut(together.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, "rep long, key long, links long, to_rep long, to_key long"))
+    verified = verified if measured is None else cut(verified.unionByName(_certain(measured)))
     links = verified.groupBy("rep", "key").agg(F.sum("links").alias("links"))
     edges = verified.select(F.struct("rep", "key").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_key").alias("key")).alias("b"))
     trees = connected_components(edges.filter(F.col("a") != F.col("b"))).select("node.rep", "node.key", F.col("component").alias("root"))
@@ -227,8 +343,9 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: float = 0.8, reca
     is the least id of all that links lead to, n_copies the rows with the same words, n_links the rows linked with.
 
     Rows of equal words are one class with one text (their links are counted, not listed). Classes are shuffled on
-    their band hashes, and those that share one meet in that bucket, as blocks against blocks if it is large, where
-    every pair is verified on its full sets, once. Counts and tree edges leave that place, so no list of pairs is
+    their band hashes, and those that share one meet in that bucket, where every pair is decided once on its full sets.
+    In a large bucket all members are compared with a pivot first: pairs that both lie close enough to it are linked
+    by the triangle inequality and only counted; the others are compared as blocks against blocks. Counts and tree edges leave that place, so no list of pairs is
     ever made. Texts that share no band never meet, whatever chains of collisions lie between them.
 
     Words are runs of other characters than ASCII white space; texts of fewer than n words have one n-gram, of all
