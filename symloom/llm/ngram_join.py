@@ -152,24 +152,35 @@ def _parts(block: int) -> Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_words") / (block * 8192))).cast("int").alias("parts")
 
 
-def _measured(tops: DataFrame, texts: DataFrame, n: int, similarity: float, block: int) -> DataFrame | None:
-    """(unit, rep, key, n_copies, near, to_rep, to_key): how far members are from a pivot of their unit, in steps.
+def _with_texts(placed: DataFrame, texts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(members: rep, key, n_copies, text, unit, part, parts, pivot_of), (wide: unit, parts, pivots).
 
-    ``tops`` are members that are in no greater unit, of which units with several blocks are measured (None if there
-    is none). The distance 1 - Jaccard obeys the triangle inequality: with ``near`` the distance in STEPS-ths of
-    the allowed one, rounded up, two members whose steps add up to STEPS at most are linked, and any with STEPS at
-    most is linked with the pivot. Of PIVOTS members drawn by hash the one with most members within half the
-    allowed distance is taken. Each block meets the pivots' texts; nothing is compared with all members.
+    The texts of all members, met once. ``unit`` is the member's greatest one if that has several blocks, ``part``
+    its block there, and ``pivot_of`` the numbers of the pivots that it is. PIVOTS of them are drawn by hash.
     """
+    top = F.col("best") == F.col("unit")
     draws = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(i)).alias("draw"), "rep", "key")).alias(f"pivot{i}") for i in range(PIVOTS)]
-    wide = cut(tops.groupBy("unit").agg(_parts(block), *draws).filter(F.col("parts") > 1))
-    if wide.isEmpty():
-        return None
-    part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("part")
-    own = tops.drop("parts").join(wide.select("unit", "parts"), "unit").select("unit", part, F.lit(-1).alias("pivot"), "rep", "key", "n_copies")
-    pivots = wide.select("unit", "parts", F.posexplode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot", "at"))
-    pivots = pivots.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "at.rep", "at.key", F.lit(0).cast("long").alias("n_copies"))
-    together = own.unionByName(pivots).join(texts, ["rep", "key"]).select("unit", "part", "pivot", "rep", "key", "n_copies", "text")
+    wide = cut(placed.filter(top & (F.col("parts") > 1)).groupBy("unit").agg(_parts(block), *draws).filter(F.col("parts") > 1))
+    drawn = wide.select("unit", F.posexplode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot", "at"))
+    drawn = drawn.groupBy("unit", "at.rep", "at.key").agg(F.collect_list("pivot").alias("pivot_of"))
+    members = placed.groupBy("rep", "key", "n_copies").agg(F.max(F.when(top, F.col("unit"))).alias("unit"))
+    part = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int")
+    members = members.join(wide.select("unit", "parts"), "unit", "left").withColumn("part", part).join(drawn, ["unit", "rep", "key"], "left")
+    return cut(members.join(texts, ["rep", "key"]).select("rep", "key", "n_copies", "text", "unit", "part", "parts", "pivot_of")), wide
+
+
+def _measured(members: DataFrame, wide: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(unit, rep, key, n_copies, near, to_rep, to_key): how far members are from a pivot of their unit, in steps.
+
+    Measured are members of a wide unit that are in no greater one. The distance 1 - Jaccard obeys the triangle
+    inequality: with ``near`` the distance in STEPS-ths of the allowed one, rounded up, two members whose steps add
+    up to STEPS at most are linked, and any with STEPS at most is linked with the pivot. The pivot with most members
+    within half the allowed distance is taken. Each block meets the pivots' texts; nothing is compared with all members.
+    """
+    own = members.filter(F.col("part").isNotNull())
+    pivots = own.filter(F.col("pivot_of").isNotNull()).select("rep", "key", "n_copies", "text", "unit", "parts", F.explode("pivot_of").alias("pivot"))
+    pivots = pivots.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "rep", "key", "n_copies", "text")
+    together = own.select("unit", "part", F.lit(-1).alias("pivot"), "rep", "key", "n_copies", "text").unionByName(pivots)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, before = None, {}, None
@@ -215,7 +226,7 @@ def _certain(measured: DataFrame) -> DataFrame:
     return measured.filter(F.col("near") <= STEPS).join(sizes, "unit").select("rep", "key", (others - itself).alias("links"), "to_rep", "to_key")
 
 
-def _compared(placed: DataFrame, measured: DataFrame | None, block: int) -> DataFrame:
+def _compared(placed: DataFrame, measured: DataFrame, block: int) -> DataFrame:
     """(rep, key, n_copies, above, unit, side, low, high): the pairs of blocks of each unit in which its members meet.
 
     Members of one unit are grouped: those of no greater unit by their step (STEPS + 1 without one), those that share
@@ -226,10 +237,7 @@ def _compared(placed: DataFrame, measured: DataFrame | None, block: int) -> Data
     one = F.array(F.lit("0"))
     small = placed.filter(F.col("parts") == 1).select("rep", "key", "n_copies", "above", "unit", F.lit("0").alias("side"), F.explode(one).alias("other"))
     large = placed.filter(F.col("parts") > 1).drop("parts")
-    if measured is None:
-        large = large.withColumn("near", F.lit(STEPS + 1))
-    else:
-        large = large.join(measured.select("unit", "rep", "key", "near"), ["unit", "rep", "key"], "left").withColumn("near", F.coalesce("near", F.lit(STEPS + 1)))
+    large = large.join(measured.select("unit", "rep", "key", "near"), ["unit", "rep", "key"], "left").withColumn("near", F.coalesce("near", F.lit(STEPS + 1)))
     many = large.filter(F.col("best") != F.col("unit")).groupBy("unit", "best").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= block).drop("members").withColumn("many", F.lit(True))
     top = F.col("best") == F.col("unit")
     kind = F.when(top, 1).when(F.col("many"), 2).otherwise(0)
@@ -296,9 +304,9 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block
 
     placed = cut(_units(classes, block))
     texts = rows.select(F.col("doc_id").alias("rep"), "key", "text")
-    measured = _measured(placed.filter((F.col("parts") > 1) & (F.col("best") == F.col("unit"))), texts, n, similarity, block)
-    meeting = _compared(placed, measured, block)
-    together = meeting.join(texts, ["rep", "key"])
+    members, wide = _with_texts(placed, texts, block)
+    measured = _measured(members, wide, n, similarity)
+    together = _compared(placed, measured, block).join(members.select("rep", "key", "text"), ["rep", "key"])
     unit = ["unit", "low", "high"]
     together = together.select("unit", "low", "high", "side", "rep", "key", "n_copies", "above", "text")
 
@@ -326,7 +334,7 @@ def _classified(docs: DataFrame, n: int, similarity: float, recall: float, block
             yield batch_of(found)
 
     verified = cut(together.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(verify, "rep long, key long, links long, to_rep long, to_key long"))
-    verified = verified if measured is None else cut(verified.unionByName(_certain(measured)))
+    verified = verified.unionByName(_certain(measured))
     links = verified.groupBy("rep", "key").agg(F.sum("links").alias("links"))
     edges = verified.select(F.struct("rep", "key").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_key").alias("key")).alias("b"))
     trees = connected_components(edges.filter(F.col("a") != F.col("b"))).select("node.rep", "node.key", F.col("component").alias("root"))
