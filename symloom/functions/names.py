@@ -247,13 +247,26 @@ def doc_url(path: Column, language: Column, products: tuple[str, ...] = ()) -> C
     return F.concat(F.lit("/"), F.when(product.isin(*products), F.concat(F.lit("oss/"), language, F.lit("/"), F.regexp_replace(p, "^oss/", ""))).otherwise(p))
 
 
-def name_parts(name: Column) -> Column:
-    """All distinct substrings of up to three characters."""
-    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+#: Lengths of the parts by which names meet: a name's own parts have the greatest of these that it reaches.
+PART_LENGTHS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+
+
+def _parts(name: Column, length: Column | int) -> Column:
+    n = F.lit(length) if isinstance(length, int) else length
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: name.substr(i, n))
+    return F.when(F.length(name) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
+def name_parts(name: Column, lengths: tuple[int, ...] = PART_LENGTHS) -> Column:
+    """All distinct substrings of these lengths."""
+    return F.array_distinct(F.concat(*[_parts(name, n) if n else F.array(F.lit("")) for n in lengths]))
+
+
+def part_length(name: Column) -> Column:
+    """The length of a name's own parts; null for a null name."""
+    return F.when(name.isNotNull(), F.greatest(*[F.when(F.length(name) >= n, n) for n in PART_LENGTHS], F.lit(0)))
 
 
 def own_parts(name: Column) -> Column:
-    """The parts that any name holding this one has: all of three characters, or the whole of a shorter name."""
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: name.substr(i, F.lit(3)))
-    return F.when(F.length(name) < 3, F.array(name)).otherwise(F.array_distinct(three))
+    """The parts that any name holding this one has: all of the greatest length of ``PART_LENGTHS`` that it reaches."""
+    return F.when(name == "", F.array(F.lit(""))).otherwise(F.array_distinct(_parts(name, part_length(name))))

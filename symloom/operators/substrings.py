@@ -12,15 +12,20 @@ def holding(held: DataFrame, holders: DataFrame, group: list[str], least_share:
     """(*group, held, holder): all pairs of distinct names of one group in which the holder contains the held one.
 
     ``held`` and ``holders`` have the group's columns and a column of that name. What contains a name has all its
-    parts of three characters (or the whole of a shorter name); of those each name is looked up by the one that
-    the fewest holders have, as counted, and not at all if one of them is nowhere. Postings are names, not rows; a
-    part that most names share brings names together only if all parts of one are as common. Null names hold nothing
-    and are not held; rows of a null group are left out.
+    parts of one length, the greatest of a few steps that the name reaches: the longer a name, the rarer its parts,
+    however many names there are. Of those each name is looked up by the one that the fewest holders have, as counted,
+    and not at all if one of them is nowhere. Holders are cut into parts of the lengths that are asked for, as hashes;
+    whether one holds the name is then seen from the texts. Postings are names, not rows; a part that most names share
+    brings names together only if all parts of one are as common. Null names hold nothing and are not held; rows of a
+    null group are left out.
     """
+    hashed = lambda parts: F.explode(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+    names = held.select(*group, "held").distinct()
+    lengths = [r[0] for r in names.select(N.part_length(F.col("held"))).distinct().collect() if r[0] is not None]  # of the steps
     inside = holders.select(*group, "holder").distinct()
-    postings = inside.withColumn("part", F.explode(N.name_parts(F.col("holder"))))
+    postings = inside.withColumn("part", hashed(N.name_parts(F.col("holder"), tuple(sorted(lengths)) or (0,))))
     uses = postings.groupBy(*group, "part").agg(F.count("*").alias("uses"))
-    asked = held.select(*group, "held").distinct().withColumn("part", F.explode(N.own_parts(F.col("held"))))
+    asked = names.withColumn("part", hashed(N.own_parts(F.col("held"))))
     counted = asked.join(uses, [*group, "part"], "left")
     keyed = counted.groupBy(*group, "held").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "part")).alias("rarest"))
     keyed = keyed.filter("rarest.uses > 0").select(*group, "held", F.col("rarest.part").alias("part"))

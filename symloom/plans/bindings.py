@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.plans.lineage import cut
+from symloom.plans.lineage import kept
 
 TABLES: dict[str, str] = {
     # one row for each (part, year of shipment): a symbol of a release
@@ -122,7 +122,7 @@ def with_tables(*names: str) -> str:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(symbols, releases) from one computation of the flat table."""
-    flat = cut(bound(spark, sf_dir, "flat"))
+    flat = kept(bound(spark, sf_dir, "flat"))
     return nested(flat), spark.sql(TABLES["releases"], flat=flat)
 
 

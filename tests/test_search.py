@@ -97,3 +97,29 @@ def test_common_parts_bring_nobody_together(spark):
     holders = spark.createDataFrame([("g", f"myhandler{i}x") for i in range(300)] + [("h", "handler1")], "k string, holder string")
     pairs = {(r["held"], r["holder"]) for r in holding(held, holders, ["k"]).collect()}
     assert pairs == {(f"handler{i}", f"myhandler{j}x") for i in range(300) for j in range(300) if f"handler{i}" in f"myhandler{j}x"}
+
+
+def test_names_meet_by_parts_as_long_as_they_are(spark, monkeypatch):
+    """Numbered names of few words: what one name meets stays the same when the names become more."""
+    from symloom.operators import substrings
+
+    met = {}
+    for n in (1000, 8000):
+        names = [("g", f"{w}_{i}") for i in range(n) for w in (("large_ring", "hot_bolt")[i % 2],)]
+        probe = spark.createDataFrame(names[-100:], "k string, held string")
+        holders = spark.createDataFrame(names, "k string, holder string")
+        with monkeypatch.context() as m:
+            m.setattr(substrings.F, "contains", lambda a, b: F.lit(True))  # all that meet
+            met[n] = substrings.holding(probe, holders, ["k"]).count()
+        assert {(r["held"], r["holder"]) for r in substrings.holding(probe, holders, ["k"]).collect()} == {(x, y) for _, x in names[-100:] for _, y in names if x in y}
+    assert met[8000] <= 2 * met[1000]
+
+
+def test_holding_names_of_all_lengths(spark):
+    from symloom.operators.substrings import holding
+
+    r = random.Random(5)
+    texts = sorted({"".join(r.choice("ab_") for _ in range(r.randint(0, 90))) for _ in range(150)} | {"", "a", "ab", "é" * 13})
+    names = sorted({t[i : i + r.randint(0, 80)] for t in texts for i in range(0, len(t), 17)} | set(texts))
+    held, holders = spark.createDataFrame([(x,) for x in names], "held string"), spark.createDataFrame([(x,) for x in texts], "holder string")
+    assert {(p["held"], p["holder"]) for p in holding(held, holders, []).collect()} == {(x, y) for x in names for y in texts if x in y}
