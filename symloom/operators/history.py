@@ -225,6 +225,7 @@ def removed_symbols(history: DataFrame, symbols: DataFrame | None = None) -> Dat
     if symbols is None:
         return gone
     keys = ["package_id", "version", "qualified_name"]
+    gone = cut(gone)  # told once, for the names asked for and for the rows
     return gone.drop("replacement").join(replacement_candidates(gone.select(*keys), symbols), keys, "left").select(*history.columns)
 
 
