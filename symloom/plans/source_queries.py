@@ -24,9 +24,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
+def _named(folder: str, ending: str):
+    """A path of its own for each row."""
+    return F.concat(F.lit(folder), F.monotonically_increasing_id(), F.lit(ending))
+
+
 def _one_each(df: DataFrame, folder: str) -> None:
     """Every row as a JSON file of its own."""
-    df.write.option("maxRecordsPerFile", 1).json(folder)
+    io.write_files(df.select(_named("", ".json").alias("path"), F.to_json(F.struct("*")).alias("content")), folder)
 
 
 @query("read_configs", with_tables("packages") + " SELECT project, language, published_name AS name, 'libs/' || published_name AS path, row_number() OVER (PARTITION BY project ORDER BY published_name) - 1 AS position, 'v*' AS tag_pattern FROM packages")
@@ -63,7 +68,9 @@ def _symbols(s, d):
 def _docs(s, d):
     """Every page as a file of its own, in eight folders that its path names."""
     folder = scratch(s)
-    bound(s, d, "doc_files").select((c("doc_id") % 8).alias("part"), "content").write.partitionBy("part").option("maxRecordsPerFile", 1).text(folder)
+    part = F.coalesce((c("doc_id") % 8).cast("string"), F.lit("none"))
+    ended = F.concat(F.coalesce("content", F.lit("")), F.lit("\n"))
+    io.write_files(bound(s, d, "doc_files").select(F.concat(F.lit("part="), part, F.lit("/"), _named("", ".txt")).alias("path"), ended.alias("content")), folder)
     read = io.read_docs(s, folder, "*.txt")
     return read.select(F.regexp_extract("path", r"/part=(\d+)/[^/]+\.txt$", 1).cast("long").alias("part"), F.md5("content").alias("content"))
 

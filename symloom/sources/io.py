@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +66,37 @@ def read_docs(spark: SparkSession, path: str, names: str = "*.{md,mdx}") -> Data
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(~F.col("path").rlike("/(node_modules|\\.git)/"))
 
 
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI, and the folder's path there."""
+    parts = urlparse(folder)
+    return pafs.FileSystem.from_uri(folder) if parts.scheme not in ("", "file") else (pafs.LocalFileSystem(), unquote(parts.path))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Every row (path, content) as a file of its own below the folder, which its path names; the contents as they are.
+
+    Tasks open the files and nothing else: a writer of rows changes the permissions of every file by a command of
+    its own and renames it twice. A task that runs again writes the same files anew.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, base), made, n = _opened(folder), set(), 0
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                parent, _, name = path.as_py().rpartition("/")
+                if parent not in made:
+                    system.create_dir(f"{base}/{parent}", recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(f"{base}/{parent}/{name}") as out:
+                    out.write(content.as_buffer())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    system, base = _opened(folder)
+    system.create_dir(base, recursive=True)
+    files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def name_shard(name: Column, digits: int = 2) -> Column:
     """Leading hexadecimal digits of the name's MD5: two make 256 even shards."""
     return F.substring(F.md5(name), 1, digits)

@@ -134,3 +134,15 @@ def test_readers(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("# " + name)
     assert sorted(r["content"] for r in io.read_docs(spark, str(tmp_path / "d")).collect()) == ["# d/a.md", "# d/b.mdx"]
+
+
+def test_files_are_written_by_the_tasks(spark, tmp_path):
+    """Every row is a file of its own with its text as it is, and nothing lies beside them."""
+    rows = [(f"part={i % 3}/a b {i}.md", "é\n" * (i + 1)) for i in range(50)]
+    for _ in range(2):  # a second run writes the same files
+        io.write_files(spark.createDataFrame(rows, "path string, content string"), (tmp_path / "new").as_uri())
+    found = {str(p.relative_to(tmp_path / "new")): p.read_bytes().decode() for p in (tmp_path / "new").rglob("*") if p.is_file()}
+    assert found == dict(rows)
+    assert {r["content"] for r in io.read_docs(spark, str(tmp_path / "new")).collect()} == {c for _, c in rows}
+    io.write_files(spark.createDataFrame([], "path string, content string"), str(tmp_path / "none"))
+    assert io.read_docs(spark, str(tmp_path / "none")).count() == 0
