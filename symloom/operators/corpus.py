@@ -21,7 +21,7 @@ FILES = (
 
 def code_blocks(docs: DataFrame) -> DataFrame:
     """(path, language, start_line, code) of the closed, non-empty fences of every page."""
-    return docs.select("path", "content").mapInPandas(L.line_blocks, "path string, language string, start_line int, code string")
+    return docs.select("path", "content").mapInArrow(L.line_blocks, "path string, language string, start_line int, code string")
 
 
 def frontmatter(content: Column) -> Column:
@@ -194,7 +194,7 @@ def page_links(docs: DataFrame, repo: str, ref: str, image_base: str, package_pa
 
 def admonitions(docs: DataFrame) -> DataFrame:
     """(path, line, type, title, indent, level, content) of every ``!!!``, ``???`` and ``???+`` block that is not empty."""
-    return docs.select("path", "content").mapInPandas(L.admonition_rows, "path string, line int, type string, title string, indent int, level int, content string")
+    return docs.select("path", "content").mapInArrow(L.admonition_rows, "path string, line int, type string, title string, indent int, level int, content string")
 
 
 def clean_example(code: Column) -> Column:

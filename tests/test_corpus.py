@@ -136,6 +136,23 @@ def test_readers(spark, tmp_path):
     assert sorted(r["content"] for r in io.read_docs(spark, str(tmp_path / "d")).collect()) == ["# d/a.md", "# d/b.mdx"]
 
 
+def test_pages_are_read_in_slices_of_bytes():
+    """What a reader holds and gives on at once follows a bound in bytes, not the rows of a batch."""
+    import pyarrow as pa
+
+    page = "# One\n```python\nfrom a import b\n" + "x = 1\n" * 50_000 + "```\n!!! note\n    inside\n"
+    pages = [None, "", *[page] * 20, "no fence", page * 5, "!!! tip\n    end"]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(pages))], "content": pages})
+    whole = [(str(i), *f) for i, p in enumerate(pages) if p for f in L.fences(p)]
+    for read, want in ((L.line_blocks, whole), (L.admonition_rows, [(str(i), *a) for i, p in enumerate(pages) if p for a in L.admonition_list(p)])):
+        parts = list(read(iter([batch])))
+        assert [tuple(r.values()) for x in parts for r in x.to_pylist()] == want
+        assert max(len({r["path"] for r in x.to_pylist()}) for x in parts) <= 6
+    parts = list(L.headed_blocks(("python",), ())(iter([batch.to_pandas()])))
+    assert [r for x in parts for r in x.itertuples(index=False, name=None)] == [(*w[:3], L.joined_parens(w[3]), "One") for w in whole]
+    assert max(len(x) for x in parts) <= 6
+
+
 def test_files_are_written_by_the_tasks(spark, tmp_path):
     """Every row is a file of its own with its text as it is, and nothing lies beside them."""
     rows = [(f"part={i % 3}/a b {i}.md", "é\n" * (i + 1)) for i in range(50)]
