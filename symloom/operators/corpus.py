@@ -208,8 +208,6 @@ def clean_example(code: Column) -> Column:
 
 def fenced_examples(docs: DataFrame, text: str = "content") -> DataFrame:
     """(path, pos, title, language, code): every fence, dedented; python if it names no language; the title is the line before it."""
-    pattern = r"(?:^|\n)([^\n]*)\n?[ \t]*```(\w*)[^\n]*\n([\s\S]*?)\n?[ \t]*```"
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), i + 1).alias(n) for i, n in enumerate(("title", "language", "code"))])
-    each = docs.select("path", F.posexplode(parts).alias("pos", "x"))
-    title = F.regexp_replace(N.trim_all(F.col("x.title")), ":$", "")
-    return each.select("path", "pos", F.nullif(title, F.lit("")).alias("title"), F.coalesce(F.nullif(F.col("x.language"), F.lit("")), F.lit("python")).alias("language"), L.dedent(F.col("x.code")).alias("code"))
+    each = docs.select("path", F.col(text).alias("content")).mapInArrow(L.example_rows, "path string, pos int, title string, language string, code string")
+    title = F.regexp_replace(N.trim_all(F.col("title")), ":$", "")
+    return each.select("path", "pos", F.nullif(title, F.lit("")).alias("title"), F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("python")).alias("language"), "code")

@@ -153,6 +153,18 @@ def test_pages_are_read_in_slices_of_bytes():
     assert max(len(x) for x in parts) <= 6
 
 
+def test_fenced_examples_read_a_page_once(spark):
+    """One walk over the text, with the rows of the expression that finds them."""
+    pages = ["a:\n```py\nx\n```\nb", "```\n\n```", "t ```x y\n  z\n ``` ```\n", "one\n   ```ts\n    a\n      b\n   ```\n```q\nopen", "````\n```\n````", "é:\n```py\u00e9\ncode\n```", "no\r\n```a\r\nb\r\n```", "", None, "```", "x\n\t```\n\tp\n\t\tq```r\ns```"]
+    docs = spark.createDataFrame([(str(i), p) for i, p in enumerate(pages)], "path string, content string")
+    pattern = r"(?:^|\n)([^\n]*)\n?[ \t]*```(\w*)[^\n]*\n([\s\S]*?)\n?[ \t]*```"
+    parts = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), i + 1).alias(n) for i, n in enumerate(("title", "language", "code"))])
+    want = {(r["path"], r["pos"]): (r["x"]["title"].strip().removesuffix(":") or None, r["x"]["language"] or "python", L.dedented(r["x"]["code"])) for r in docs.select("path", F.posexplode(parts).alias("pos", "x")).collect()}
+    found = C.fenced_examples(docs)
+    assert {(r["path"], r["pos"]): (r["title"], r["language"], r["code"]) for r in found.collect()} == want and len(want) == 8
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_files_are_written_by_the_tasks(spark, tmp_path):
     """Every row is a file of its own with its text as it is, and nothing lies beside them."""
     rows = [(f"part={i % 3}/a b {i}.md", "é\n" * (i + 1)) for i in range(50)]
