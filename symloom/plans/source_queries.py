@@ -11,7 +11,7 @@ from symloom.operators import artifacts as A
 from symloom.plans.artifact_queries import LATEST
 from symloom.plans.bindings import bound, symbols, with_tables
 from symloom.plans.history_queries import B, ROW, deltas, shown
-from symloom.plans.lineage import shared_folder
+from symloom.plans.lineage import kept, shared_folder
 from symloom.plans.registry import query
 from symloom.sources import io
 from symloom.streaming.history import read_history, stream_history
@@ -108,6 +108,7 @@ def _stream(s, d):
     """Two arrivals: the versions up to 1.3.0, then the others with 1.3.0 again, which adds nothing."""
     folder = scratch(s)
     table = symbols(s, d).select("package_id", "version", "ord", "qualified_name", "kind", "signature", "returns_type", "deprecated", "extends", "implements", "members", "params")
+    table = kept(table)  # told apart twice
     for part in ("version <= '1.3.0'", "version >= '1.3.0'"):
         table.filter(part).write.mode("append").parquet(folder + "/in")
         stream_history(s, folder + "/in", folder + "/out", folder + "/state", table.schema)

@@ -112,7 +112,8 @@ def write_history_shards(history: DataFrame, path: str, digits: int = 2) -> None
     """Histories by name shard below ``shards``, and each package's versions and shards in ``index``."""
     sharded = history.withColumn("shard", name_shard(F.col("qualified_name"), digits))
     sharded.repartition("package_id", "shard").write.mode("overwrite").partitionBy("package_id", "shard").parquet(f"{path}/shards")
-    index = sharded.groupBy("package_id").agg(F.array_sort(F.collect_set("version")).alias("versions"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    written = history.sparkSession.read.schema(sharded.select("version", "package_id", "shard").schema).parquet(f"{path}/shards")  # the history is not told again
+    index = written.groupBy("package_id").agg(F.array_sort(F.collect_set("version")).alias("versions"), F.array_sort(F.collect_set("shard")).alias("shards"))
     index.write.mode("overwrite").parquet(f"{path}/index")
 
 

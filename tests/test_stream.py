@@ -91,3 +91,34 @@ def test_deltas_carry_snapshots_and_details(spark):
     assert (since["since"], since["message"], since["replacement"]) == ("1.1.0", "gone soon", "b")
     wanted = spark.createDataFrame([("p", "a", "1.0.0"), ("p", "a", "1.5.0"), ("p", "x", "1.0.0")], "package_id string, qualified_name string, version string")
     assert {r["version"]: r["snapshot"]["signature"] for r in H.symbol_at_version(history, wanted).collect()} == {"1.0.0": "s", "1.5.0": "t"}
+
+
+def test_shards_are_written_from_one_telling_of_the_history(spark, tmp_path):
+    """The index comes from the shards as written: the rows of the history are made once."""
+    from symloom.sources import io
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("p1", f"1.{i % 3}.0", f"a.name{i}") for i in range(40)] + [("p2", "2.0.0", "b.x")]
+    history = spark.createDataFrame(rows, "package_id string, version string, qualified_name string")
+    io.write_history_shards(history.mapInArrow(counted, history.schema), str(tmp_path / "h"), digits=1)
+    assert made.value == len(rows)
+    index = {r["package_id"]: (r["versions"], r["shards"]) for r in spark.read.parquet(str(tmp_path / "h" / "index")).collect()}
+    assert index["p1"][0] == ["1.0.0", "1.1.0", "1.2.0"] and index["p2"][0] == ["2.0.0"] and len(index["p2"][1]) == 1
+    assert spark.read.parquet(str(tmp_path / "h" / "shards")).count() == len(rows)
+
+
+def test_the_streamed_table_is_bound_once(spark, monkeypatch):
+    """Both arrivals are parts of one table, which is computed once."""
+    from symloom.plans import source_queries as Q
+
+    calls = []
+    kept = Q.kept
+    monkeypatch.setattr(Q, "kept", lambda df: calls.append(1) or kept(df))
+    rows = Q._stream(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and rows.count() > 0
