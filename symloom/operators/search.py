@@ -13,6 +13,8 @@ from symloom.operators.substrings import holding
 BOOSTS = {"title": 3.0, "keywords": 2.0, "excerpt": 1.0}
 FUZZY = 0.2
 K1, B = 1.2, 0.7
+#: Documents in one share of a frequent term's postings, and of the scores.
+SHARE = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -43,39 +45,52 @@ def _slips(asked: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
     least, last = f"greatest(-i, {ahead} - ({k} - i))", f"least(i, {ahead} + {k} - i)"
     shifts = f"filter(sequence(-{k}, {k}), s -> s >= {least} AND s <= {last} AND {begin} + s >= 0 AND {begin} + s + {length} <= length(term))"
     places = f"flatten(transform(sequence(0, {k}), i -> transform({shifts}, s -> struct(i, substr(term, {begin} + s + 1, {length}) AS piece))))"
-    sized = terms.select("term", F.explode(F.expr(sizes)).alias("n")).join(pieces.select(F.col("size").alias("n")).distinct(), "n")  # lengths that are asked for
+    sized = terms.select("term", F.explode(F.expr(sizes)).alias("n")).join(F.broadcast(pieces.select(F.col("size").alias("n")).distinct()), "n")  # lengths that are asked for, a few
     stand = sized.select("term", F.col("n").alias("size"), F.explode(F.expr(places)).alias("p")).select("term", "size", "p.i", "p.piece")
     met = pieces.select("asked", "size", "most", "p.i", "p.piece").join(stand, ["size", "i", "piece"]).select("asked", "most", "term").distinct()
     return met.withColumn("d", F.levenshtein("asked", "term")).filter((F.col("d") <= F.col("most")) & (F.col("d") > 0)).select("asked", "term", "d")
 
 
-def _matches(queries: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
-    """(query_id, asked, term, weight): exact terms 1, longer terms with the same beginning, terms within the edit distance.
+def _matches(asked: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
+    """(asked, term, df, weight) for distinct words: exact terms 1, longer terms with the same beginning, terms within the edit distance.
 
     Beginnings meet by equality on every prefix of the index terms that some query has, slips by the pieces that they
     leave whole, so no term is compared with the whole vocabulary.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("asked"))
-    exact = asked.join(terms.select(F.col("term").alias("asked")), "asked").select("query_id", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
-    heads = terms.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr(F.col("term"), F.lit(1), i))).alias("asked")).filter(F.length("term") > 1)
-    prefix = asked.join(heads, "asked").select("query_id", "asked", "term", (0.375 * F.length("term") / (F.length("term") + 0.3 * (F.length("term") - F.length("asked")))).alias("weight"))
-    slips = asked.join(_slips(asked, terms, fuzzy), "asked").filter(~F.startswith(F.col("term"), F.col("asked")))
-    fuzzy_rows = slips.select("query_id", "asked", "term", (0.45 * F.length("term") / (F.length("term") + F.col("d"))).alias("weight"))
+    exact = asked.join(terms.withColumn("asked", F.col("term")), "asked").select("asked", "term", "df", F.lit(1.0).alias("weight"))
+    heads = terms.select("term", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr(F.col("term"), F.lit(1), i))).alias("asked")).filter(F.length("term") > 1)
+    prefix = asked.join(heads, "asked").select("asked", "term", "df", (0.375 * F.length("term") / (F.length("term") + 0.3 * (F.length("term") - F.length("asked")))).alias("weight"))
+    slips = _slips(asked, terms, fuzzy).filter(~F.startswith(F.col("term"), F.col("asked"))).join(terms, "term")
+    fuzzy_rows = slips.select("asked", "term", "df", (0.45 * F.length("term") / (F.length("term") + F.col("d"))).alias("weight"))
     return exact.unionByName(prefix).unionByName(fuzzy_rows)
 
 
 def search(queries: DataFrame, index: DataFrame, boosts: dict[str, float] = BOOSTS, fuzzy: float = FUZZY) -> DataFrame:
-    """(query_id, doc, score): any term may match; BM25 with field weights, summed over terms and fields."""
+    """(query_id, doc, score): any term may match; BM25 with field weights, summed over terms and fields.
+
+    Words are scored once for all queries that have them. The postings of a term in more than ``SHARE`` documents are
+    dealt by document into shares, so that no task gets them all; scores are dealt by document, as many shares as the
+    documents need, and stay there while words are summed to queries.
+    """
     terms = index.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    docs = index.agg(F.count_distinct("doc")).first()[0]
-    # one number for each of the three fields
-    means = {r[0]: r[1] for r in index.groupBy("field", "doc").agg(F.first("length").alias("length")).groupBy("field").agg(F.avg("length")).collect()}
+    # one row: the number of documents, and the mean length of each field
+    lengths = index.groupBy("doc").agg(*[F.max(F.when(F.col("field") == f, F.col("length"))).alias(f) for f in boosts])
+    docs, *averages = lengths.agg(F.count(F.lit(1)), *[F.avg(f) for f in boosts]).first()
+    means = {f: mean for f, mean in zip(boosts, averages, strict=True) if mean is not None}
     table = lambda d: F.create_map(*[F.lit(x) for kv in (d or {"": 1.0}).items() for x in kv])
-    met = _matches(queries, terms, fuzzy).join(terms, "term").join(index.filter(F.col("field").isin(*boosts)), "term")
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("asked"))
+    shares = F.ceil(F.col("df") / SHARE)
+    frequent = terms.filter(F.col("df") > SHARE).select("term", shares.alias("shares"))  # a row for each SHARE postings at most
+    share = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("shares")), F.lit(0).cast("long"))
+    postings = index.filter(F.col("field").isin(*boosts)).join(F.broadcast(frequent), "term", "left").withColumn("share", share)
+    matches = _matches(asked.select("asked").distinct(), terms, fuzzy).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    met = matches.join(postings, ["term", "share"])
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean, weight = F.element_at(table(means), F.col("field")), F.element_at(table(boosts), F.col("field"))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)) * F.col("weight") * weight
-    return met.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+    parts = met.select("asked", "doc", part.alias("score")).repartition(docs // SHARE + 1, "doc")
+    words = parts.groupBy("asked", "doc").agg(F.sum("score").alias("score"))
+    return asked.join(words, "asked").groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
 
 
 def top(found: DataFrame, n: int, *order) -> DataFrame:

@@ -1,6 +1,8 @@
 """Search, listings of parts, and look-ups, against brute force."""
 
+import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -28,6 +30,85 @@ def test_first_letter_may_be_wrong(spark):
     assert {(r["query_id"], r["doc"]) for r in S.search(asked, index).collect()} == {("q", "1")}
 
 
+def _most_read(spark, job):
+    """Most rows of a shuffle that one task of the job reads, where only small tables are broadcast and partitions stay as dealt."""
+    context, store = spark.sparkContext, spark._jsc.sc().statusStore()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("most read", "")
+    try:
+        job()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k in settings:
+            spark.conf.unset(k)
+    most, tracker = 0, context.statusTracker()
+    for stage in {s for j in tracker.getJobIdsForGroup("most read") for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        done = [m.get() for m in (tasks.apply(i).taskMetrics() for i in range(tasks.size())) if m.isDefined()]
+        most = max([most, *(m.shuffleReadMetrics().recordsRead() for m in done)])
+    return most
+
+
+def test_no_task_reads_all_postings_of_a_term(spark, monkeypatch):
+    """A term of all documents: its postings are dealt to several tasks, and the scores stay the same."""
+    monkeypatch.setattr(S, "SHARE", 100, raising=False)
+    n = 3000
+    each = ["'title' AS field", "cast(id AS string) AS doc", "cast(1 + id % 3 AS int) AS length", "1L AS tf"]
+    common, rare = spark.range(n).selectExpr("'loader' AS term", *each), spark.range(n // 3).selectExpr("concat('loader', id) AS term", *each)
+    index = common.unionByName(rare).localCheckpoint()
+    asked = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(["load", "loader", "loadex"])], "query_id string, query string")
+    found = []
+    most = _most_read(spark, lambda: found.extend(S.search(asked, index).collect()))
+    assert (len(found), most < n) == (3 * n, True), most
+
+
+def test_scores_against_all_pairs(spark, monkeypatch):
+    """Shares of every size give the scores of the plain formula."""
+    r = random.Random(7)
+    words = ["load", "loader", "loaded", "reader", "read", "plate", "late", "plates", "a"]
+    some = lambda k: [r.choice(words) for _ in range(r.randint(0, k))]
+    rows = [(str(i), " ".join(some(3)), " ".join(some(6)), some(4)) for i in range(60)]
+    index = S.build_search_index(spark.createDataFrame(rows, "id string, title string, excerpt string, keywords array<string>")).localCheckpoint()
+    asks = [(str(i), " ".join(some(4))) for i in range(12)] + [("x", "loadr plat"), ("y", "nothing")]
+    asked = spark.createDataFrame(asks, "query_id string, query string")
+    texts = [(i, {"title": t.split(), "excerpt": e.split(), "keywords": k}) for i, t, e, k in rows]
+    texts = [(i, fields) for i, fields in texts if any(fields.values())]
+    df = {w: sum(any(w in ts for ts in fields.values()) for _, fields in texts) for w in words}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def weight(word, term, fuzzy):
+        d, size = distance(word, term), len(term)
+        if word == term:
+            return 1.0
+        if term.startswith(word):
+            return 0.375 * size / (size + 0.3 * (size - len(word)))
+        return 0.45 * size / (size + d) if d <= math.floor(len(word) * fuzzy + 0.5) else 0.0
+
+    for share, boosts, fuzzy in ((1, S.BOOSTS, 0.2), (7, {"title": 10.0}, 0.1), (4096, S.BOOSTS, 0.2)):
+        monkeypatch.setattr(S, "SHARE", share, raising=False)
+        mean = {f: statistics.mean([len(fields[f]) for _, fields in texts if fields[f]]) for f in boosts}
+        want = {}
+        for q, query in asks:
+            for i, fields in texts:
+                for f, boost in boosts.items():
+                    for term in set(fields[f]):
+                        tf, idf = fields[f].count(term), math.log(1 + (len(texts) - df[term] + 0.5) / (df[term] + 0.5))
+                        part = idf * tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len(fields[f]) / mean[f])) * boost * sum(weight(w, term, fuzzy) for w in set(query.split()))
+                        if part:
+                            want[q, i] = want.get((q, i), 0) + part
+        got = {(x["query_id"], x["doc"]): x["score"] for x in S.search(asked, index, boosts, fuzzy).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_substring_search(spark):
     r = random.Random(2)
     names = [("p", "".join(r.choice("ab_") for _ in range(r.randint(1, 8)))) for _ in range(200)]
