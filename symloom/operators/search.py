@@ -65,32 +65,48 @@ def _matches(asked: DataFrame, terms: DataFrame, fuzzy: float) -> DataFrame:
     return exact.unionByName(prefix).unionByName(fuzzy_rows)
 
 
-def search(queries: DataFrame, index: DataFrame, boosts: dict[str, float] = BOOSTS, fuzzy: float = FUZZY) -> DataFrame:
-    """(query_id, doc, score): any term may match; BM25 with field weights, summed over terms and fields.
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("asked"))
+
+
+def _sizes(index: DataFrame, fields: dict[str, float]) -> tuple[int, dict[str, float]]:
+    """The number of documents, and the mean length of each field: one row."""
+    lengths = index.groupBy("doc").agg(*[F.max(F.when(F.col("field") == f, F.col("length"))).alias(f) for f in fields])
+    docs, *averages = lengths.agg(F.count(F.lit(1)), *[F.avg(f) for f in fields]).first()
+    return docs, {f: mean for f, mean in zip(fields, averages, strict=True) if mean is not None}
 
-    Words are scored once for all queries that have them. The postings of a term in more than ``SHARE`` documents are
-    dealt by document into shares, so that no task gets them all; scores are dealt by document, as many shares as the
-    documents need, and stay there while words are summed to queries.
+
+def _parts(words: DataFrame, index: DataFrame, docs: int, means: dict[str, float], boosts: dict[str, float], fuzzy: float) -> DataFrame:
+    """(asked, doc, score): what each term and field of a document adds to the score of a distinct word (asked).
+
+    The postings of a term in more than ``SHARE`` documents are dealt by document into shares, so that no task gets them all.
     """
     terms = index.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    # one row: the number of documents, and the mean length of each field
-    lengths = index.groupBy("doc").agg(*[F.max(F.when(F.col("field") == f, F.col("length"))).alias(f) for f in boosts])
-    docs, *averages = lengths.agg(F.count(F.lit(1)), *[F.avg(f) for f in boosts]).first()
-    means = {f: mean for f, mean in zip(boosts, averages, strict=True) if mean is not None}
-    table = lambda d: F.create_map(*[F.lit(x) for kv in (d or {"": 1.0}).items() for x in kv])
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("asked"))
     shares = F.ceil(F.col("df") / SHARE)
     frequent = terms.filter(F.col("df") > SHARE).select("term", shares.alias("shares"))  # a row for each SHARE postings at most
     share = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("shares")), F.lit(0).cast("long"))
     postings = index.filter(F.col("field").isin(*boosts)).join(F.broadcast(frequent), "term", "left").withColumn("share", share)
-    matches = _matches(asked.select("asked").distinct(), terms, fuzzy).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
-    met = matches.join(postings, ["term", "share"])
+    matches = _matches(words, terms, fuzzy).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in (d or {"": 1.0}).items() for x in kv])
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean, weight = F.element_at(table(means), F.col("field")), F.element_at(table(boosts), F.col("field"))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)) * F.col("weight") * weight
-    parts = met.select("asked", "doc", part.alias("score")).repartition(docs // SHARE + 1, "doc")
-    words = parts.groupBy("asked", "doc").agg(F.sum("score").alias("score"))
-    return asked.join(words, "asked").groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+    return matches.join(postings, ["term", "share"]).select("asked", "doc", part.alias("score"))
+
+
+def _summed(asked: DataFrame, parts: DataFrame, docs: int, on: list[str]) -> DataFrame:
+    """(query_id, doc, score): parts are dealt by document, in as many shares as the documents need, and summed to queries there."""
+    dealt = parts.repartition(docs // SHARE + 1, "doc")
+    return asked.join(dealt, on).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+
+
+def search(queries: DataFrame, index: DataFrame, boosts: dict[str, float] = BOOSTS, fuzzy: float = FUZZY) -> DataFrame:
+    """(query_id, doc, score): any term may match; BM25 with field weights, summed over terms and fields.
+
+    Words meet the postings once for all queries that have them.
+    """
+    asked, (docs, means) = _asked(queries), _sizes(index, boosts)
+    return _summed(asked, _parts(asked.select("asked").distinct(), index, docs, means, boosts, fuzzy), docs, ["asked"])
 
 
 def top(found: DataFrame, n: int, *order) -> DataFrame:
@@ -110,10 +126,12 @@ def search_filtered(found: DataFrame, records: DataFrame, kind: str | None = Non
 def search_with_conversion(names: DataFrame, index: DataFrame, records: DataFrame, to_python: bool, limit: int = 20) -> DataFrame:
     """names (query_id, name): four searches (name, other convention, its words, titles only); the best score of each page."""
     other = N.camel_to_snake(F.col("name")) if to_python else N.snake_to_camel(F.col("name"))
-    asks = F.array(F.col("name"), other, F.array_join(N.word_parts(F.col("name")), " "))
-    three = names.select("query_id", F.posexplode(asks).alias("n", "query")).select(F.struct("query_id", "n").alias("query_id"), "query")
-    found = search(three, index).withColumn("query_id", F.col("query_id.query_id"))
-    found = found.unionByName(search(names.select("query_id", other.alias("query")), index, {"title": 10.0}, 0.1))
+    asks = F.array(F.col("name"), other, F.array_join(N.word_parts(F.col("name")), " "), other)
+    four = names.select("query_id", F.posexplode(asks).alias("n", "query")).select(F.struct("query_id", "n").alias("query_id"), "query")
+    asked, (docs, means) = _asked(four).withColumn("titles", F.col("query_id.n") == 3), _sizes(index, BOOSTS)
+    parts = lambda titles, boosts, fuzzy: _parts(asked.filter(F.col("titles") == titles).select("asked").distinct(), index, docs, means, boosts, fuzzy).withColumn("titles", F.lit(titles))
+    both = parts(False, BOOSTS, FUZZY).unionByName(parts(True, {"title": 10.0}, 0.1))
+    found = _summed(asked, both, docs, ["asked", "titles"]).withColumn("query_id", F.col("query_id.query_id"))
     paged = found.join(records.select(F.col("id").alias("doc"), "url", "title"), "doc")
     best = paged.groupBy("query_id", "url").agg(F.max("score").alias("score"), F.min("title").alias("title"))
     return top(best, limit, F.desc(F.round("score", 9)), "url")
