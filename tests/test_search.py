@@ -1,5 +1,6 @@
 """Search, listings of parts, and look-ups, against brute force."""
 
+import hashlib
 import math
 import random
 import statistics
@@ -204,3 +205,37 @@ def test_holding_names_of_all_lengths(spark):
     names = sorted({t[i : i + r.randint(0, 80)] for t in texts for i in range(0, len(t), 17)} | set(texts))
     held, holders = spark.createDataFrame([(x,) for x in names], "held string"), spark.createDataFrame([(x,) for x in texts], "holder string")
     assert {(p["held"], p["holder"]) for p in holding(held, holders, []).collect()} == {(x, y) for x in names for y in texts if x in y}
+
+
+def _given_to_driver(spark, job):
+    """Bytes of what the tasks of a job return to the driver; tables to broadcast are collected there."""
+    context, store, tracker = spark.sparkContext, spark._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+
+    def latest():
+        context.setJobGroup("latest", "")
+        context.parallelize([0], 1).count()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        return max(s for j in tracker.getJobIdsForGroup("latest") for s in tracker.getJobInfo(j).stageIds)
+
+    first = latest()
+    job()
+    lists = [store.taskList(stage, 0, 1000) for stage in range(first + 1, latest())]
+    done = [m.get() for tasks in lists for m in (tasks.apply(i).taskMetrics() for i in range(tasks.size())) if m.isDefined()]
+    return sum(m.resultSize() for m in done)
+
+
+def test_postings_are_not_broadcast(spark, monkeypatch):
+    """Names small enough for a broadcast, but not their parts: those do not pass through the driver."""
+    from symloom.operators import substrings
+
+    names = [f"name_{hashlib.sha1(str(i).encode()).hexdigest()}" for i in range(6000)]
+    asks = ["name_a", "name_0b", "zz", "abcde"]
+    holders, held = spark.createDataFrame([(n,) for n in names], "holder string").localCheckpoint(), spark.createDataFrame([(a,) for a in asks], "held string")
+    want = {(a, n) for a in asks for n in names if a in n}
+    for few in (50_000, 0):
+        monkeypatch.setattr(substrings, "FEW", few, raising=False)
+        counts = []
+        given = _given_to_driver(spark, lambda: counts.append(substrings.holding(held, holders, []).count()))
+        assert (counts, given < 500_000) == ([len(want)], True), given
+        assert {(r["held"], r["holder"]) for r in substrings.holding(held, holders, []).collect()} == want
