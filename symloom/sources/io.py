@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from fnmatch import fnmatchcase
+from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.plans.lineage import kept
+
 PACKAGE = (
     "struct<name:string,index:int,path:string,displayName:string,excludePatterns:array<string>,"
     "versioning:struct<tagPattern:string,maxVersions:int,alwaysInclude:array<string>,minVersion:string,enabled:boolean,pathOverrides:map<string,string>>,"
@@ -26,6 +31,13 @@ SYMBOL = (
     "tags:struct<stability:string,visibility:string,isStatic:boolean>>"
 )
 
+#: Folders that one task lists, and files in one batch of a list.
+FOLDERS, LISTED = 256, 10_000
+#: Bytes of contents in one batch, bytes in a task, and bytes that opening a file counts for.
+SLICE, TASK, OPENING = 1 << 20, 32 << 20, 16 << 10
+#: What stands unquoted in a path of Spark's file metadata, as in Java's URIs.
+QUOTED = re.compile(r"[^\w\-!.~'()*,;:$&+=@/\u00a1-\U0010ffff]|[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", re.ASCII)
+
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
     """(file, project, language, repo, position, name, ...): one row for each package, external ones last.
@@ -61,15 +73,94 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_docs(spark: SparkSession, path: str, names: str = "*.{md,mdx}") -> DataFrame:
-    """(path, content): one row for each ``.md`` and ``.mdx`` file below the folder, but those of installed packages."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(~F.col("path").rlike("/(node_modules|\\.git)/"))
+    """(path, content): one row for each ``.md`` and ``.mdx`` file below the folder, but those of installed packages.
+
+    Tasks list the folders and read the files, so that no list of files passes through the driver. Hidden and empty files
+    are passed over, as by Spark's readers. What is no folder that Arrow opens (a single file, a pattern, a store that only
+    Spark knows) is listed by Spark, in the driver.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    if _is_folder(named.toString()) and "\\" not in names:
+        read = _read_below(spark, named.toString(), re.sub("^file:/+", "file:/", named.toUri().toString()), names)
+    else:
+        read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return read.filter(~F.col("path").rlike("/(node_modules|\\.git)/"))
+
+
+def _is_folder(path: str) -> bool:
+    try:
+        system, base = _opened(path)
+        return system.get_file_info(base).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern without its braces: one for each choice in them."""
+    braces = re.search(r"\{([^{}]*)\}", pattern)
+    if not braces:
+        return [pattern.replace("[^", "[!")]
+    return [x for choice in braces[1].split(",") for x in _alternatives(pattern[: braces.start()] + choice + pattern[braces.end() :])]
+
+
+def _files_below(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """(inside, bytes): all files of these names, by their path in the folder; one job for each level of folders."""
+    patterns = _alternatives(names)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(folder)
+        for outer in (x for batch in batches for x in batch.column(0).to_pylist()):
+            inner = system.get_file_info(pafs.FileSelector(base.rstrip("/") + outer))
+            for at in range(0, len(inner), LISTED):
+                rows = [(f"{outer}/{x.base_name}", x.type == pafs.FileType.Directory, x.size or 0) for x in inner[at : at + LISTED] if not _hidden(x.base_name)]
+                rows = [r for r in rows if (r[0].rpartition("/")[2] != "node_modules" if r[1] else r[2] and any(fnmatchcase(r[0].rpartition("/")[2], p) for p in patterns))]
+                yield pa.RecordBatch.from_pydict({"inside": pa.array([r[0] for r in rows], pa.string()), "folder": pa.array([r[1] for r in rows], pa.bool_()), "bytes": pa.array([r[2] for r in rows], pa.int64())})
+
+    level, folders, found = spark.createDataFrame([("",)], "inside string"), 1, []
+    while folders:
+        tasks = min(folders, max(spark.sparkContext.defaultParallelism, folders // FOLDERS))
+        each = kept(level.repartition(tasks).mapInArrow(told, "inside string, folder boolean, bytes long"))
+        found.append(each.filter("NOT folder").select("inside", "bytes"))
+        level = each.filter("folder").select("inside")
+        folders = level.count()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _read_below(spark: SparkSession, folder: str, uri: str, names: str) -> DataFrame:
+    """(path, content) of all files of these names below the folder, dealt to tasks by their number and bytes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, base), paths, contents, size = _opened(folder), [], [], 0
+        made = lambda: pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+        for inside in (x for batch in batches for x in batch.column(0).to_pylist()):
+            with system.open_input_stream(base.rstrip("/") + inside) as file:
+                content = file.read()
+            if paths and size + len(content) > SLICE:
+                yield made()
+                paths, contents, size = [], [], 0
+            paths.append(uri.rstrip("/") + QUOTED.sub(lambda m: quote(m[0], safe=""), inside))
+            contents.append(content)
+            size += len(content)
+        yield made()
+
+    files = _files_below(spark, folder, names)
+    whole = files.agg(F.coalesce(F.sum(F.col("bytes") + OPENING), F.lit(0))).first()[0]
+    dealt = files.select("inside").repartition(max(spark.sparkContext.defaultParallelism, -(-whole // TASK)))
+    return dealt.mapInArrow(read, "path string, content binary").select("path", F.col("content").cast("string").alias("content"))
 
 
 def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder's URI, and the folder's path there."""
-    parts = urlparse(folder)
-    return pafs.FileSystem.from_uri(folder) if parts.scheme not in ("", "file") else (pafs.LocalFileSystem(), unquote(parts.path))
+    """The file system of a folder, named as Spark names it, and the folder's path there."""
+    scheme, colon, rest = folder.partition(":")
+    if colon and "/" not in scheme:
+        return (pafs.LocalFileSystem(), re.sub("^//[^/]*", "", rest)) if scheme == "file" else pafs.FileSystem.from_uri(folder)
+    return pafs.LocalFileSystem(), folder
 
 
 def write_files(files: DataFrame, folder: str) -> None:

@@ -175,3 +175,25 @@ def test_files_are_written_by_the_tasks(spark, tmp_path):
     assert {r["content"] for r in io.read_docs(spark, str(tmp_path / "new")).collect()} == {c for _, c in rows}
     io.write_files(spark.createDataFrame([], "path string, content string"), str(tmp_path / "none"))
     assert io.read_docs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pages_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver is told none of the files; what is read is what Spark's reader reads, under the same paths."""
+    monkeypatch.setattr(io, "LISTED", 3, raising=False)
+    monkeypatch.setattr(io, "SLICE", 20, raising=False)
+    monkeypatch.setattr(io, "TASK", 50_000, raising=False)
+    odd = ["b c%20d.mdx", "é ü+#?&=;,'()!~[]{}^`|<>\"\\@$*\x7f\u00a0\u2003x.md", "_h.md", "_k=v.md", ".x.md", "up.MD", "m.md._COPYING_", "t.txt", "sub/.git/y.md", "sub/_p/z.md", "sub/_q=1/z.md", "node_modules/n.md", "sub/node_modules_/ok.md", "d.md/in.md", "1/2/3/4/x.mdx"]
+    texts = {n: n.encode() * 3 for n in odd} | {f"many/{i}.md": b"line\r\n" * i for i in range(10)} | {"bad.md": b"\xff\xfe\0a", "bom.md": b"\xef\xbb\xbfB"}  # many/0.md is empty
+    root = tmp_path / "pa ges%41"
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text)
+    rows = lambda df: sorted(map(tuple, df.selectExpr("path", "hex(cast(content AS binary))").collect()))
+    for names in ("*.{md,mdx}", "[b-d]*", "[^b]*.md", "*.{txt,m{d,x}}"):
+        plain = spark.read.text(str(root), wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).selectExpr("_metadata.file_path AS path", "value AS content")
+        read = io.read_docs(spark, str(root), names)
+        assert rows(read) == rows(plain.filter(~F.col("path").rlike("/(node_modules|\\.git)/"))) != []
+        assert not [f for f in read.inputFiles() if "pa%20ges" in f]
+    assert rows(io.read_docs(spark, root.as_uri().replace("%20", " ").replace("%25", "%"))) == rows(io.read_docs(spark, str(root)))
+    for path in (f"{root}/many/7.md", f"{root}/ma*"):  # no folders: Spark's own lists
+        assert "many/7.md" in {p[0].partition("%2541/")[2] for p in rows(io.read_docs(spark, path))}
