@@ -17,6 +17,8 @@ from symloom.sources import io
 from symloom.streaming.history import read_history, stream_history
 
 c = F.col
+#: Most files in one folder of pages.
+FOLDER = 8192
 
 
 def scratch(spark: SparkSession) -> str:
@@ -66,13 +68,14 @@ def _symbols(s, d):
 
 
 def _docs(s, d):
-    """Every page as a file of its own, in eight folders that its path names."""
+    """Every page as a file of its own, in eight folders that its path names, each dealt into folders that one task can list."""
     folder = scratch(s)
     part = F.coalesce((c("doc_id") % 8).cast("string"), F.lit("none"))
     ended = F.concat(F.coalesce("content", F.lit("")), F.lit("\n"))
-    io.write_files(bound(s, d, "doc_files").select(F.concat(F.lit("part="), part, F.lit("/"), _named("", ".txt")).alias("path"), ended.alias("content")), folder)
+    pages = bound(s, d, "doc_files").select(part.alias("part"), ended.alias("content"), F.monotonically_increasing_id().alias("n"))
+    io.write_files(pages.select(F.concat(F.lit("part="), "part", F.lit("/"), F.expr(f"n div {FOLDER}"), F.lit("/"), "n", F.lit(".txt")).alias("path"), "content"), folder)
     read = io.read_docs(s, folder, "*.txt")
-    return read.select(F.regexp_extract("path", r"/part=(\d+)/[^/]+\.txt$", 1).cast("long").alias("part"), F.md5("content").alias("content"))
+    return read.select(F.regexp_extract("path", r"/part=(\d+)/[^/]+/[^/]+\.txt$", 1).cast("long").alias("part"), F.md5("content").alias("content"))
 
 
 for name in ("read_docs", "read_docs_whole"):

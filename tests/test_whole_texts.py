@@ -1,13 +1,16 @@
 """Corpus queries over whole texts and all pages, against brute force on a small fixture."""
 
 import hashlib
+import pathlib
 import re
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
 from symloom.functions import lines as L
 from symloom.operators import xref as X
+from symloom.plans import source_queries
 from symloom.plans.bindings import bound
 
 TEXTS = {
@@ -66,6 +69,17 @@ def test_whole_headings_and_files(spark, folder):
     assert got == {hashlib.md5((x + "\n").encode()).hexdigest() for x in contents}
 
 
+def test_no_folder_has_all_pages_of_a_part(spark, folder, monkeypatch):
+    """Folders are listed by one task each, so they hold few files, however many pages there are."""
+    monkeypatch.setattr(source_queries, "FOLDER", 4, raising=False)
+    monkeypatch.setattr(source_queries, "scratch", lambda s: f"{folder[0]}/files")
+    got = sorted((r["part"], r["content"]) for r in rows(spark, folder, "read_docs_whole"))
+    files = Counter(p.parent for p in pathlib.Path(folder[0], "files").rglob("*.txt"))
+    assert sum(files.values()) == len(got) == 61 and max(files.values()) <= 4 < 61 / 8
+    pages = bound(spark, folder[0], "doc_files").select("doc_id", "content").collect()
+    assert got == sorted((r["doc_id"] % 8, hashlib.md5((r["content"] + "\n").encode()).hexdigest()) for r in pages)
+
+
 def test_index_pages_count(spark, folder):
     even = [i for i in folder[1] if i % 2 == 0]
     found = [r for r in rows(spark, folder, "scan_imports_all") if r["symbol"] == "Tool"]
